@@ -1,0 +1,106 @@
+"""The row-local operators and the URL filter against plain Python, over edge cases and the small tables."""
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from helixmill.llm import license_scan, pii, quality_rules, url_filter
+
+TEXTS = [
+    None,
+    "",
+    " \n\t\x0b ",
+    "x" * 30_000,
+    "a@b." + "c." * 6000 + "d",
+    "write to a.b+c@mail-1.example.com, or me@x.y._z@q.r.s and @no @b.c",
+    "10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8 0000012.1.1.1 1.2.3 99999999999999999999.1.2.3",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 1234567890123 " + "7" * 5000,
+    "+1 (017) 555-7713 x +49.30.123456 +1-- +12 ()() 3 + 12345678901234567",
+    "é😀 a@b.cc 😀 10.1.1.1 ü +1 (017) 555-7713 token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"",
+    "iban DE89 3704 0044 0532 0130 00 and DE88370400440532013000 ssn 123-45-6789",
+    "one two three four five six one two three four five six",
+    "a b c d e a b c d e a b c d e x",
+    "the same line here\nthe same line here\n\n\n other\nthe same line here \n # $ | <>&%*",
+    ("word " * 2000) + "end",
+    " ".join(f"w{i}" for i in range(3000)),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 0, "clash") for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], None, None, None, None), (None, TEXTS[5], "en", "s", 1, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+
+
+def check_pii(df):
+    for r in df.join(pii.pii_report(df.select("doc_id", "text")), "doc_id").distinct().collect():
+        want = brute.pii(r.text)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == want[:5], r.doc_id
+        assert set(want[5]) <= set(r.spans.split(",")) | {""}
+
+
+def test_pii(docs):
+    check_pii(docs)
+    got = {r.doc_id: r.spans for r in pii.pii_report(docs).collect()}
+    assert "secret:" in got[9] and got[10].count("iban:") == 1 and "ssn:" in got[10]
+    out = pii.redact_pii(docs).where("doc_id = 9").first()
+    assert "[EMAIL]" in out.text and "[IP]" in out.text and "[PHONE]" in out.text and "[SECRET]" in out.text and "b907ff" not in out.text and out.text.startswith("é😀 [EMAIL] 😀 [IP] ü ")
+
+
+def test_pii_on_table(spark):
+    check_pii(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def check_quality(df):
+    for r in df.select("doc_id", "text").join(quality_rules.quality_report(df), "doc_id").collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(r.text), r.doc_id
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality(docs):
+    check_quality(docs)
+    assert quality_rules.apply_rules(docs).count() == docs.count()
+
+
+def test_quality_on_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_quality(df)
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").join(df, "doc_id")
+    out = quality_rules.apply_rules(good).where("not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert out > 0.97
+
+
+def test_urls(spark):
+    urls = ["http://a.net/x", "http://NET/", "http://a.net", "https://b.example.net/en/1?x#y", "http://example.net/en", "http://example.com/de/1", "http://notexample.com/de/1", "http://x.org/fr/", "http://x.org/FR/", None, "", "nothing", "a://b://c/d", "http://net:80/", "http://cheap-pills.example.com/en/1", "http://x.com/#net/", "http://x.com/\n/q", "http://a.NET/x"]
+    pages = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)] + [(None, urls[0], "c"), (0, urls[0], "c")], "page_id long, url string, verdict string")
+    got = url_filter.url_verdicts(pages).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        want = brute.url(urls[r.page_id or 0])
+        assert (r.host, r.path, r.rule) == want
+        if want[2]:
+            assert r.verdict == brute.RULES[want[2]]
+    assert {r.page_id: r.verdict for r in got}[14] == "block"
+    assert url_filter.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_urls_on_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.url_verdicts(pages).collect()}
+    assert got == {r.page_id: brute.url(r.url) for r in pages.collect()}
+
+
+def test_rule_without_token(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/--"), (2, "http://a.b/c")], "page_id long, url string")
+    out = url_filter.judge_urls(pages, [url_filter.pattern_rule("block", "dashes", "--$", ())])
+    assert {r.page_id: r.judged.verdict for r in out.collect()} == {1: "block", 2: "allow"}
+
+
+def test_licenses(spark):
+    mit = license_scan.KNOWN["MIT"][2]
+    texts = [None, "", "Copyright (c) 2020 A. Person\n" + mit.upper(), mit.replace("sublicense", "sub-license"), mit + " more", "x\nreleased under the  MIT licence\ny\nLicensed under CC BY-NC 4.0.", "x" * 50_000]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, license string")
+    got = {r.doc_id: r for r in license_scan.license_report(df).collect()}
+    assert [got[i].license for i in range(7)] == [None, None, "MIT", "MIT", None, None, None]
+    assert got[5].notice_licenses == "CC-BY-NC-4.0,MIT" and got[5].n_notices == 2 and got[0].n_notices == 0
+    assert license_scan.license_report(df.limit(0)).count() == 0
