@@ -126,3 +126,49 @@ def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     h, q = rolling(data)
     return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+
+
+# ---- row-local Python operators ----
+
+
+def append_columns(docs: DataFrame, text: str, fields, start, drop: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> DataFrame:
+    """docs without `drop`, with the columns `fields` (a StructType) appended.
+
+    start() runs once in each task and returns work(data, offsets), which takes some rows' text as bytes and returns an
+    Arrow array or a list for each field. Rows stay where they are; memory is bound by `most` bytes or the longest text.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = [f.name for f in fields]
+    kept = [c for c in docs.columns if c not in {*drop, *names}]
+    docs = docs.select(*dict.fromkeys([*kept, text]))
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(text))
+            made = [work(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, most)]
+            if made:
+                new = [pa.concat_arrays([pa.array(x[i], kinds[i]) if not isinstance(x[i], pa.Array) else x[i].cast(kinds[i]) for x in made]) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def lists(values, lengths) -> pa.Array:
+    """An Arrow list column from its concatenated values and each row's length."""
+    at = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def lower_ascii() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
+
+
+LOWER = lower_ascii()

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import license_scan, pii, quality_rules, url_filter
+from helixmill.llm import decontaminate, license_scan, pii, quality_classifier, quality_rules, url_filter
 from helixmill.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": lambda s, d: quality_classifier.classifier_report(table(s, d, "documents"), table(s, d, "labels")),
+        "op8_decontaminate": lambda s, d: decontaminate.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_pii": lambda s, d: pii.pii_report(table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality_rules.quality_report(table(s, d, "documents")),
         "op9_license_scan": lambda s, d: license_scan.license_report(table(s, d, "documents")),
