@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import decontaminate, license_scan, packing, pii, quality_classifier, quality_rules, token_counts, url_filter
+from helixmill.llm import decontaminate, license_scan, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from helixmill.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": lambda s, d: suffix_dedup.repeats_report(table(s, d, "documents")),
         "op2_quality_classifier": lambda s, d: quality_classifier.classifier_report(table(s, d, "documents"), table(s, d, "labels")),
         "op3_packing": lambda s, d: packing.packing_report(table(s, d, "documents")),
         "op4_token_counts": lambda s, d: token_counts.token_report(table(s, d, "documents")),
