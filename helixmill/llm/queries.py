@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import decontaminate, license_scan, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from helixmill.llm import decontaminate, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from helixmill.llm.common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": lambda s, d: quality_classifier.classifier_report(table(s, d, "documents"), table(s, d, "labels")),
         "op3_packing": lambda s, d: packing.packing_report(table(s, d, "documents")),
         "op4_token_counts": lambda s, d: token_counts.token_report(table(s, d, "documents")),
+        "op5_minhash_dedup": lambda s, d: minhash_dedup.near_report(table(s, d, "documents")),
         "op8_decontaminate": lambda s, d: decontaminate.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op6_pii": lambda s, d: pii.pii_report(table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality_rules.quality_report(table(s, d, "documents")),
