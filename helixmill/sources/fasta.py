@@ -26,6 +26,14 @@ def is_genome_file(path: Column) -> Column:
     return ending & ~other
 
 
+def _joined(parts: str, order: str, text: str) -> Column:
+    """The texts of an array of structs that begin with their order, joined in it.
+
+    The order is read again after sorting: a field that nothing reads is pruned, also from below the sort.
+    """
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: F.when(x[order].isNotNull(), x[text])), "")
+
+
 def records_of(lines: DataFrame) -> DataFrame:
     """(path, record, header, seq) of a line table (path, line_no, line); text before a path's first header is skipped."""
     by_path = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -33,13 +41,13 @@ def records_of(lines: DataFrame) -> DataFrame:
     numbered = lines.withColumn("record", F.sum(header.cast("long")).over(by_path)).where("record > 0")
     part = F.when(~header, F.struct("line_no", clean_sequence(F.col("line")).alias("line")))
     grouped = numbered.groupBy("path", "record").agg(F.max(F.when(header, F.col("line"))).alias("header"), F.collect_list(part).alias("parts"))
-    return grouped.select("path", "record", "header", F.array_join(F.transform(F.array_sort("parts"), lambda x: x["line"]), "").alias("seq"))
+    return grouped.select("path", "record", "header", _joined("parts", "line_no", "line").alias("seq"))
 
 
 def joined_contigs(records: DataFrame) -> DataFrame:
     """One row for each path: the first header, and all records' sequences in order with nothing between."""
     parts = F.array_sort(F.collect_list(F.struct("record", "seq", "header")))
-    return records.groupBy("path").agg(parts.alias("parts")).select("path", F.col("parts")[0]["header"].alias("header"), F.size("parts").cast("long").alias("n_contigs"), F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("seq"))
+    return records.groupBy("path").agg(parts.alias("parts")).select("path", F.col("parts")[0]["header"].alias("header"), F.size("parts").cast("long").alias("n_contigs"), _joined("parts", "record", "seq").alias("seq"))
 
 
 def numbered_genomes(genomes: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
@@ -56,7 +64,7 @@ def numbered_genomes(genomes: DataFrame, order: list[str], limit: int | None = N
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of text files, in their order: a file is a partition's own."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))
 
     def split(batches):
         for batch in batches:

@@ -99,5 +99,5 @@ def first_reads(reads: DataFrame, limit: int | None, order: tuple[str, ...] = ("
 
 
 def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return first_reads(reads_of(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))), limit)
