@@ -34,6 +34,8 @@ from helixmill.llm.common import chunks, keep, mix, rolling, text_bytes
 WIDTH = 400
 #: Representatives of one group that one task sorts.
 TASK_RUNS = 20_000
+#: Text bytes that one pass over runs takes (a text is not divided).
+RUN_BYTES = 1 << 19
 #: Bytes of context that a task sorts at a time (a group is not divided).
 SORT_BYTES = 4 << 20
 
@@ -102,7 +104,7 @@ def runs(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, RUN_BYTES):
                 row, g, u, first, core, windows = runs_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 yield pa.RecordBatch.from_arrays([signed(g), signed(u), pa.array(k1[a:b][row]), pa.array(k2[a:b][row]), pa.array(first), pa.array(core), pa.array(windows)], names=RUN)
 
@@ -206,7 +208,7 @@ def grouped(entities: DataFrame, carried: tuple[str, ...], width: int) -> tuple[
     weight = F.max("n") if "n" in entities.columns else F.lit(1)
     member = F.struct("k1", "k2", "first", "core", "windows", *carried)
     kinds = entities.groupBy("g", "u").agg(F.count("*").alias("__members"), weight.alias("__known"), F.min(member).alias("one")).withColumn("__n", F.greatest("__members", "__known"))
-    agree = kinds.where("__members > 1").select("g", "u")
+    agree = keep(kinds.where("__members > 1").select("g", "u"), "agree")
     found = entities.join(agree, ["g", "u"]).select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + width).alias("stop"))
     unsettled = kinds.groupBy("g").agg(F.count("*").alias("m"), F.min("__n").alias("least")).where("m > 1 and least = 1").select("g", "m")
     onward = kinds.join(unsettled, "g").select("g", "u", "one.*", F.least("__n", F.lit(2)).cast("long").alias("n"), "m")
@@ -226,7 +228,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", copy_id: str | None = No
     k1, k2 = text_key(whole)
     texts = docs.select((F.col(copy_id) if copy_id else F.lit(0)).alias("__id"), whole.alias("text"), k1.alias("k1"), k2.alias("k2"))
     first = keep(runs(texts, width), "runs")
-    shared = first.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    # kept, so that the join below has an exchange on either side, whose hot keys it can split
+    shared = keep(first.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "shared")
     candidates = keep(first.join(shared, "g"), "candidates")
     found, onward = grouped(candidates, (), width)
     one_copy = texts.groupBy("k1", "k2").agg(F.min("__id").alias("__copy"))
