@@ -6,12 +6,13 @@ fixed size. BANDS x ROWS consistent weighted samples are banded; documents that
 weighted Jaccard similarity on whole texts decides (SIMILARITY or more). Linked documents form a class.
 
 Texts are the nodes, so exact copies are one node. In each bucket the member with the most bucket mates is the centre,
-and members are verified against it; then classes are taken, and only members outside the centre's class go on, each
-against all members of other classes, in rounds that double, until no pair of different classes is left unseen. So a
-group of near copies costs about one comparison each, no bucket is capped, and no group meets in one task: joins are
-on texts and buckets and split by the skew-join rules. Pairs whose samples agree in fewer than MIN_AGREE places aren't
-worth a comparison (at similarity 0.8 that has a chance below one in a million). With SIMILARITY 0.8 a pair shares a
-band with a probability of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, and more above.
+and members are verified against it; then classes are taken. Members outside their centre's class go on against all
+members of other classes, after two tests within the join that lose no link: what a text shares with no other text in
+question bounds its similarity from above (a near copy with edits of its own can't be near another such copy), and
+samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that has a chance
+below one in a million). So a group of near copies costs about one comparison each, no bucket is capped, and no group
+meets in one task: joins are on texts and buckets and split by the skew-join rules. With SIMILARITY 0.8 a pair shares
+a band with a probability of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, and more above.
 
 Classes are found by label propagation with pointer jumping on tables in the shared folder; nothing but counts and
 the frequency table comes to the driver.
@@ -112,7 +113,7 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) ->
     new[1:] = (r[1:] != r[:-1]) | (code[1:] != code[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(r)))
-    return r[at], code[at], total[at] * times
+    return r[at], code[at], total[at] * times.astype(np.float32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -158,7 +159,7 @@ def samples(row: np.ndarray, code: np.ndarray, weight: np.ndarray, n_rows: int)
     return out
 
 
-SIGNATURES = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", T.StringType()), T.StructField("agree", T.ArrayType(T.ByteType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNATURES = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", T.StringType()), T.StructField("agree", T.ArrayType(T.ByteType())), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -185,7 +186,8 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 null = pa.array(hidden)
                 blank = lambda x: pa.compute.if_else(null, pa.scalar(None, x.type), x)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), blank(agree), blank(bands)], names=schema.names)
+                total = pa.array(np.bincount(row, weights=weight, minlength=b - a).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), blank(agree), total, blank(bands)], names=schema.names)
 
     return docs.select("node", "id", "text").mapInArrow(work, schema)
 
@@ -223,7 +225,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the smallest node it is linked to, over any number of steps); links is a kept table of (x, y)."""
+    """node, label (the smallest node it is linked to, over any number of steps); links is a kept table of (x, y).
+
+    Ends when nothing moves; each round halves the way to the smallest node at least."""
     both = keep(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
     labels = keep(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     while True:
@@ -237,57 +241,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame]:
-    """(signatures of all documents, verified links between nodes: enough of them to join all similar texts). docs holds node, id, text."""
+def own_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, own): the weight of the shingles that a text shares with none of the others."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            node = batch.column("node").to_numpy()
+            for a, b in chunks(offsets, PASS_BYTES):
+                row, code, weight = weighted_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][row]), pa.array(code.view(np.int64)), pa.array(weight)], names=["node", "shingle", "weight"])
+
+    shingles = texts.select("node", "text").mapInArrow(work, "node long, shingle long, weight float")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).where("n = 1")
+    return alone.groupBy("node").agg(F.sum(F.col("weight").cast("double")).alias("own"))
+
+
+def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all documents; node and label of the nodes that may have company: equal labels are one class). docs holds node, id, text."""
     signed = keep(signatures(docs, idf), "signatures")
     nodes = signed.where("bands is not null")
     members = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = keep(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = keep(members.join(sizes, "bucket"), "members")
     some = members.groupBy("node").agg(F.sum("size").alias("mates"))
-    one_copy = nodes.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = some.join(one_copy, "node")
-    texts = keep(docs.join(wanted.select("node", F.col("id").alias("__id")).hint("shuffle_hash"), "node").where(F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"]), "texts")
-    marks = nodes.join(wanted.select("node", F.col("id").alias("__id"), "mates"), "node").where(F.col("id").eqNullSafe(F.col("__id"))).groupBy("node", "mates").agg(F.first("agree").alias("agree"))
-    members = keep(members.join(marks, "node"), "marked")  # bucket, node, size, mates, agree
+    marks = nodes.groupBy("node").agg(F.min("id").alias("__id"), F.max(F.struct("weight", "agree")).alias("of")).join(some, "node")
+    marks = keep(marks.select("node", "__id", "mates", "of.weight", "of.agree"), "marks")
+    chosen = marks.select("node", "__id").hint("shuffle_hash")
+    texts = keep(docs.join(chosen, "node").where(F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    members = keep(members.select("bucket", "node").join(marks.drop("__id"), "node"), "marked")
     agreeing = F.size(F.filter(F.zip_with("ax", "ay", lambda a, b: a == b), lambda e: e)) >= MIN_AGREE
 
     def compare(few: DataFrame, many: DataFrame, condition) -> DataFrame:
-        """Links between few (bucket, y, ay, ...) and their bucket's members."""
-        pairs = many.join(few, "bucket").where(condition).where(agreeing)
-        pairs = keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "y").groupBy("a", "b").agg(F.min("y").alias("y")).select(F.when(F.col("y") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), "y"), "pairs")
-        return keep(verified(pairs, texts, idf, least), "links")
+        """Links between few (bucket, y, ay, ...) and members of their buckets (x, ax, ...); y stays the centre, so its text is prepared once."""
+        pairs = many.join(few, "bucket").where((F.col("x") != F.col("y")) & condition & agreeing)
+        return keep(verified(keep(pairs.select("x", "y").distinct(), "pairs"), texts, idf, least), "links")
 
     top = F.max(F.struct("mates", "node", "agree")).alias("top")
-    centres = members.groupBy("bucket").agg(top).select("bucket", F.col("top.node").alias("y"), F.col("top.agree").alias("ay"))
-    plain = members.select("bucket", F.col("node").alias("x"), F.col("agree").alias("ax"))
-    links = compare(centres, plain, F.col("x") != F.col("y"))
-    used, step = None, 1
-    while True:
-        labels = components(links) if not links.isEmpty() else None
-        placed = members.select("bucket", "node", "agree", "mates")
-        placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else placed.withColumn("label", F.col("node"))
-        placed = keep(placed, "placed")
-        main = centres.select("bucket", F.col("y").alias("node")).join(placed.select("bucket", "node", F.col("label").alias("main")), ["bucket", "node"]).select("bucket", "main")
-        outside = placed.join(main, "bucket").where("label <> main")
-        outside = outside.join(used, ["bucket", "node"], "left_anti") if used is not None else outside
-        turn = F.row_number().over(_by_bucket())
-        ranked = keep(outside.select("bucket", "node", "label", "agree", turn.alias("turn")), "outside")
-        now = ranked.where(F.col("turn") <= step)
-        if now.isEmpty():
-            return signed, links
-        few = now.select("bucket", F.col("node").alias("y"), F.col("agree").alias("ay"), F.col("label").alias("ly"))
-        many = placed.select("bucket", F.col("node").alias("x"), F.col("agree").alias("ax"), F.col("label").alias("lx"))
-        more = compare(few, many, F.col("lx") != F.col("ly"))
-        links = keep(links.union(more), "links")
-        seen = now.select("bucket", "node")
-        used, step = seen if used is None else used.union(seen), step * 4
-
-
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("node")
+    centres = keep(members.groupBy("bucket").agg(top).select("bucket", F.col("top.node").alias("y"), F.col("top.agree").alias("ay")), "centres")
+    links = compare(centres, members.select("bucket", F.col("node").alias("x"), F.col("agree").alias("ax")), F.lit(True))
+    labels = components(links)
+    placed = keep(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    all_labels = placed.select("node", "label").distinct()
+    main = centres.select("bucket", F.col("y").alias("node")).join(all_labels, "node").select("bucket", F.col("label").alias("main"))
+    ruled = keep(placed.join(main, "bucket"), "ruled")
+    open_buckets = keep(ruled.where("label <> main").select("bucket").distinct(), "open")
+    inside = ruled.join(open_buckets, "bucket", "left_semi")
+    asked = keep(inside.select("node").distinct(), "asked")
+    own = own_weights(texts.join(asked, "node", "left_semi"), idf)
+    bounded = inside.join(own, "node", "left").withColumn("free", F.col("weight") - F.coalesce("own", F.lit(0.0)))
+    least_free = least - 1e-4  # room for single precision
+    bounded = keep(bounded.where(F.col("free") >= least_free * F.col("weight")), "bounded")
+    shared = F.least("fx", "fy")
+    able = (F.col("lx") != F.col("ly")) & (shared >= least_free * (F.col("wx") + F.col("wy") - shared))
+    side = lambda df, s: df.select("bucket", F.col("node").alias(s), F.col("agree").alias(f"a{s}"), F.col("label").alias(f"l{s}"), F.col("weight").alias(f"w{s}"), F.col("free").alias(f"f{s}"))
+    more = compare(side(bounded.where("label <> main"), "y"), side(bounded, "x"), able)
+    between = more.join(all_labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x").join(all_labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y")
+    joined = components(keep(between.select(F.col("lx").alias("x"), F.col("ly").alias("y")), "between"))
+    final = all_labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left")
+    return signed, keep(final.select("node", F.coalesce("whole", "label").alias("label")), "classes")
 
 
 def prepared(docs: DataFrame, text: str, id_column: str) -> DataFrame:
@@ -299,8 +312,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     """node (xxhash64 of the text), id, class_id (the smallest id of the class), class_size, is_first; a row for each document."""
     own = prepared(docs, text, id_column)
     idf = inverse_frequencies(*document_frequencies(own))
-    signed, links = near_links(own, idf, least)
-    labels = components(links)
+    signed, labels = near_labels(own, idf, least)
     rows = signed.select("node", "id", F.col("bands").isNull().alias("alone")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")).alias("first")
     classes = rows.where("not alone").groupBy("label").agg(first, F.count("*").alias("size"))
