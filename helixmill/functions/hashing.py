@@ -84,11 +84,11 @@ def pair_key(a: Column, b: Column) -> Column:
 
 def mixed(df, column: str, name: str):
     """df with the finalizer of a long column (wrapping arithmetic, so in numpy over Arrow batches)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    import pyarrow as pa
+    from pyspark.sql import types as T
 
-    @pandas_udf("long")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(mix_array(values.to_numpy(np.int64)))
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix_array(batch.column(column).to_numpy(zero_copy_only=False)))], names=[*batch.schema.names, name])
 
-    return df.withColumn(name, run(column))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))

@@ -104,7 +104,7 @@ def minimizers(sequences: DataFrame, id_column: str = "genome_id", sequence: str
 
 
 def mmers(sequences: DataFrame, id_column: str, sequence: str, k: int = 29) -> DataFrame:
-    """(id, pos from 1, mmer): valid canonical m-mers."""
+    """(id, pos from 1, mmer): valid canonical m-mers of the sequences that are long enough for windows."""
     k, step, m = kmer_parameters(k)
     own = sequences.select(id_column, sequence)
     schema = T.StructType([own.schema[id_column], T.StructField("pos", T.LongType()), T.StructField("mmer", T.LongType())])
@@ -113,7 +113,7 @@ def mmers(sequences: DataFrame, id_column: str, sequence: str, k: int = 29) -> D
         for batch in batches:
             for i, s in enumerate(batch.column(sequence)):
                 text = s.as_py()
-                if text is None or len(text) < m:
+                if text is None or len(text) < k:
                     continue
                 found = canonical_mmers(np.frombuffer(text.encode("ascii", "replace"), np.uint8), m)
                 at = np.flatnonzero(found != INVALID)
