@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.llm import decontaminate, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 from helixmill.llm.common import table
+from helixmill.llm.oracles import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
