@@ -50,7 +50,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         held, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PASS_BYTES):
                 hashes, first = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), np.diff(first))
                 seen = np.unique(row * SLOTS + (hashes >> np.uint64(48)).astype(np.int64))
@@ -211,9 +211,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
             return held[node]
 
         for batch in batches:
-            x, y, tx, ty = (batch.column(c).to_pylist() for c in ("x", "y", "tx", "ty"))
-            ok = [i for i in range(len(x)) if similarity(of(x[i], tx[i]), of(y[i], ty[i])) >= least]
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(ok, pa.int64())), batch.column("y").take(pa.array(ok, pa.int64()))], names=["x", "y"])
+            for at in range(0, len(batch), 256):  # few texts at a time outside Arrow's buffers
+                part = batch.slice(at, 256)
+                x, y, tx, ty = (part.column(c).to_pylist() for c in ("x", "y", "tx", "ty"))
+                ok = pa.array([i for i in range(len(x)) if similarity(of(x[i], tx[i]), of(y[i], ty[i])) >= least], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("x").take(ok), part.column("y").take(ok)], names=["x", "y"])
 
     one = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     other = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
@@ -266,16 +268,16 @@ def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFra
     sizes = keep(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = keep(members.join(sizes, "bucket"), "members")
     some = members.groupBy("node").agg(F.sum("size").alias("mates"))
-    marks = nodes.groupBy("node").agg(F.min("id").alias("__id"), F.max(F.struct("weight", "agree")).alias("of")).join(some, "node")
-    marks = keep(marks.select("node", "__id", "mates", "of.weight", "of.agree"), "marks")
+    marks = nodes.groupBy("node").agg(F.min("id").alias("__id"), F.max(F.struct("weight", "agree", "bands")).alias("of")).join(some, "node")
+    marks = keep(marks.select("node", "__id", "mates", "of.weight", "of.agree", "of.bands"), "marks")
     chosen = marks.select("node", "__id").hint("shuffle_hash")
     texts = keep(docs.join(chosen, "node").where(F.col("id").eqNullSafe(F.col("__id"))).select("node", "text").dropDuplicates(["node"]), "texts")
-    members = keep(members.select("bucket", "node").join(marks.drop("__id"), "node"), "marked")
+    members = keep(members.select("bucket", "node").join(marks.drop("__id", "bands"), "node"), "marked")
     agreeing = F.size(F.filter(F.zip_with("ax", "ay", lambda a, b: a == b), lambda e: e)) >= MIN_AGREE
 
     def compare(few: DataFrame, many: DataFrame, condition) -> DataFrame:
         """Links between few (bucket, y, ay, ...) and members of their buckets (x, ax, ...); y stays the centre, so its text is prepared once."""
-        pairs = many.join(few, "bucket").where((F.col("x") != F.col("y")) & condition & agreeing)
+        pairs = many.join(few, "bucket").where((F.col("x") != F.col("y")) & agreeing & condition)
         return keep(verified(keep(pairs.select("x", "y").distinct(), "pairs"), texts, idf, least), "links")
 
     top = F.max(F.struct("mates", "node", "agree")).alias("top")
@@ -292,10 +294,12 @@ def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFra
     own = own_weights(texts.join(asked, "node", "left_semi"), idf)
     bounded = inside.join(own, "node", "left").withColumn("free", F.col("weight") - F.coalesce("own", F.lit(0.0)))
     least_free = least - 1e-4  # room for single precision
-    bounded = keep(bounded.where(F.col("free") >= least_free * F.col("weight")), "bounded")
+    bounded = bounded.where(F.col("free") >= least_free * F.col("weight"))
+    bounded = keep(bounded.join(marks.select("node", "bands"), "node"), "bounded")
     shared = F.least("fx", "fy")
     able = (F.col("lx") != F.col("ly")) & (shared >= least_free * (F.col("wx") + F.col("wy") - shared))
-    side = lambda df, s: df.select("bucket", F.col("node").alias(s), F.col("agree").alias(f"a{s}"), F.col("label").alias(f"l{s}"), F.col("weight").alias(f"w{s}"), F.col("free").alias(f"f{s}"))
+    able &= F.array_min(F.array_intersect("bx", "by")) == F.col("bucket")  # a pair comes up in the first bucket that it shares, not in each
+    side = lambda df, s: df.select("bucket", F.col("node").alias(s), F.col("agree").alias(f"a{s}"), F.col("label").alias(f"l{s}"), F.col("weight").alias(f"w{s}"), F.col("free").alias(f"f{s}"), F.col("bands").alias(f"b{s}"))
     more = compare(side(bounded.where("label <> main"), "y"), side(bounded, "x"), able)
     between = more.join(all_labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x").join(all_labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y")
     joined = components(keep(between.select(F.col("lx").alias("x"), F.col("ly").alias("y")), "between"))
