@@ -107,9 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     usable = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where((remainder(F.col("doc_id")) != 0) & F.col("__label").isin(0, 1))
     chosen = usable.distinct().withColumn("__turn", F.xxhash64("doc_id", F.lit(17))).orderBy("__turn", "doc_id", "__label").limit(most)
     # the chosen ids are few by the bound above
-    rows = featurize(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "__turn", "__label", text), text).collect()
-    rows.sort(key=lambda r: (r["__turn"], r["doc_id"], r["__label"], len(r["slots"])))
-    return ftrl([(np.array(r["slots"], np.int64), np.array(r["counts"], np.float64), r["__label"]) for r in rows[: 2 * most]])
+    rows = featurize(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "__turn", "__label", text), text)
+    t = rows.toArrow()  # flat arrays, not Python lists of numbers
+    size = t.column("slots").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0, np.int64)
+    keys = [t.column(c).to_numpy() for c in ("__label", "doc_id", "__turn")]
+    order = np.lexsort((size, *keys))[: 2 * most]
+    slots, counts = t.column("slots").combine_chunks(), t.column("counts").combine_chunks()
+    return ftrl([(slots[i].values.to_numpy(), counts[i].values.to_numpy(), int(keys[0][i])) for i in order.tolist()])
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
