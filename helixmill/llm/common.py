@@ -37,9 +37,21 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     path = f"{shared_dir(spark)}/helixmill-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[str] = []
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Deletes the tables that keep() has written in this process; for when the results made from them are stored."""
+    jvm = spark.sparkContext._jvm
+    while _kept:
+        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---- text columns of Arrow batches as bytes ----
 
 

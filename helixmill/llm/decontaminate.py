@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from helixmill.llm.common import LOWER, append_columns, keep, lists, span_hashes, spans, text_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # of item text; a block's arrays take some twenty times that in a worker
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from helixmill.llm.common import append_columns, keep
-from helixmill.llm.token_counts import read_ranks, split_pattern, vocabulary_path
+from helixmill.llm.token_counts import parse_ranks, split_pattern, vocabulary_path
 
 SIZE, END_ID = 1024, 2
 #: Pieces that one packing task takes.
@@ -37,14 +37,9 @@ PIECES = T.StructType([T.StructField("pieces", T.ArrayType(PIECE))])
 
 def encoder(vocabulary: str):
     """ids(text) under the vocabulary file's content, as the tokenizers library gives them without added special tokens."""
-    import tempfile
-
     import tiktoken
 
-    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f:
-        f.write(vocabulary)
-        f.flush()
-        ranks, special = read_ranks.__wrapped__(f.name)
+    ranks, special = parse_ranks(vocabulary)
     fast = tiktoken.Encoding("vocabulary", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
     held: list = []
 

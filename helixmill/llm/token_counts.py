@@ -35,16 +35,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def read_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """Pieces with their ids, and special tokens with theirs, of a byte-level vocabulary file."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+def parse_ranks(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Pieces with their ids, and special tokens with theirs, from a byte-level vocabulary file's content."""
+    found = json.loads(vocabulary)
     special = {t["content"]: t["id"] for t in found.get("added_tokens", [])}
     letters = byte_letters()
     return {bytes(letters[c] for c in piece): i for piece, i in found["model"]["vocab"].items() if piece not in special}, special
 
 
+@lru_cache(maxsize=2)
+def read_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    with open(path, encoding="utf-8") as f:
+        return parse_ranks(f.read())
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
