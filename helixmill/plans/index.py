@@ -20,6 +20,8 @@ from helixmill.operators.similarity import cardinalities, sample_pairs
 #: What an index must have been built with (fixed values of this format).
 FORMAT = {"format": "1", "minimizer": "canonical-2bit", "window": "step-adjacent-mmers", "bloom": "prime-bits-64-bit-words", "bloom_hash": "murmur2-32-seeds-0-1", "probe": "double-hash-zero-step-to-one"}
 SKETCH = 1024
+#: Minimizers that one genome of an index holds; a larger set is divided, and each part is a genome under the same name.
+MOST_MINIMIZERS = 2_147_483_647 - 64_424_509
 
 
 def coerced_fpp(fpp: float) -> float:
@@ -47,16 +49,37 @@ class Sketches:
         return float(1 / (1 - np.log(cosine)))
 
 
+def divided(mz: DataFrame, genomes: DataFrame, most: int = MOST_MINIMIZERS) -> tuple[DataFrame, DataFrame]:
+    """mz (genome_id, mz) and genomes (genome_id, name), with sets above `most` divided evenly by hash under new ids after the known ones."""
+    large = cardinalities(mz).where(F.col("n_minimizers") > most).select("genome_id", F.ceil(F.col("n_minimizers") * 1.02 / most).cast("int").alias("parts")).collect()
+    if not large:
+        return mz, genomes
+    spark, first = mz.sparkSession, genomes.agg(F.max("genome_id")).first()[0] + 1
+    rows = []
+    for r in sorted(large):
+        for part in range(r["parts"]):
+            rows.append((r["genome_id"], part, r["parts"], r["genome_id"] if part == 0 else first))
+            first += part > 0
+    parts = F.broadcast(spark.createDataFrame(rows, "genome_id int, part int, parts int, new int"))  # a few rows for each divided genome
+    which = F.pmod(F.xxhash64("mz"), F.col("parts"))
+    new_mz = mz.join(parts.where("part = 0").select("genome_id", "parts"), "genome_id", "left").withColumn("part", F.coalesce(which, F.lit(0)).cast("int"))
+    renamed = new_mz.join(parts.select("genome_id", "part", "new"), ["genome_id", "part"], "left").select(F.coalesce("new", "genome_id").alias("genome_id"), "mz")
+    more = genomes.join(parts.where("part > 0"), "genome_id").select(F.col("new").alias("genome_id"), "name")
+    return renamed, genomes.select("genome_id", "name").unionByName(more)
+
+
 def _write(df: DataFrame, path: str, name: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(f"{path}/{name}")
     return df.sparkSession.read.parquet(f"{path}/{name}")
 
 
-def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29, fpp: float = DEFAULT_FPP, seed: int = SEED) -> dict:
+def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29, fpp: float = DEFAULT_FPP, seed: int = SEED, max_set: int = MOST_MINIMIZERS) -> dict:
     """Builds an index of genomes (genome_id, name, seq) at path, which must not hold one; returns the metadata."""
     k, step, m = kmer_parameters(k)
     fpp = coerced_fpp(fpp)
-    mz = _write(minimizers(genomes, "genome_id", "seq", k), path, "genome_minimizers")
+    found = minimizers(genomes, "genome_id", "seq", k).checkpoint()
+    found, genomes = divided(found, genomes, max_set)
+    mz = _write(found, path, "genome_minimizers")
     sizes = cardinalities(mz)
     listed = _write(genomes.join(sizes, "genome_id").select("genome_id", "name", "n_minimizers"), path, "genomes")
     ids = [r[0] for r in listed.select("genome_id").orderBy("genome_id").collect()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import bloom, clustering
 from helixmill.plans.classify import classify, write_csv
-from helixmill.plans.index import build_index, open_index
+from helixmill.plans.index import build_index, divided, open_index
 from helixmill.sources.fasta import is_genome_file, read_fasta
 from helixmill.sources.fastq import parse_fastq, read_fastq
 from helixmill.streaming.reads import classify_arriving
@@ -139,3 +139,14 @@ def test_refusals(spark, made, tmp_path):
         build_index(spark, read_fasta(spark, str(folder / "all.fna"), limit=9), str(tmp_path / "few"))
     with pytest.raises(ValueError, match="no complete index"):
         open_index(spark, str(tmp_path / "few"))
+
+
+def test_divided(spark):
+    mz = spark.createDataFrame([(g, v) for g, n in ((0, 1000), (1, 50), (2, 400)) for v in range(n)], "genome_id int, mz long")
+    genomes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "genome_id int, name string")
+    new, named = divided(mz, genomes, 300)
+    sizes = {r[0]: r[1] for r in new.groupBy("genome_id").count().collect()}
+    names = {r.genome_id: r.name for r in named.collect()}
+    assert sum(sizes.values()) == 1450 and sizes[1] == 50 and set(sizes) == set(names) == set(range(7)) - ({6} if len(sizes) == 6 else set())
+    assert [names[g] for g in (0, 1, 2)] == ["a", "b", "c"] and new.join(named.where("name = 'a'"), "genome_id").count() == 1000
+    assert divided(mz, genomes)[0] is mz
