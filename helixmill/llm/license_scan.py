@@ -59,7 +59,8 @@ def known_digests(spark, known: dict[str, list[str]] | None = None) -> DataFrame
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", broadcast_known: bool = True) -> DataFrame:
     """docs with `license_digest`, `license` (of the whole text or null) and `notices`: array of (line from 0, license).
 
-    known holds __digest and __license; broadcast_known says that it is of bounded size, as the built-in list is.
+    known holds __digest and __license. broadcast_known says that it is of bounded size, as the built-in list is; without
+    that, whole texts are looked up by a shuffled join and single lines aren't.
     """
     held = F.broadcast(known) if broadcast_known else known
     # lines are looked up in the document's own row: no line leaves its document, so nothing is grouped again
