@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.functions.lineage import shared_dir
+
 CHUNK_BYTES = 1 << 21  # text bytes that one numpy pass takes; a longer text is a chunk of its own
 
 
@@ -16,21 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="helixmill-checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, so a lost executor costs only what it ran."""
     spark = df.sparkSession

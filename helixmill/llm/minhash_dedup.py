@@ -7,9 +7,9 @@ weighted Jaccard similarity on whole texts decides (SIMILARITY or more). Linked
 
 Texts are the nodes, so exact copies are one node. In each bucket the member with the most bucket mates is the centre,
 and members are verified against it; then classes are taken. Members outside their centre's class go on against all
-members of other classes, after two tests within the join that lose no link: what a text shares with no other text in
-question bounds its similarity from above (a near copy with edits of its own can't be near another such copy), and
-samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that has a chance
+members of other classes, after two tests within the join that lose no link: what a text has in common with any
+other text in question, part by part of the hash, bounds its similarity from above (near copies that each have edits of
+their own aren't near each other), and samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that has a chance
 below one in a million). So a group of near copies costs about one comparison each, no bucket is capped, and no group
 meets in one task: joins are on texts and buckets and split by the skew-join rules. With SIMILARITY 0.8 a pair shares
 a band with a probability of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, and more above.
@@ -35,6 +35,8 @@ BANDS, ROWS = 14, 4
 MIN_AGREE = 30
 #: Hashed slots of the document-frequency table: its size is fixed, so it can be broadcast.
 SLOTS = 1 << 16
+#: Parts of the hash by which shareable weights are bounded; a power of two.
+PARTS = 64
 BLOCK = 1 << 12
 #: Text bytes for one sampling pass: its arrays stay in the processor's cache.
 PASS_BYTES = 1 << 18
@@ -243,21 +245,41 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def own_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, own): the weight of the shingles that a text shares with none of the others."""
+def shareable_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, free): the weight of those shingles that others of the texts have too, by PARTS parts of the hash.
+
+    Two texts share at most the sum of the smaller weights of each part; what each has lost of a common original falls
+    into different parts, so the bound is close.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(idf)
 
-    def work(batches):
+    def sets(batch):
+        data, offsets = text_bytes(batch.column("text"))
+        for a, b in chunks(offsets, PASS_BYTES):
+            yield a, b, weighted_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sent.value)
+
+    def spread(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
             node = batch.column("node").to_numpy()
-            for a, b in chunks(offsets, PASS_BYTES):
-                row, code, weight = weighted_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sent.value)
+            for a, b, (row, code, weight) in sets(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:b][row]), pa.array(code.view(np.int64)), pa.array(weight)], names=["node", "shingle", "weight"])
 
-    shingles = texts.select("node", "text").mapInArrow(work, "node long, shingle long, weight float")
+    def gather(batches):
+        for batch in batches:
+            own = batch.column("own").to_pylist()
+            for a, b, (row, code, weight) in sets(batch):
+                whole = np.bincount(row * PARTS + (code % np.uint64(PARTS)).astype(np.int64), weights=weight, minlength=(b - a) * PARTS).astype(np.float64).reshape(b - a, PARTS)
+                for i in range(a, b):
+                    for x in own[i] or ():
+                        whole[i - a, x["part"]] -= x["weight"]
+                free = pa.FixedSizeListArray.from_arrays(pa.array(np.maximum(whole, 0).astype(np.float32).ravel()), PARTS).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), free], names=["node", "free"])
+
+    shingles = texts.select("node", "text").mapInArrow(spread, "node long, shingle long, weight float")
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).where("n = 1")
-    return alone.groupBy("node").agg(F.sum(F.col("weight").cast("double")).alias("own"))
+    own = alone.groupBy("node", F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    own = own.groupBy("node").agg(F.collect_list(F.struct("part", "weight")).alias("own"))
+    return texts.select("node", "text").join(own.hint("shuffle_hash"), "node", "left").mapInArrow(gather, "node long, free array<float>")
 
 
 def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame]:
@@ -291,13 +313,13 @@ def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFra
     open_buckets = keep(ruled.where("label <> main").select("bucket").distinct(), "open")
     inside = ruled.join(open_buckets, "bucket", "left_semi")
     asked = keep(inside.select("node").distinct(), "asked")
-    own = own_weights(texts.join(asked, "node", "left_semi"), idf)
-    bounded = inside.join(own, "node", "left").withColumn("free", F.col("weight") - F.coalesce("own", F.lit(0.0)))
     least_free = least - 1e-4  # room for single precision
-    bounded = bounded.where(F.col("free") >= least_free * F.col("weight"))
-    bounded = keep(bounded.join(marks.select("node", "bands"), "node"), "bounded")
-    shared = F.least("fx", "fy")
-    able = (F.col("lx") != F.col("ly")) & (shared >= least_free * (F.col("wx") + F.col("wy") - shared))
+    free = keep(shareable_weights(texts.join(asked, "node", "left_semi"), idf), "free")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    able = free.join(marks.select("node", "bands"), "node")
+    bounded = keep(inside.join(able, "node").where(total("free") >= least_free * F.col("weight")), "bounded")
+    shared = total(F.zip_with("fx", "fy", lambda a, b: F.least(a, b)))
+    able = (F.col("lx") != F.col("ly")) & (shared * (1 + least_free) >= least_free * (F.col("wx") + F.col("wy")))
     able &= F.array_min(F.array_intersect("bx", "by")) == F.col("bucket")  # a pair comes up in the first bucket that it shares, not in each
     side = lambda df, s: df.select("bucket", F.col("node").alias(s), F.col("agree").alias(f"a{s}"), F.col("label").alias(f"l{s}"), F.col("weight").alias(f"w{s}"), F.col("free").alias(f"f{s}"), F.col("bands").alias(f"b{s}"))
     more = compare(side(bounded.where("label <> main"), "y"), side(bounded, "x"), able)
