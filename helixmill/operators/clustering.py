@@ -15,6 +15,7 @@ from random import Random
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions.hashing import node_seed, unit
+from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import MIN_GENOMES, adaptive_bound, calibration_budget, leader_limit
 
 SMALLEST_CLUSTER = 10
@@ -221,7 +222,7 @@ def tree_paths(tree: DataFrame, root: int = 0) -> DataFrame:
     level = tree.where(F.col("node_id") == root).select("filter_id", "child_node_id", F.col("child_ord").cast("string").alias("path"), "members")
     out = None
     while True:
-        level = level.checkpoint()
+        level = cut(level)
         ends = level.where("child_node_id is null").select("filter_id", "path", F.col("members")[0].alias("genome_id"))
         out = ends if out is None else out.unionByName(ends)
         inner = level.where("child_node_id is not null").select(F.col("child_node_id").alias("node_id"), F.col("path").alias("before"))

@@ -10,7 +10,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixmill.functions.hashing import mix_array
+from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import DEFAULT_FPP, MIN_GENOMES, kmer_parameters, sample_size
 from helixmill.operators import bloom
 from helixmill.operators.clustering import SEED, Similarities, build_tree, mean_std, tree_frame, union_cardinalities
@@ -77,7 +77,7 @@ def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29,
     """Builds an index of genomes (genome_id, name, seq) at path, which must not hold one; returns the metadata."""
     k, step, m = kmer_parameters(k)
     fpp = coerced_fpp(fpp)
-    found = minimizers(genomes, "genome_id", "seq", k).checkpoint()
+    found = cut(minimizers(genomes, "genome_id", "seq", k))
     found, genomes = divided(found, genomes, max_set)
     mz = _write(found, path, "genome_minimizers")
     sizes = cardinalities(mz)

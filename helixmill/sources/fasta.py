@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from helixmill.functions.lineage import cut
 from helixmill.functions.sequences import clean_sequence, genome_name
 
 #: Endings of genome files, and marks of files that hold something else (fixed values).
@@ -56,7 +57,7 @@ def numbered_genomes(genomes: DataFrame, order: list[str], limit: int | None = N
     Ids are dense, so their order is a global one: partitions are range-sorted, counted, and numbered from those counts.
     """
     ranged = genomes.select(*order, genome_name(F.col("header")).alias("name"), "seq").repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33)).checkpoint()
+    placed = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33)))
     before = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # one row a partition
     out = placed.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__at")).cast("int").alias("genome_id"), "name", "seq")
     return out.where(F.col("genome_id") < limit) if limit and limit > 0 else out
