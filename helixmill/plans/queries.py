@@ -111,7 +111,7 @@ def fastq_files(s, d):
     cut = genomes(s, d).where(F.length("seq") >= K).select("filter_id", "genome_id", F.substring("seq", 1, READ_BASES).alias("seq"))
     quality = F.when(F.col("genome_id") % 7 == 3, F.lit("I")).otherwise(F.expr("repeat('@', length(seq))"))
     stray = F.when(F.col("genome_id") % 5 == 1, F.lit("stray line\n")).otherwise(F.lit(""))
-    record = F.concat(stray, F.lit("@"), F.col("genome_id"), F.lit("\n"), F.substring("seq", 1, 100), F.lit("\n"), F.substring(F.col("seq"), F.lit(101), F.lit(READ_BASES)), F.lit("\n+\n"), quality, F.lit("\n"))
+    record = F.concat(stray, F.lit("@"), F.col("genome_id"), F.lit("\n"), F.substring("seq", 1, 100), F.when(F.length("seq") > 100, F.concat(F.lit("\n"), F.substring(F.col("seq"), F.lit(101), F.lit(READ_BASES)))).otherwise(""), F.lit("\n+\n"), quality, F.lit("\n"))
     parts = F.array_sort(F.collect_list(F.struct("genome_id", record.alias("r"))))
     return cut.groupBy("filter_id").agg(parts.alias("p")).select(F.concat(F.lit("src"), F.col("filter_id")).alias("path"), F.array_join(F.transform("p", lambda x: F.when(x["genome_id"].isNotNull(), x["r"])), "").alias("whole"))
 
