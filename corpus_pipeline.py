@@ -11,9 +11,16 @@ from helixmill.llm import decontaminate, minhash_dedup, packing, pii, quality_cl
 from helixmill.llm.common import keep, table
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with all columns but doc_id and text under names that no operator uses, and the expressions that bring them back."""
+    names = {c: f"own__{c}" for c in docs.columns if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from their labelled rows, scores at the threshold or above."""
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    own, back = aside(docs)
+    return quality_classifier.classify(own, table(spark, sf_dir, "labels")).where("predicted = 1").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +28,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    own, back = aside(docs)
+    return decontaminate.remove_contaminated(own, table(spark, sf_dir, "benchmark")).select(*back)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data; n_chars follows where a text changed."""
-    masked = pii.redact_pii(docs)
+    own, back = aside(docs)
+    masked = pii.redact_pii(own)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        masked = masked.withColumn("own__n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("own__n_chars")))
+    return masked.select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
