@@ -7,10 +7,10 @@ weighted Jaccard similarity on whole texts decides (SIMILARITY or more). Linked
 
 Texts are the nodes, so exact copies are one node. In each bucket the member with the most bucket mates is the centre,
 and members are verified against it; then classes are taken. Members outside their centre's class go on against all
-members of other classes, after two tests within the join that lose no link: what a text has in common with any
-other text in question, part by part of the hash, bounds its similarity from above (near copies that each have edits of
-their own aren't near each other), and samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that has a chance
-below one in a million). So a group of near copies costs about one comparison each, no bucket is capped, and no group
+members of other classes, after two tests within the join: what a text has in common with any other text in question,
+part by part of the hash, bounds its similarity from above (near copies that each have edits of their own aren't near
+each other), and samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that
+has a chance of two in a million). So a group of near copies costs about one comparison each, no bucket is capped, and no group
 meets in one task: joins are on texts and buckets and split by the skew-join rules. With SIMILARITY 0.8 a pair shares
 a band with a probability of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, and more above.
 

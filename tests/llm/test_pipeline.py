@@ -76,3 +76,18 @@ def test_packing(steps):
 
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, SMALL).count() == steps[5].count()
+
+
+def test_odd_rows(spark):
+    """Nulls, repeated rows and clashing names pass every stage."""
+    text = "the words of a plain text that is here more than once and long enough to be one"
+    rows = [(1, text, "en", 2, 0.1), (1, text, "en", 2, 0.2), (None, text, None, None, 0.3), (2, None, None, None, None), (3, "", "x", 0, 1.0), (4, "write to a.b@mail.example.com about the text", "en", 5, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, score double")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.dtypes == docs.dtypes and out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    masked = {r.doc_id: r for r in corpus_pipeline.mask_pii(spark, docs, SMALL).collect()}
+    assert masked[4].text == "write to [EMAIL] about the text" and masked[4].n_chars == len(masked[4].text) and masked[4].score == 0.5
+    assert sum(r.text == text for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == 1
+    assert corpus_pipeline.pack_sequences(spark, docs, SMALL).count() == len(rows)
