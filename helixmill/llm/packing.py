@@ -35,12 +35,12 @@ PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("st
 PIECES = T.StructType([T.StructField("pieces", T.ArrayType(PIECE))])
 
 
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, pattern: str):
     """ids(text) under the vocabulary file's content, as the tokenizers library gives them without added special tokens."""
     import tiktoken
 
     ranks, special = parse_ranks(vocabulary)
-    fast = tiktoken.Encoding("vocabulary", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     held: list = []
 
     def ids(text: str) -> list[int]:
@@ -65,10 +65,10 @@ def cuts(n: int, size: int) -> list[int]:
 def tokenized(docs: DataFrame, path: str | None, text: str, size: int, end_id: int) -> DataFrame:
     """A row for each piece: the columns of docs but text, piece, start, length, ids_crc32."""
     with open(path or vocabulary_path(), encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        sent = docs.sparkSession.sparkContext.broadcast((f.read(), split_pattern()))
 
     def start():
-        ids = encoder(sent.value)
+        ids = encoder(*sent.value)
 
         def work(data, offsets):
             whole = data.tobytes()
