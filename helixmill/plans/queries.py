@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmill.functions.hashing import mixed, murmur2_pair, pair_key
+from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import adaptive_bound_column, growth_weight_column, kmer_columns, leader_limit_column
 from helixmill.functions.sequences import as_dna, clean_sequence, csv_field, genome_name
 from helixmill.operators import bloom, classification, clustering, similarity as sim
@@ -68,6 +69,12 @@ def filters(s: SparkSession, d: str) -> DataFrame:
     return bloom.filter_table(s, capacities(s, d))
 
 
+def bloom_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The filters' elements and parameters, computed once for all that is made of them."""
+    elements = cut(filter_mz(s, d))
+    return elements, cut(bloom.filter_table(s, elements.groupBy("filter_id").agg(F.count("*").alias("capacity"))))
+
+
 def fasta_lines(s: SparkSession, d: str) -> DataFrame:
     """A file for each source, a record for each document, in lines as they are in the text."""
     lines = F.concat(F.array(F.concat(F.lit(">doc,"), F.col("doc_id"))), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~x.startswith(">")))
@@ -170,11 +177,11 @@ def theta_card(s, d):
 
 
 def cosine_log_similarity(s, d):
-    return sim.similarity(genome_mz(s, d)).select("a", "b", F.round("score", 9).alias("score"))
+    return sim.similarity(cut(genome_mz(s, d))).select("a", "b", F.round("score", 9).alias("score"))
 
 
 def jaccard(s, d):
-    return sim.similarity(genome_mz(s, d)).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return sim.similarity(cut(genome_mz(s, d))).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 def pair_sample(s, d):
@@ -182,7 +189,7 @@ def pair_sample(s, d):
 
 
 def pair_classes(s, d):
-    return sim.pair_classes(sim.pair_counts(pair_sample(s, d), genome_mz(s, d)))
+    return sim.pair_classes(sim.pair_counts(cut(pair_sample(s, d)), cut(genome_mz(s, d))))
 
 
 def calibration_counts(s, d):
@@ -190,17 +197,17 @@ def calibration_counts(s, d):
 
 
 def similarity_stats(s, d):
-    out = sim.similarity_stats(sim.similarity(genome_mz(s, d)))
+    out = sim.similarity_stats(sim.similarity(cut(genome_mz(s, d))))
     return out.select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 def positive_percentile(s, d):
-    scores = sim.similarity(genome_mz(s, d)).select("a", "b", F.round("score", 9).alias("score"))
+    scores = sim.similarity(cut(genome_mz(s, d))).select("a", "b", F.round("score", 9).alias("score"))
     return sim.percentiles(scores).select("a", "b", F.round("percentile", 9).alias("percentile"))
 
 
 def cluster_union_card(s, d):
-    out = clustering.running_unions(members(s, d), genome_mz(s, d), ["filter_id"], "genome_id")
+    out = clustering.running_unions(members(s, d), cut(genome_mz(s, d)), ["filter_id"], "genome_id")
     return out.select("filter_id", "genome_id", F.col("running").cast("long").alias("running"))
 
 
@@ -270,25 +277,25 @@ def bloom_sizing(s, d):
 
 
 def bloom_probes(s, d):
-    return bloom.probes(filter_mz(s, d), filters(s, d)).groupBy("filter_id", "shard").agg(F.count("*").alias("n_probes"), F.sum("bit").alias("bit_sum"))
+    return bloom.probes(*bloom_parts(s, d)).groupBy("filter_id", "shard").agg(F.count("*").alias("n_probes"), F.sum("bit").alias("bit_sum"))
 
 
 def bloom_bits(s, d):
-    words = bloom.insert(filter_mz(s, d), filters(s, d))
+    words = bloom.insert(*bloom_parts(s, d))
     return words.groupBy("filter_id", "shard").agg(F.sum(F.bit_count("value")).cast("long").alias("set_bits"))
 
 
 def bloom_contains(s, d):
-    known = filters(s, d)
-    asked = item_mz(s, d).crossJoin(members(s, d).select("filter_id").distinct()).select("item_id", "filter_id", "mz")  # every item asks each of the few filters
-    found = bloom.contains(asked, known, bloom.insert(filter_mz(s, d), known))
+    elements, known = bloom_parts(s, d)
+    asked = item_mz(s, d).crossJoin(F.broadcast(known.select("filter_id")))  # every item asks each of the few filters
+    found = bloom.contains(asked.select("item_id", "filter_id", "mz"), known, bloom.insert(elements, known))
     return found.groupBy("item_id", "filter_id").agg(F.count("*").alias("hits"))
 
 
 def _stats(s, d):
-    known = filters(s, d)
+    elements, known = bloom_parts(s, d)
     inserted = members(s, d).join(genome_mz(s, d), "genome_id").groupBy("filter_id").agg(F.count("*").alias("inserted"))
-    return bloom.statistics(known, bloom.insert(filter_mz(s, d), known), inserted)
+    return bloom.statistics(known, bloom.insert(elements, known), inserted)
 
 
 def bloom_estimate(s, d):
@@ -310,12 +317,12 @@ def cluster_elements(s, d):
 # ---- classification ----
 
 
-def first_level(s, d):
-    """(reads with their minimizers' number, branches, hits) at the root."""
-    mz = read_mz(s, d)
+def first_level(s, d, mz: DataFrame | None = None, held: DataFrame | None = None):
+    """(reads with their minimizers' number, branches, hits) at the root; held: the genomes' minimizers with their branch."""
+    mz = cut(read_mz(s, d)) if mz is None else mz
     own = mz.groupBy("read_id").agg(F.count("*").alias("n_minimizers")).withColumn("node_id", F.lit(0))
-    branches = capacities(s, d).select(F.lit(0).alias("node_id"), F.col("filter_id").alias("branch"), F.col("filter_id").alias("child_ord"), F.col("capacity").alias("n_elements"))
-    membership = filter_mz(s, d).select(F.lit(0).alias("node_id"), F.col("filter_id").alias("branch"), "mz")
+    membership = cut((held.select("filter_id", "mz").distinct() if held is not None else filter_mz(s, d)).select(F.lit(0).alias("node_id"), F.col("filter_id").alias("branch"), "mz"))
+    branches = membership.groupBy("node_id", "branch").agg(F.count("*").alias("n_elements")).withColumn("child_ord", F.col("branch"))
     return own, branches, classification.exact_hits(mz.withColumn("node_id", F.lit(0)), membership)
 
 
@@ -343,11 +350,12 @@ def best_child(s, d):
 
 def descended(s, d):
     """(read_id, genome_id, hits, n_minimizers, score) and the hits (read_id, genome_id, mz) at the end of the descent."""
-    own, branches, hits = first_level(s, d)
-    at = classification.best_by_hits(hits, own, branches).where("hits > 0").select("read_id", "n_minimizers", (F.col("branch") + 1).alias("node_id"))
-    below = members(s, d).join(sim.cardinalities(genome_mz(s, d)), "genome_id").select((F.col("filter_id") + 1).alias("node_id"), F.col("genome_id").alias("branch"), F.col("genome_id").alias("child_ord"), F.col("n_minimizers").alias("n_elements"))
-    membership = members(s, d).join(genome_mz(s, d), "genome_id").select((F.col("filter_id") + 1).alias("node_id"), F.col("genome_id").alias("branch"), "mz")
-    met = read_mz(s, d).join(at, "read_id").join(membership, ["node_id", "mz"])
+    mz, held = cut(read_mz(s, d)), cut(members(s, d).join(genome_mz(s, d), "genome_id"))
+    own, branches, hits = first_level(s, d, mz, held)
+    at = cut(classification.best_by_hits(hits, own, branches).where("hits > 0").select("read_id", "n_minimizers", (F.col("branch") + 1).alias("node_id")))
+    membership = held.select((F.col("filter_id") + 1).alias("node_id"), F.col("genome_id").alias("branch"), "mz")
+    below = membership.groupBy("node_id", "branch").agg(F.count("*").alias("n_elements")).withColumn("child_ord", F.col("branch"))
+    met = mz.join(at, "read_id").join(membership, ["node_id", "mz"])
     hits = met.groupBy("read_id", "node_id", "branch").agg(F.count("*").alias("hits"))
     best = classification.best_by_hits(hits, at, below)
     rows = met.join(best.select("read_id", "branch"), ["read_id", "branch"]).select("read_id", F.col("branch").alias("genome_id"), "mz")
