@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.functions.lineage import shared_dir
 
-CHUNK_BYTES = 1 << 21  # text bytes that one numpy pass takes; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # text bytes that one numpy pass takes (its arrays take some hundred times that); a longer text is a chunk of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

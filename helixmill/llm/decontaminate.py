@@ -26,6 +26,9 @@ from helixmill.llm.common import LOWER, append_columns, keep, lists, span_hashes
 WINDOW = 10
 BLOCK_BYTES = 4 << 20  # of item text; a block's arrays take some twenty times that in a worker
 
+#: Text bytes of a shard with a suffix array of its own (a text is not divided).
+SHARD_BYTES = 1 << 20
+
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
@@ -194,7 +197,7 @@ def one_pass(docs: DataFrame, block: Block, text: str, drop: tuple[str, ...]) ->
 
         return work
 
-    return append_columns(docs, text, FIELDS, start, drop)
+    return append_columns(docs, text, FIELDS, start, drop, SHARD_BYTES)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:

@@ -213,8 +213,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
             return held[node]
 
         for batch in batches:
-            for at in range(0, len(batch), 256):  # few texts at a time outside Arrow's buffers
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 64):  # few texts at a time outside Arrow's buffers
+                part = batch.slice(at, 64)
                 x, y, tx, ty = (part.column(c).to_pylist() for c in ("x", "y", "tx", "ty"))
                 ok = pa.array([i for i in range(len(x)) if similarity(of(x[i], tx[i]), of(y[i], ty[i])) >= least], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("x").take(ok), part.column("y").take(ok)], names=["x", "y"])
