@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from helixmill.functions.parameters import DEFAULT_FPP
 from helixmill.functions.sequences import LETTERS, NUCLEOTIDES
-from helixmill.plans.queries import FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, READ_STEP, RETAINED, SAMPLED_PAIRS, SEED, THRESHOLD
+from helixmill.plans.queries import FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, READ_STEP, RETAINED, SAMPLED_PAIRS, SEED, THRESHOLD
 
 M32, MURMUR = (1 << 32) - 1, 0x5BD1E995
 
@@ -121,6 +121,7 @@ ORACLES = {
     "chunk_equiv": using(G_MZ) + "SELECT genome_id, count(*) AS n_minimizers, CAST(sum(mz % 1000003) AS BIGINT) AS mz_sum FROM gm GROUP BY genome_id",
     "limit_genomes": using(GENOMES) + f"SELECT genome_id, name, length(seq) AS n_bases FROM g WHERE length(seq) >= {K} ORDER BY genome_id LIMIT {FIRST_GENOMES}",
     "scan_fastq": using(GENOMES) + f"SELECT 'src' || filter_id AS path, row_number() OVER (PARTITION BY filter_id ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(substr(seq, 1, {READ_BASES})) AS n_bases, md5(substr(seq, 1, {READ_BASES})) AS seq_md5 FROM g WHERE length(seq) >= {K}",
+    "scan_fastq_whole": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
     "limit_reads": using(GENOMES, READS) + f"SELECT read_id, length(seq) AS n_bases FROM r ORDER BY read_id LIMIT {FIRST_READS}",
     "kmer_params": "SELECT asked, CAST(k AS INTEGER) AS k, CAST(step AS INTEGER) AS step, CAST(k - step AS INTEGER) AS m FROM (SELECT asked, k, CAST(floor(sqrt(k)) AS BIGINT) - CAST(floor(sqrt(k)) AS BIGINT) % 2 AS step FROM (SELECT range AS asked, least(greatest(CASE WHEN range % 2 = 0 THEN range + 1 ELSE range END, 11), 37) AS k FROM range(1, 61)))",
     "canonical_mmers": using(GENOMES, mer_steps("g", "genome_id", "c")) + "SELECT genome_id, count(*) AS n_mmers, CAST(sum(can % 1000003) AS BIGINT) AS mmer_sum, min(can) AS least, max(can) AS greatest FROM c GROUP BY genome_id",

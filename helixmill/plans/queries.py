@@ -18,6 +18,8 @@ from helixmill.sources.fasta import is_genome_file, joined_contigs, records_of
 from helixmill.sources.fastq import first_reads, reads_of
 
 K, READ_BASES, READ_STEP = 29, 300, 500
+#: Of the FASTQ examples: bases of a line, and document ids that may share a file.
+LINE_BASES, FILE_IDS = 100, 64
 SAMPLED_PAIRS, SEED = 20_000, 9001
 FIRST_GENOMES, FIRST_READS, RETAINED = 50, 100, 7
 THRESHOLD = 0.5
@@ -113,18 +115,31 @@ def limit_genomes(s, d):
     return genomes(s, d).where(F.length("seq") >= K).orderBy("genome_id").limit(FIRST_GENOMES).select("genome_id", "name", F.length("seq").cast("long").alias("n_bases"))
 
 
-def fastq_files(s, d):
-    """A file for each source: records of documents' cuts, with a stray line and a short quality here and there."""
-    cut = genomes(s, d).where(F.length("seq") >= K).select("filter_id", "genome_id", F.substring("seq", 1, READ_BASES).alias("seq"))
-    quality = F.when(F.col("genome_id") % 7 == 3, F.lit("I")).otherwise(F.expr("repeat('@', length(seq))"))
+def fastq_files(s, d, bases: int | None = None):
+    """Files of wrapped records of whole documents, some files for each source, with a stray line and a short quality here and there.
+
+    With bases, a file for each source, and only the first bases of each document (scan_fastq's SQL is written for that).
+    """
+    path = F.concat(F.lit("src"), F.col("filter_id"), *([] if bases else [F.lit("_"), F.expr(f"genome_id div {FILE_IDS}")]))
+    cut = genomes(s, d).where(F.length("seq") >= K).select(path.alias("path"), "genome_id", (F.substring("seq", 1, bases) if bases else F.col("seq")).alias("seq"))
+    wrapped = lambda x: F.regexp_replace(x, f"(.{{{LINE_BASES}}})(?=.)", "$1\n")
+    quality = F.when(F.col("genome_id") % 7 == 3, F.lit("I")).otherwise(wrapped(F.expr("repeat('@', length(seq))")))
     stray = F.when(F.col("genome_id") % 5 == 1, F.lit("stray line\n")).otherwise(F.lit(""))
-    record = F.concat(stray, F.lit("@"), F.col("genome_id"), F.lit("\n"), F.substring("seq", 1, 100), F.when(F.length("seq") > 100, F.concat(F.lit("\n"), F.substring(F.col("seq"), F.lit(101), F.lit(READ_BASES)))).otherwise(""), F.lit("\n+\n"), quality, F.lit("\n"))
+    record = F.concat(stray, F.lit("@"), F.col("genome_id"), F.lit("\n"), wrapped(F.col("seq")), F.lit("\n+\n"), quality, F.lit("\n"))
     parts = F.array_sort(F.collect_list(F.struct("genome_id", record.alias("r"))))
-    return cut.groupBy("filter_id").agg(parts.alias("p")).select(F.concat(F.lit("src"), F.col("filter_id")).alias("path"), F.array_join(F.transform("p", lambda x: F.when(x["genome_id"].isNotNull(), x["r"])), "").alias("whole"))
+    return cut.groupBy("path").agg(parts.alias("p")).select("path", F.array_join(F.transform("p", lambda x: F.when(x["genome_id"].isNotNull(), x["r"])), "").alias("whole"))
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    return reads_of(files).select("path", "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
 
 
 def scan_fastq(s, d):
-    return reads_of(fastq_files(s, d)).select("path", "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
+    return scanned(fastq_files(s, d, READ_BASES))
+
+
+def scan_fastq_whole(s, d):
+    return scanned(fastq_files(s, d))
 
 
 def fastq_lenient(s, d):
@@ -397,7 +412,7 @@ def genome_coverage_sketch(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, limit_reads,
+        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, scan_fastq_whole, fastq_lenient, limit_reads,
         kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, cosine_log_similarity, jaccard, pair_sample, pair_classes,
         calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,
