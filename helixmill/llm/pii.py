@@ -25,7 +25,7 @@ PATTERNS = {
     "card": (r"(?:[0-9][\x20-]?){12}", "", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", "", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": (r"[A-Z]{2}[0-9]{2}", "[A-Za-z0-9]", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
-    "secret": (r"[A-Za-z0-9_]{20}", "[A-Za-z0-9_/+=-]", r"[A-Za-z0-9_/+=-]{20,}+"),
+    "secret": (r"[A-Za-z0-9_/+=-]{20}", "[A-Za-z0-9_/+=-]", r"[A-Za-z0-9_/+=-]{20,}+"),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]", "[0-9-]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 #: Words that speak for a kind when they stand near (fixed values).

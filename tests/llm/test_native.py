@@ -47,6 +47,13 @@ def test_pii(docs):
     assert "[EMAIL]" in out.text and "[IP]" in out.text and "[PHONE]" in out.text and "[SECRET]" in out.text and "b907ff" not in out.text and out.text.startswith("é😀 [EMAIL] 😀 [IP] ü ")
 
 
+def test_secrets_with_punctuation(spark):
+    secrets = ["123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "abc+def/ghi=jkl-mno+1", "ab_cd-ef_gh-ij_kl-mn_1"]
+    df = spark.createDataFrame([(i, f"api key {s} x") for i, s in enumerate(secrets)], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.pii_report(df).collect()} == {i: f"secret:8:{8 + len(s)}" for i, s in enumerate(secrets)}
+    assert {r.text for r in pii.redact_pii(df).collect()} == {"api key [SECRET] x"}
+
+
 def test_pii_on_table(spark):
     check_pii(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
