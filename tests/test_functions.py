@@ -1,5 +1,6 @@
 """Parameters, hashes, minimizers, clustering steps and Bloom filters against plain Python."""
 
+import hashlib
 import math
 import random
 import struct
@@ -152,6 +153,18 @@ def test_similarity(spark):
     assert (one.n, one["mean"], one["std"]) == (1, -1.0, -1.0)
 
 
+@pytest.mark.parametrize(("n", "target"), [(30, 434), (30, 400), (300, 5000), (1000, 1)])
+def test_sample_is_whole(spark, n, target):
+    first, i = {}, 0
+    while len(first) < target:
+        x, y = (int(hashlib.md5(f"9001:{i}:{z}".encode()).hexdigest()[:12], 16) % n for z in "xy")
+        if x != y:
+            first[min(x, y), max(x, y)] = i
+        i += 1
+    got = [tuple(r) for r in sim.sample_pairs(spark, n, target).collect()]
+    assert len(got) == target and set(got) == set(first)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(10, 80), st.integers(1, 9), st.integers(0, 1000))
 def test_clusters_are_partitions(n, families, seed):
