@@ -62,15 +62,25 @@ SCORES = """sc AS (SELECT a, b, 1 / (1 - ln(least(1.0, shared / sqrt(CAST(x.n_mi
 FROM sh JOIN n x ON x.genome_id = a JOIN n y ON y.genome_id = b)"""
 SIMILAR = ",\n".join([G_MZ, SIZES, SHARED, SCORES])
 draw = lambda x: f"CAST('0x' || substr(md5('{SEED}:' || i || ':{x}'), 1, 12) AS BIGINT) % (SELECT count(*) FROM documents)"
-PAIRS = f"""d0 AS (SELECT range AS i FROM range({2 * SAMPLED_PAIRS + 64})), d1 AS (SELECT i, {draw('x')} AS x, {draw('y')} AS y FROM d0),
-drawn AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(i) AS turn FROM d1 WHERE x <> y GROUP BY 1, 2 ORDER BY turn LIMIT {SAMPLED_PAIRS}),
+
+def pairs_of(target: object, draws: object) -> str:
+    return f"""d0 AS (SELECT range AS i FROM range({draws})), d1 AS (SELECT i, {draw('x')} AS x, {draw('y')} AS y FROM d0),
+drawn AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(i) AS turn FROM d1 WHERE x <> y GROUP BY 1, 2 ORDER BY turn LIMIT {target}),
 ids AS (SELECT range AS i FROM range((SELECT count(*) FROM documents))),
-every AS (SELECT x.i AS a, y.i AS b FROM ids x JOIN ids y ON x.i < y.i WHERE (SELECT count(*) FROM ids) * ((SELECT count(*) FROM ids) - 1) / 2 <= {SAMPLED_PAIRS}),
+every AS (SELECT x.i AS a, y.i AS b FROM ids x JOIN ids y ON x.i < y.i WHERE (SELECT count(*) FROM ids) * ((SELECT count(*) FROM ids) - 1) / 2 <= {target}),
 pairs AS (SELECT a, b FROM every UNION ALL SELECT a, b FROM drawn WHERE NOT EXISTS (SELECT 1 FROM every))"""
-CLASSES = f"""{G_MZ},
-{PAIRS},
+
+
+def classes_of(pairs: str) -> str:
+    return f"""{G_MZ},
+{pairs},
 met AS (SELECT DISTINCT p.a, p.b FROM pairs p JOIN gm x ON x.genome_id = p.a JOIN gm y ON y.genome_id = p.b AND y.mz = x.mz),
 classes AS (SELECT p.a, p.b, CASE WHEN met.a IS NULL THEN 1 ELSE 2 END AS class FROM pairs p LEFT JOIN met ON met.a = p.a AND met.b = p.b)"""
+
+
+SIZED = "(SELECT CAST(floor(1000 + count(*) * pow(ln(count(*)), 2)) AS BIGINT) FROM documents)"
+PAIRS, SIZED_PAIRS = pairs_of(SAMPLED_PAIRS, 2 * SAMPLED_PAIRS + 64), pairs_of(SIZED, f"2 * {SIZED} + 64")
+CLASSES, SIZED_CLASSES = classes_of(PAIRS), classes_of(SIZED_PAIRS)
 F_MZ = "fm AS (SELECT DISTINCT filter_id, mz FROM gm JOIN g USING (genome_id))"
 CAPS = "caps AS (SELECT filter_id, count(*) AS capacity FROM fm GROUP BY filter_id)"
 FILTERS = f"""want AS (SELECT filter_id, capacity, greatest(2, CAST(ceil(-(capacity * ln({DEFAULT_FPP})) / pow(ln(2), 2)) AS BIGINT)) AS want FROM caps),
@@ -135,6 +145,9 @@ ORACLES = {
     "pair_sample": using(PAIRS) + "SELECT a, b FROM pairs",
     "pair_classes": using(CLASSES) + "SELECT a, b, class FROM classes",
     "calibration_counts": using(CLASSES) + "SELECT count(*) FILTER (class = 1) AS zero, count(*) FILTER (class = 2) AS positive, count(*) AS pairs FROM classes",
+    "pair_sample_sized": using(SIZED_PAIRS) + "SELECT a, b FROM pairs",
+    "pair_classes_sized": using(SIZED_CLASSES) + "SELECT a, b, class FROM classes",
+    "calibration_counts_sized": using(SIZED_CLASSES) + "SELECT count(*) FILTER (class = 1) AS zero, count(*) FILTER (class = 2) AS positive, count(*) AS pairs FROM classes",
     "similarity_stats": using(SIMILAR) + "SELECT count(*) AS n, round(CASE WHEN count(*) < 2 THEN -1 ELSE avg(score) END, 9) AS mean, round(CASE WHEN count(*) < 2 THEN -1 ELSE stddev_samp(score) END, 9) AS std FROM sc",
     "positive_percentile": using(SIMILAR) + "SELECT a, b, round(cume_dist() OVER (ORDER BY round(score, 9)), 9) AS percentile FROM sc",
     "cluster_union_card": using(G_MZ, "ff AS (SELECT filter_id, mz, min(genome_id) AS genome_id FROM gm JOIN g USING (genome_id) GROUP BY filter_id, mz), fn AS (SELECT filter_id, genome_id, count(*) AS new FROM ff GROUP BY 1, 2)")

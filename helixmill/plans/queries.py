@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmill.functions.hashing import mixed, murmur2_pair, pair_key
 from helixmill.functions.lineage import cut
-from helixmill.functions.parameters import adaptive_bound_column, growth_weight_column, kmer_columns, leader_limit_column
+from helixmill.functions.parameters import adaptive_bound_column, growth_weight_column, kmer_columns, leader_limit_column, sample_size
 from helixmill.functions.sequences import as_dna, clean_sequence, csv_field, genome_name
 from helixmill.operators import bloom, classification, clustering, similarity as sim
 from helixmill.operators.minimizers import chunk_sequences, minimizers, mmers
@@ -211,6 +211,20 @@ def calibration_counts(s, d):
     return sim.calibration_counts(pair_classes(s, d))
 
 
+def pair_sample_sized(s, d):
+    """pair_sample with as many pairs as the operator's rule takes for the documents' number; likewise the two queries below."""
+    n = documents(s, d).count()
+    return sim.sample_pairs(s, n, sample_size(n), SEED)
+
+
+def pair_classes_sized(s, d):
+    return sim.pair_classes(sim.pair_counts(cut(pair_sample_sized(s, d)), cut(genome_mz(s, d))))
+
+
+def calibration_counts_sized(s, d):
+    return sim.calibration_counts(pair_classes_sized(s, d))
+
+
 def similarity_stats(s, d):
     out = sim.similarity_stats(sim.similarity(cut(genome_mz(s, d))))
     return out.select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
@@ -414,7 +428,7 @@ QUERIES = {
     for f in (
         scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, scan_fastq_whole, fastq_lenient, limit_reads,
         kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, cosine_log_similarity, jaccard, pair_sample, pair_classes,
-        calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
+        calibration_counts, pair_sample_sized, pair_classes_sized, calibration_counts_sized, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,
         filter_capacity, cluster_elements, read_minimizers, node_hits, match_score, best_child, classify_reads, accept_reads, class_reads,
         class_genomes, genome_coverage, genome_coverage_sketch,
