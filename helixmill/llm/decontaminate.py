@@ -9,7 +9,8 @@ The test items are broadcast in blocks of bounded size (BLOCK_BYTES); one block
 passes over the documents with the hits so far carried along, so nothing depends on the benchmark fitting in memory.
 
 Defined cases: null and wordless texts have no words and no hits; an item with fewer words than a window is one
-window, without words none; items with equal texts all count; repeated rows are judged alike; further columns are
+window, without words none; items with equal texts all count; an item without an id counts for hits and the longest
+match and is a null in `items`, one more item in the report's number and none in its list of ids; repeated rows are judged alike; further columns are
 kept (columns with the result's names are replaced). Matches never cross documents. No shuffle, no key, no skew.
 """
 
@@ -202,13 +203,13 @@ def one_pass(docs: DataFrame, block: Block, text: str, drop: tuple[str, ...]) ->
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_words, hit_starts/hit_ends (runs of hit words), items (ids as text), and each item's longest match and its place."""
-    items = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.length("id") + 16)).first()[0] or 0
+    items = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.length("id"), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, -(-2 * size // block_bytes) if size > block_bytes else 1)
     out = docs
     before: list[str] = []
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(n)) == k)
         block = block_of([tuple(r) for r in part.collect()], width)
         last = k == n - 1
         out = one_pass(out, block, text, drop if last else ())

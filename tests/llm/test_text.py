@@ -30,6 +30,17 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination_report(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_id(spark):
+    passage = " ".join(f"q{i}" for i in range(14))
+    df = spark.createDataFrame([(1, f"a {passage} b"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "x " * 12), (7, passage[3:])], "item_id long, text string")
+    for items, n_items in ((bench, 2), (bench.where("item_id is null"), 1)):
+        for options in ({}, {"block_bytes": 60}):
+            got = {r.doc_id: r for r in decontaminate.contamination_report(df, items, **options).collect()}
+            assert (got[1].n_hit, got[1].n_items, got[1].contaminated, got[1].longest_match) == (14, n_items, True, 14) and not got[2].contaminated
+            assert [r.doc_id for r in decontaminate.remove_contaminated(df, items, **options).collect()] == [2]
+
+
 def test_contamination_on_table(spark):
     df, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     rows = df.select("doc_id", "text").collect()
