@@ -4,11 +4,13 @@ Tokens are runs of letters and digits and runs of other visible characters. Feat
 bigrams and of their shapes (case pattern, or the marks themselves, and whether a token repeats its predecessor), as
 shares of the document's n-grams, in a table of fixed size. Only the text enters a score.
 
-Training takes at most MAX_TRAIN_ROWS labelled rows (a documented bound, chosen by hash), whose sparse features (not
-texts) go to the driver; the weights (SLOTS float32) are broadcast, and scoring is row-local: no shuffle, no key.
+Training takes at most MAX_TRAIN_ROWS labelled rows of MAX_TRAIN_BYTES of text (documented bounds, chosen by a hash of the
+id), whose sparse features (not texts) go to the driver; the weights (SLOTS float32) are broadcast, and scoring is
+row-local: no shuffle, no key.
 
-Defined cases: a null, empty or blank text scores the intercept; repeated rows score alike; rows without label or id
-are not trained on; with no labelled rows at all every score is 0.5; further columns are kept.
+Defined cases: a null, empty or blank text scores the intercept; repeated rows score alike and are learnt once; rows
+without label or id are not trained on, an id with both labels or several texts is trained on with each; with no labelled
+rows at all every score is 0.5; further columns are kept, but one named score or predicted, which the result's replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from helixmill.llm.common import LOWER, append_columns, lists, mix, span_hashes, spans
 
 SLOTS = 1 << 18
-MAX_TRAIN_ROWS = 6000
+#: Labelled rows, and bytes of their text, that training takes at most.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 6000, 64 << 20
 FOLDS, THRESHOLD = 5, 0.3
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.3, 1.0, 1e-4, 1e-4, 4, 8.0
 
@@ -102,18 +105,34 @@ def remainder(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", most: int = MAX_TRAIN_ROWS) -> np.ndarray:
-    """Weights from at most `most` labelled rows outside the held-out fold."""
+def chosen_rows(docs: DataFrame, labels: DataFrame, text: str, label: str, most: int, most_bytes: int) -> list[tuple]:
+    """(doc_id, text's hash, label) to learn from, in order: the first of all labelled rows outside the held-out fold by a hash of their id, up to `most` rows and `most_bytes` of text."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where((remainder(F.col("doc_id")) != 0) & F.col("__label").isin(0, 1))
-    chosen = usable.distinct().withColumn("__turn", F.xxhash64("doc_id", F.lit(17))).orderBy("__turn", "doc_id", "__label").limit(most)
-    # the chosen ids are few by the bound above
-    rows = featurize(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "__turn", "__label", text), text)
-    t = rows.toArrow()  # flat arrays, not Python lists of numbers
-    size = t.column("slots").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0, np.int64)
-    keys = [t.column(c).to_numpy() for c in ("__label", "doc_id", "__turn")]
-    order = np.lexsort((size, *keys))[: 2 * most]
+    turn = F.xxhash64("doc_id", F.lit(17)).alias("__turn")
+    first = usable.distinct().select("*", turn).orderBy("__turn", "doc_id", "__label").limit(most)  # a row of three numbers each
+    sized = docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("__bytes"))
+    rows = sized.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id", "__hash", "__label"]).orderBy("__turn", "doc_id", "__label", "__hash").limit(most).collect()
+    out, held = [], 0
+    for r in rows:
+        held += r["__bytes"]
+        if held > most_bytes and out:
+            break
+        out.append((r["doc_id"], r["__hash"], r["__label"]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", most: int = MAX_TRAIN_ROWS, most_bytes: int = MAX_TRAIN_BYTES) -> np.ndarray:
+    """Weights from at most `most` labelled rows with `most_bytes` of text outside the held-out fold; equal rows count once."""
+    spark, rows = docs.sparkSession, chosen_rows(docs, labels, text, label, most, most_bytes)
+    if not rows:
+        return ftrl([])
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("__hash", T.LongType()), T.StructField("__label", T.IntegerType()), T.StructField("__place", T.IntegerType())])
+    chosen = F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], kind))  # few by the bound above
+    wanted = docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.col(text).alias("text")).join(chosen, ["doc_id", "__hash"]).dropDuplicates(["__place"])
+    t = featurize(wanted.select("__place", "__label", "text"), "text").toArrow()  # flat arrays, not Python lists of numbers
     slots, counts = t.column("slots").combine_chunks(), t.column("counts").combine_chunks()
-    return ftrl([(slots[i].values.to_numpy(), counts[i].values.to_numpy(), int(keys[0][i])) for i in order.tolist()])
+    place, label_of = t.column("__place").to_numpy(), t.column("__label").to_numpy()
+    return ftrl([(slots[i].values.to_numpy(), counts[i].values.to_numpy(), int(label_of[i])) for i in np.argsort(place).tolist()])
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
