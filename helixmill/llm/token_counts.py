@@ -3,11 +3,13 @@
 A task's distinct pre-tokens go into a trie (walked as the sorted list, with the nodes of the current path on a
 stack). A node's forward score, the best unigram score of its prefix, is computed once however many pre-tokens share
 the prefix, and a pre-token's token count is stored at its terminal. Documents then add up the counts of their
-pre-tokens. The vocabulary is a byte-level one with ranks; a piece of rank r scores -ln(r + 2) - ln(ln(size)), a
+pre-tokens; a task holds on to the counts of a bounded number of them from one trie to the next. At each byte only those
+lengths are tried that pieces with these last three bytes have. The vocabulary is a byte-level one with ranks; a piece of rank r scores -ln(r + 2) - ln(ln(size)), a
 Zipf prior, since a rank list carries no probabilities. Equal scores prefer fewer tokens.
 
-Defined cases: a null or empty text has no tokens; repeated rows count alike; very long pre-tokens cost their length
-times the longest piece; further columns are kept. Row-local: no shuffle, no key, and whole texts always.
+Defined cases: a null or empty text has no tokens; repeated rows count alike; a very long pre-token costs some lookups a
+byte; further columns are kept, but those named as the result's, which replace them. Row-local: no shuffle, no key, and
+whole texts always.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from helixmill.llm.common import append_columns
 #: Text bytes whose distinct pre-tokens share one trie; bounds a task's memory.
 TRIE_BYTES = 8 << 20
 
+#: Pre-tokens whose counts a task holds on to, at most.
+HELD_TOKENS = 400_000
+
 FIELDS = T.StructType([T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
 
@@ -66,12 +71,21 @@ def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
     return {piece: -math.log(rank + 2) - norm for piece, rank in ranks.items()}
 
 
-def trie_counts(pretokens, scores: dict[bytes, float], longest: int) -> dict[bytes, tuple[int, float]]:
+def lengths_by_end(scores: dict[bytes, float]) -> dict[bytes, tuple[int, ...]]:
+    """The lengths (from 3 on, ascending) of the pieces that end in three bytes."""
+    out: dict[bytes, set[int]] = {}
+    for piece in scores:
+        if len(piece) > 2:
+            out.setdefault(piece[-3:], set()).add(len(piece))
+    return {end: tuple(sorted(n)) for end, n in out.items()}
+
+
+def trie_counts(pretokens, scores: dict[bytes, float], lengths: dict[bytes, tuple[int, ...]]) -> dict[bytes, tuple[int, float]]:
     """Each distinct pre-token's tokens and score; prefixes that several share are scored once."""
     out: dict[bytes, tuple[int, float]] = {}
     best, count = [0.0], [0]  # by node of the current path
     before = b""
-    get, low = scores.get, float("-inf")
+    get, sizes, low, short = scores.get, lengths.get, float("-inf"), (1, 2)
     for token in sorted(pretokens):
         n = min(len(before), len(token))
         if before[:n] == token[:n]:
@@ -81,8 +95,10 @@ def trie_counts(pretokens, scores: dict[bytes, float], longest: int) -> dict[byt
         del best[shared + 1 :], count[shared + 1 :]
         for end in range(shared + 1, len(token) + 1):
             top, used = low, 0
-            for begin in range(max(0, end - longest), end):
-                s = get(token[begin:end])
+            for size in short[:end] + (sizes(token[end - 3 : end], ()) if end > 2 else ()):
+                if size > end:
+                    break
+                s, begin = get(token[end - size : end]), end - size
                 if s is not None and best[begin] > low:
                     s += best[begin]
                     if s > top or (s == top and count[begin] + 1 < used):
@@ -104,17 +120,20 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", d
 
         ranks, pattern = sent.value
         scores = piece_scores(ranks)
-        longest = max(map(len, scores), default=1)
+        lengths = lengths_by_end(scores)
         find = regex.compile(pattern).findall
+        tokens: dict[str, int] = {}
+        score: dict[str, float] = {}
 
         def work(data, offsets):
             whole = data.tobytes()
             rows = [find(whole[a:b].decode("utf-8", "replace")) for a, b in zip(offsets, offsets[1:])]
-            distinct = {t for row in rows for t in row}
-            coded = {t.encode(): t for t in distinct}
-            counts = {coded[k]: v for k, v in trie_counts(coded, scores, longest).items()}
-            tokens = {t: c for t, (c, _) in counts.items()}
-            score = {t: s for t, (_, s) in counts.items()}
+            if len(tokens) > HELD_TOKENS:
+                tokens.clear()
+                score.clear()
+            coded = {t.encode(): t for t in {t for row in rows for t in row}.difference(tokens)}
+            for k, (n, s) in trie_counts(coded, scores, lengths).items():
+                tokens[coded[k]], score[coded[k]] = n, s
             return [pa.array([len(r) for r in rows], pa.int64()), pa.array([sum(map(tokens.__getitem__, r)) for r in rows], pa.int64()), pa.array([math.fsum(map(score.__getitem__, r)) for r in rows], pa.float64())]
 
         return work
