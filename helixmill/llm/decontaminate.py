@@ -5,8 +5,9 @@ documents of a task) gets a suffix array of its words, ordered through the windo
 suffix of every test item is looked up in it by binary search. What equals a whole window gives the location, runs of
 consecutive windows give the longest verbatim match, and documents with a hit are contaminated.
 
-The test items are broadcast in blocks of bounded size (BLOCK_BYTES); one block is one pass, more blocks are more
-passes over the documents with the hits so far carried along, so nothing depends on the benchmark fitting in memory.
+The test items are broadcast in blocks of bounded size (BLOCK_BYTES; an item isn't divided). A task holds one block at a
+time and asks the shard's suffix array, which is built once, with each; so documents are read once, and nothing depends on
+the benchmark fitting in memory. The more blocks there are, the larger the shards (up to LARGE_SHARDS times).
 
 Defined cases: null and wordless texts have no words and no hits; an item with fewer words than a window is one
 window, without words none; items with equal texts all count; an item without an id counts for hits and the longest
@@ -22,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from helixmill.llm.common import LOWER, append_columns, keep, lists, span_hashes, spans, text_bytes
+from helixmill.llm.common import LOWER, append_columns, lists, span_hashes, spans, text_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20  # of item text; a block's arrays take some twenty times that in a worker
+BLOCK_BYTES = 4 << 20  # of item text; a block's arrays take some ten times that in a worker
 
-#: Text bytes of a shard with a suffix array of its own (a text is not divided).
-SHARD_BYTES = 1 << 20
+#: Text bytes of a shard with a suffix array of its own (a text is not divided), and how many times that with many blocks.
+SHARD_BYTES, LARGE_SHARDS = 1 << 20, 8
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
@@ -54,10 +55,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Block:
-    """Distinct windows of some items: their words, lengths, and (item, place in the item) of each window's uses."""
+    """Some items' words; where their distinct windows begin and how long those are; and (item, place in the item) of each window's uses."""
 
     names: list[str]
     words: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     use_at: np.ndarray
     use_item: np.ndarray
@@ -66,22 +68,19 @@ class Block:
 
 def block_of(items: list[tuple[str, str]], width: int) -> Block:
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-    hashes, first = words_of(data, offsets)
-    rows, lengths, item, place = [], [], [], []
-    for i in range(len(items)):
-        own = hashes[first[i] : first[i + 1]]
-        n = min(len(own), width)
-        for j in range(len(own) - n + 1 if n else 0):
-            rows.append(np.pad(own[j : j + n], (0, width - n)))
-            lengths.append(n)
-            item.append(i)
-            place.append(j)
-    table = np.array(rows, np.uint64).reshape(-1, width)
-    both = np.column_stack([table, np.array(lengths, np.uint64)])
-    distinct, which = np.unique(both, axis=0, return_inverse=True)
+    words, first = words_of(data, offsets)
+    per = np.diff(first)
+    size = np.minimum(per, width)
+    starts, item = expand(first[:-1], np.where(per > 0, per - size + 1, 0))
+    lengths = size[item]
+    padded = np.concatenate([words, np.zeros(width, np.uint64)])
+    step = np.arange(width)
+    table = np.where(step[None, :] < lengths[:, None], padded[starts[:, None] + step], 0)
+    distinct, one, which = np.unique(np.column_stack([table, lengths.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True)
     order = np.argsort(which.ravel(), kind="stable")
     use_at = np.searchsorted(which.ravel()[order], np.arange(len(distinct) + 1))
-    return Block([n for n, _ in items], distinct[:, :width], distinct[:, width].astype(np.int64), use_at, np.array(item, np.int64)[order], np.array(place, np.int64)[order])
+    small = lambda x: x.astype(np.int32)  # noqa: E731  a block is far below 2**31 words
+    return Block([n for n, _ in items], words, small(starts[one]), small(lengths[one]), small(use_at), small(item[order]), small((starts - first[item])[order]))
 
 
 def suffix_array(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,75 +129,63 @@ def expand(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count), source
 
 
-def locate(block: Block, words: np.ndarray, first: np.ndarray) -> tuple:
-    """Hit runs of words (document, start, end) and, for each document and item that meet, the longest match."""
-    width = block.words.shape[1]
-    none = np.zeros(0, np.int64)
-    if not len(words) or not len(block.lengths):
-        return (none,) * 7
-    vocabulary, numbers, order = suffix_array(words, first, width)
-    at = np.minimum(np.searchsorted(vocabulary, block.words), len(vocabulary) - 1)
-    known = (vocabulary[at] == block.words) | (np.arange(width)[None, :] >= block.lengths[:, None])
-    asked = np.flatnonzero(known.all(axis=1))
-    low, high = ranges(numbers, order, at[asked] + 1, block.lengths[asked])
-    found, source = expand(low, high - low)
-    if not len(found):
-        return (none,) * 7
-    window, position = asked[source], order[found]
-    n = len(numbers)
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, position, 1)
-    np.add.at(cover, position + block.lengths[window], -1)
-    inside = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = change[::2], change[1::2]  # in places that count a gap after each row
-    row_at = first + np.arange(len(first))
-    doc = np.searchsorted(row_at, starts, "right") - 1
-    # uses of the windows: runs of consecutive places on one diagonal are one verbatim match
-    use, hit = expand(block.use_at[window], block.use_at[window + 1] - block.use_at[window])
-    item, place, where, length = block.use_item[use], block.use_place[use], position[hit], block.lengths[window[hit]]
-    d = np.searchsorted(row_at, where, "right") - 1
-    turn = np.lexsort((where, where - place, item, d))
-    d, item, place, where, length = d[turn], item[turn], place[turn], where[turn], length[turn]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (place[1:] != place[:-1] + 1)
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(d)) - 1
-    size = where[last] + length[last] - where[begin]
-    best = np.lexsort((where[begin], -size, item[begin], d[begin]))
-    bd, bi = d[begin][best], item[begin][best]
-    top = np.ones(len(bd), bool)
-    top[1:] = (bd[1:] != bd[:-1]) | (bi[1:] != bi[:-1])
-    return doc, starts - row_at[doc], ends - row_at[doc], bd[top], bi[top], size[best][top], (where[begin][best] - row_at[bd])[top]
-
-
-def merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts, ends, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [a for a, _ in out], [b for _, b in out]
-
-
-def one_pass(docs: DataFrame, block: Block, text: str, drop: tuple[str, ...]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def start():
-        held = sent.value
-        names = np.array(held.names, object)
-
-        def work(data, offsets):
-            words, first = words_of(data, offsets)
-            doc, a, b, met, item, size, at = locate(held, words, first)
-            rows = len(offsets) - 1
-            per, of = np.bincount(doc, minlength=rows), np.bincount(met, minlength=rows)
-            return [pa.array(np.diff(first)), lists(a, per), lists(b, per), lists(pa.array(names[item] if len(item) else [], pa.string()), of), lists(size, of), lists(at, of)]
-
-        return work
-
-    return append_columns(docs, text, FIELDS, start, drop, SHARD_BYTES)
+class Shard:
+    """The words of some documents with their suffix array; hits and matches are gathered block by block."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, width: int):
+        self.width, self.rows, self.row_at = width, len(first) - 1, first + np.arange(len(first))
+        self.vocabulary, self.numbers, self.order = suffix_array(words, first, width)
+        self.cover = np.zeros(len(self.numbers) + 1, np.int64)
+        self.matches: list[tuple[np.ndarray, ...]] = []
+
+    def ask(self, block: Block) -> None:
+        """Looks up all windows of a block: (document, item's name, longest match, its place) of those that meet."""
+        if not len(self.vocabulary) or not len(block.lengths):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, block.words), len(self.vocabulary) - 1)
+        unknown = np.concatenate([[0], np.cumsum(self.vocabulary[at] != block.words)])
+        asked = np.flatnonzero(unknown[block.starts + block.lengths] == unknown[block.starts])
+        lengths = block.lengths[asked].astype(np.int64)
+        place = np.minimum(block.starts[asked].astype(np.int64)[:, None] + np.arange(self.width), len(at) - 1)
+        low, high = ranges(self.numbers, self.order, at[place] + 1, lengths)
+        found, source = expand(low, high - low)
+        if not len(found):
+            return
+        window, position, length = asked[source], self.order[found], lengths[source]
+        np.add.at(self.cover, position, 1)
+        np.add.at(self.cover, position + length, -1)
+        # uses of the windows: runs of consecutive places on one diagonal are one verbatim match
+        use, hit = expand(block.use_at[window].astype(np.int64), (block.use_at[window + 1] - block.use_at[window]).astype(np.int64))
+        item, place, where, length = block.use_item[use], block.use_place[use], position[hit], length[hit]
+        d = np.searchsorted(self.row_at, where, "right") - 1
+        turn = np.lexsort((where, where - place, item, d))
+        d, item, place, where, length = d[turn], item[turn], place[turn], where[turn], length[turn]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(d)) - 1
+        size = where[last] + length[last] - where[begin]
+        best = np.lexsort((where[begin], -size, item[begin], d[begin]))
+        bd, bi = d[begin][best], item[begin][best]
+        top = np.ones(len(bd), bool)
+        top[1:] = (bd[1:] != bd[:-1]) | (bi[1:] != bi[:-1])
+        self.matches.append((bd[top], np.array(block.names, object)[bi[top]], size[best][top], (where[begin][best] - self.row_at[bd])[top]))
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of hit words: document, start, end."""
+        inside = np.concatenate([[False], np.cumsum(self.cover)[:-1] > 0, [False]])
+        change = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = change[::2], change[1::2]  # in places that count a gap after each row
+        doc = np.searchsorted(self.row_at, starts, "right") - 1
+        return doc, starts - self.row_at[doc], ends - self.row_at[doc]
+
+    def met(self) -> list[np.ndarray]:
+        """All matches by document: document, item's name, length, place."""
+        if not self.matches:
+            return [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        joined = [np.concatenate(x) for x in zip(*self.matches)]
+        order = np.argsort(joined[0], kind="stable")
+        return [x[order] for x in joined]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -206,29 +193,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     items = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.length("id"), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, -(-2 * size // block_bytes) if size > block_bytes else 1)
-    out = docs
-    before: list[str] = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(n)) == k)
-        block = block_of([tuple(r) for r in part.collect()], width)
-        last = k == n - 1
-        out = one_pass(out, block, text, drop if last else ())
-        if not last:
-            names = {f.name: f"__{f.name}_{k}" for f in FIELDS}
-            before.append(f"_{k}")
-            out = keep(out.withColumnsRenamed(names), "contamination")
-    for k in before:
-        # what earlier blocks found, joined within the row
-        pairs = F.array_sort(F.concat(F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b")), F.arrays_zip(F.col(f"__hit_starts{k}").alias("a"), F.col(f"__hit_ends{k}").alias("b"))))
-        runs = F.aggregate(
-            pairs,
-            F.array().cast("array<struct<a:bigint,b:bigint>>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-        out = out.withColumn("__runs", runs).withColumns(
-            {"hit_starts": F.transform("__runs", lambda x: x["a"]), "hit_ends": F.transform("__runs", lambda x: x["b"])} | {c: F.concat(c, f"__{c}{k}") for c in ("items", "longest", "longest_at")}
-        ).drop("__runs", *[f"__{f.name}{k}" for f in FIELDS])
-    return out
+    part = lambda k: items if n == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(n)) == k)
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(block_of([tuple(r) for r in part(k).collect()], width)) for k in range(n)]
+
+    def start():
+        def work(data, offsets):
+            words, first = words_of(data, offsets)
+            shard = Shard(words, first, width)
+            for block in sent:
+                shard.ask(block.value)
+                if n > 1:
+                    vars(block).pop("_value", None)  # a task holds one block at a time
+            (doc, a, b), (met, names, size, at) = shard.hits(), shard.met()
+            per, of = np.bincount(doc, minlength=shard.rows), np.bincount(met, minlength=shard.rows)
+            return [pa.array(np.diff(first)), lists(a, per), lists(b, per), lists(pa.array(names, pa.string()), of), lists(size, of), lists(at, of)]
+
+        return work
+
+    return append_columns(docs, text, FIELDS, start, drop, SHARD_BYTES * min(n, LARGE_SHARDS))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
