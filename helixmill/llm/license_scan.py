@@ -2,16 +2,30 @@
 
 A text's canonical form is lower case, without copyright lines, with one spelling of each equivalent pair, and with
 every run of other characters than letters and digits as one space. Its SHA-256 joins the digests of known licence
-texts and notices. Texts are looked up whole; lines that could be a notice are looked up by themselves as well.
+texts and notices. Texts are looked up whole; their lines are looked up by themselves as well, by the same join: the
+lines' digests, a row each and known by the digest of the text they stand in, meet the known ones, and what was found
+goes back to the texts. Only texts that could hold a notice are shuffled for that, and only once each.
+
+The known list is broadcast up to BROADCAST_DIGESTS digests; a larger one is joined by a shuffle, with equal results.
 
 Defined cases: a null text is empty; an empty canonical form has no licence; repeated lines count each time; equal
-known digests give the smallest licence name; rows, ids and further columns are kept as they are.
+known digests give the smallest licence name; rows, ids and further columns are kept as they are, but for columns named
+license_digest, license and notices, which the result's replace. Row-local but for the joins on digests.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixmill.llm.common import fresh
+
+#: Known digests up to this number (some hundred bytes each) are broadcast.
+BROADCAST_DIGESTS = 100_000
+#: Full texts of licences, one to a file under its name (fixed values; public texts).
+TEXTS = Path(__file__).parent / "licenses"
+
 #: Known notices and short licence texts (fixed values; public texts).
 KNOWN = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -28,8 +42,14 @@ KNOWN = {
     ],
 }
 
+#: Notices that name a licence by its identifier.
+NOTICES = ("SPDX-License-Identifier: {}", "Licensed under {}.", "Released under {}.", "License: {}")
+
 #: Equivalent spellings, first form kept out (fixed values).
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorise", "authorize"), ("favour", "favor"), ("fulfil", "fulfill"), ("merchantibility", "merchantability"), ("whilst", "while"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"))
+SPELLINGS = (("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("authorise", "authorize"), ("favour", "favor"), ("fulfil", "fulfill"), ("merchantibility", "merchantability"), ("whilst", "while"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"))
+
+#: Likewise within words (licences, sublicencing).
+STEMS = (("licenc", "licens"),)
 
 COPYRIGHT_LINE = r"(?im)^[^\S\n]*(?:(?:copyright\b|©|\(c\))[^\n]*(?:[0-9]{4}|©|\(c\))[^\n]*|all rights reserved\.?[^\S\n]*)$"
 MAYBE_NOTICE = r"(?i)licen[cs]e|released under|permission|redistribut|warrant|copyright|all rights"
@@ -39,6 +59,8 @@ def canonical(text: Column) -> Column:
     """The canonical form; only texts that could hold a copyright line or a spelling pay for looking closer."""
     bare = F.when(text.rlike(r"(?i)copyright|©|\(c\)|all rights"), F.regexp_replace(text, COPYRIGHT_LINE, " ")).otherwise(text)
     plain = F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
+    for other, kept in STEMS:
+        plain = F.replace(plain, F.lit(other), F.lit(kept))
     out = plain
     for other, kept in SPELLINGS:
         out = F.regexp_replace(out, rf"\b{other}\b", kept)
@@ -51,34 +73,55 @@ def digest(text: Column) -> Column:
     return F.when(c != "", F.sha2(c, 256))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the built-in list: notices, and the full texts beside this module."""
+    full = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    names = sorted({*KNOWN, *(name for name, _ in full)})
+    notices = [(name, notice.format(name)) for name in names for notice in NOTICES]
+    return [*((name, text) for name, texts in KNOWN.items() for text in texts), *full, *notices]
+
+
 def known_digests(spark, known: dict[str, list[str]] | None = None) -> DataFrame:
-    rows = [(name, text) for name, texts in (known or KNOWN).items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").groupBy(digest(F.col("text")).alias("__digest")).agg(F.min("license").alias("__license")).where("__digest is not null")
+    """(digest, license) of the built-in list, or of another."""
+    rows = known_texts() if known is None else [(name, text) for name, texts in known.items() for text in texts]
+    return spark.createDataFrame(rows, "license string, text string").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license")).where("digest is not null")
+
+
+NOTICES_TYPE = "array<struct<line:int,license:string>>"
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", broadcast_known: bool = True) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "text", maybe: str | None = None) -> DataFrame:
     """docs with `license_digest`, `license` (of the whole text or null) and `notices`: array of (line from 0, license).
 
-    known holds __digest and __license. broadcast_known says that it is of bounded size, as the built-in list is; without
-    that, whole texts are looked up by a shuffled join and single lines aren't.
+    known holds digest and license (known_digests makes it); the built-in list is used without. maybe: a pattern that
+    each line found in known has, if there is one; lines without it aren't looked up.
     """
-    held = F.broadcast(known) if broadcast_known else known
-    # lines are looked up in the document's own row: no line leaves its document, so nothing is grouped again
-    maybe = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(MAYBE_NOTICE))
-    docs = docs.drop("license", "notices").withColumn("license_digest", digest(F.col(text)))
-    whole = docs.join(held.withColumnRenamed("__digest", "license_digest").withColumnRenamed("__license", "license"), "license_digest", "left")
-    table = known.select(F.struct("__digest", "__license").alias("e"))
-    entries = {r.e["__digest"]: r.e["__license"] for r in table.collect()} if broadcast_known else {}
-    if not entries:
-        return whole.withColumn("notices", F.array().cast("array<struct<line:int,license:string>>"))
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(entries.items()) for x in pair])
-    found = F.transform(maybe, lambda x: F.struct(x["line"].alias("line"), lookup[F.coalesce(digest(x["text"]), F.lit(""))].alias("license")))
-    notices = F.when(F.col(text).rlike(MAYBE_NOTICE), F.filter(found, lambda x: x["license"].isNotNull())).otherwise(F.array().cast("array<struct<line:int,license:string>>"))
-    return whole.withColumn("notices", F.coalesce(notices, F.array().cast("array<struct<line:int,license:string>>")))
+    if known is None:
+        known, maybe = known_digests(docs.sparkSession), MAYBE_NOTICE
+    small = known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    held = F.broadcast(known) if small else known
+    docs = docs.drop("license_digest", "license", "notices")
+    key, at = fresh([*docs.columns, "license_digest", "license", "notices"], "__text", "__key")
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    found = docs.withColumn("license_digest", digest(F.col(f"`{text}`")))
+    named = found.where("license_digest is not null").join(held.select(F.col("digest").alias("license_digest"), "license"), "license_digest", "left")
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], "license_digest", "license"]
+    found = named.select(*columns).unionByName(found.where("license_digest is null").withColumn("license", F.lit(None).cast("string")).select(*columns))
+    possible = whole.rlike(maybe) if maybe else whole != ""
+    own = docs.where(possible).select(F.sha2(whole, 256).alias(key), whole.alias("text"))
+    lines = own.dropDuplicates([key]).select(key, F.posexplode(F.split("text", "\n")).alias("line", "of_line"))
+    if maybe:
+        lines = lines.where(F.col("of_line").rlike(maybe))
+    met = lines.select(key, "line", digest(F.col("of_line")).alias("digest")).where("digest is not null").join(held, "digest")
+    notices = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "license"))).alias("notices")).withColumnRenamed(key, at)
+    without = found.where(~possible).withColumn("notices", F.array().cast(NOTICES_TYPE))
+    asked = found.where(possible).withColumn(key, F.sha2(whole, 256))
+    looked = asked.join(notices, asked[key] == notices[at], "left").withColumn("notices", F.coalesce("notices", F.array()).cast(NOTICES_TYPE))
+    return without.unionByName(looked.drop(key, at))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
     """The digest columns of the registered query."""
-    out = scan_licenses(docs.select("doc_id", "text"), known_digests(docs.sparkSession))
+    out = scan_licenses(docs.select("doc_id", "text"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["license"]))), ",")
     return out.select("doc_id", "license_digest", "license", F.size("notices").cast("long").alias("n_notices"), names.alias("notice_licenses"))
