@@ -11,7 +11,8 @@ Ids and cuts come from one row-local pass; what is packed are rows of (piece, le
 folder so that piece numbers hold. Packing shuffles no text.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are separate documents; null ids pass through;
-an empty table has no pieces; further columns are ignored. Text that spells a special token is read as `tokenizers`
+an empty table has no pieces; further columns are kept with each piece, but those named as the result's, which replace
+them. Text that spells a special token is read as `tokenizers`
 reads it.
 """
 
@@ -199,10 +200,13 @@ def pack(items: DataFrame, size: int = SIZE, rounds: int = ROUNDS, task_pieces:
 
 def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text", size: int = SIZE, end_id: int = END_ID, rounds: int = ROUNDS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """A row for each piece: the other columns of docs, piece, start, length, ids_crc32, sequence_id, offset."""
-    taken = [c for c in docs.columns if c not in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "pieces", "pid")]
-    pieces = keep(tokenized(docs.select(*taken), path, text, size, end_id).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    taken = [c for c in docs.columns if c == text or c.lower() not in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")]
+    own = {c: f"own__{c}" for c in taken if c != text}
+    pieces = tokenized(docs.select(*[F.col(f"`{c}`") for c in taken]).withColumnsRenamed(own), path, text, size, end_id)
+    pieces = keep(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     placed = pack(pieces.select("pid", "length"), size, rounds, task_pieces)
-    return pieces.join(placed.drop("length"), "pid").drop("pid")
+    joined = pieces.join(placed.drop("length"), "pid")
+    return joined.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def packing_report(docs: DataFrame, path: str | None = None) -> DataFrame:

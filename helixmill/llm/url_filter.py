@@ -5,7 +5,7 @@ Token frequencies are counted over all distinct URLs; each rule is filed under t
 tokens fetch the rules filed under them, and only those rules run their expression.
 
 Defined cases: a null URL or one without `://` has an empty host and path and no rule; repeated URLs are judged once
-and joined back, so repeated rows, null ids and further columns of any name pass through; a rule without a token is
+and joined back, so repeated rows, null ids and further columns of any name but `judged` pass through; a rule without a token is
 tried on every URL; of several fitting rules of one layer the longest wins, then the smallest name. Empty tables give
 empty results.
 """
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from helixmill.llm.common import fresh
+
 #: Rules up to this many bytes are broadcast; larger lists are shuffle-joined.
 BROADCAST_RULE_BYTES = 8 << 20
 
@@ -78,9 +80,11 @@ def judge_urls(pages: DataFrame, rules, url: str = "url", default: str = "allow"
     small = sum(len(r.pattern) + sum(map(len, r.tokens)) + 64 for r in rules) <= BROADCAST_RULE_BYTES
     held = F.broadcast if small else (lambda x: x)
     ruled = rules_frame(spark, rules)
-    own = pages.withColumn("__url", F.coalesce(F.col(url), F.lit("")))
+    pages = pages.drop("judged") if url != "judged" else pages
+    key, won = fresh([*pages.columns, "judged"], "__key", "__won")
+    own = pages.withColumn(key, F.coalesce(F.col(f"`{url}`"), F.lit("")))
     host, path = host_and_path(F.col("__url"))
-    urls = own.select("__url").distinct().withColumns({"__host": host, "__path": path}).withColumn("__text", F.concat("__host", "__path"))
+    urls = own.select(F.col(key).alias("__url")).distinct().withColumns({"__host": host, "__path": path}).withColumn("__text", F.concat("__host", "__path"))
     urls = urls.withColumn("__tokens", F.array_distinct(F.split(F.translate("__text", UPPER, LOWER), r"[^a-z0-9]+")))
     literals = ruled.select(F.explode("tokens").alias("__token")).distinct()
     tokens = urls.select("__url", "__text", F.explode("__tokens").alias("__token"))
@@ -103,9 +107,11 @@ def judge_urls(pages: DataFrame, rules, url: str = "url", default: str = "allow"
         .groupBy("__url")
         .agg(F.min(F.struct("layer", (-F.col("size")).alias("size"), "rule", "action")).alias("__best"))
     )
-    joined = own.join(best, "__url", "left")
-    judged = F.struct(host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"), F.col("__best.layer").alias("layer"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
-    return joined.withColumn("judged", judged).drop("__url", "__best")
+    joined = own.join(best.select(F.col("__url").alias(won), F.col("__best").alias(won + "_best")), own[key] == F.col(won), "left")
+    host, path = host_and_path(F.col(key))
+    winner = F.col(won + "_best")
+    judged = F.struct(host.alias("host"), path.alias("path"), winner["rule"].alias("rule"), winner["layer"].alias("layer"), F.coalesce(winner["action"], F.lit(default)).alias("verdict"))
+    return joined.select(*[F.col(f"`{c}`") for c in pages.columns if c != "judged"], judged.alias("judged"))
 
 
 def url_verdicts(pages: DataFrame) -> DataFrame:
