@@ -8,13 +8,13 @@ sequences. All stages but the last return the columns of documents.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixmill.llm import decontaminate, minhash_dedup, packing, pii, quality_classifier
-from helixmill.llm.common import keep, table
+from helixmill.llm.common import drop_kept, keep, n_kept, table
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, list]:
     """docs with all columns but doc_id and text under names that no operator uses, and the expressions that bring them back."""
     names = {c: f"own__{c}" for c in docs.columns if c not in ("doc_id", "text")}
-    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next; what is needed no more is deleted then."""
+    docs, first = table(spark, sf_dir, "documents"), n_kept()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = keep(docs, name)
+            drop_kept(spark, first, 1)  # its input, and what the stage has written for itself
     return docs
