@@ -1,7 +1,7 @@
 """FASTA as DataFrames of genomes: one per record, or one per file with its contigs joined.
 
-Lines come from Spark's text reader (which also reads gzip), so any store that Spark reads will do. A file is read in
-order within one task, as its format demands; many files are many tasks.
+Lines come from Spark's text reader (which also reads gzip), so any store that Spark reads will do. A file of up to
+WHOLE_BYTES is one row and split in its own task; of a larger one lines are rows from the start, read by many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions.lineage import cut
+from helixmill.functions.parameters import kmer_parameters
 from helixmill.functions.sequences import clean_sequence, genome_name
 
 #: Endings of genome files, and marks of files that hold something else (fixed values).
@@ -63,9 +64,49 @@ def numbered_genomes(genomes: DataFrame, order: list[str], limit: int | None = N
     return out.where(F.col("genome_id") < limit) if limit and limit > 0 else out
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files, in their order: a file is a partition's own."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))
+#: Files up to this size (gzipped ones up to an eighth) are read whole, a row each; of larger ones lines are rows from the start.
+WHOLE_BYTES = 1 << 30
+
+
+def by_size(spark: SparkSession, path: str, whole_bytes: int | None = None) -> tuple[list[str], list[str]]:
+    """The files below path that may be read whole, and the larger ones."""
+    most = WHOLE_BYTES if whole_bytes is None else whole_bytes
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    small, large = [], []
+    for r in files.collect():  # names and sizes
+        (small if r["length"] <= (most // 8 if r["path"].endswith(".gz") else most) else large).append(r["path"])
+    return small, large
+
+
+def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, whole)"""
+    if not paths:
+        return spark.createDataFrame([], "path string, whole string")
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))
+
+
+def streamed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line_no, line) of files of any size: a split's lines are numbered from its first byte on, of which each takes one at least."""
+
+    def number(batches):
+        before, at = None, 0
+        for batch in batches:
+            key = list(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()))
+            numbers = []
+            for k in key:
+                if k != before:
+                    before, at = k, k[1]
+                numbers.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(numbers, pa.int64()), batch.column("value")], names=["path", "line_no", "line"])
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return lines.mapInArrow(number, "path string, line_no long, line string")
+
+
+def read_lines(spark: SparkSession, path: str, whole_bytes: int | None = None) -> DataFrame:
+    """(path, line_no, line) of text files, in their order."""
+    small, large = by_size(spark, path, whole_bytes)
 
     def split(batches):
         for batch in batches:
@@ -77,19 +118,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                     part = lines[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["path", "line_no", "line"])
 
-    return files.mapInArrow(split, "path string, line_no long, line string")
+    out = whole_files(spark, small).mapInArrow(split, "path string, line_no long, line string")
+    return out.unionByName(streamed_lines(spark, large)) if large else out
 
 
-def read_fasta(spark: SparkSession, path: str, mode: str = "record", limit: int | None = None, k: int = 29) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, mode: str = "record", limit: int | None = None, k: int = 29, whole_bytes: int | None = None) -> DataFrame:
     """genome_id, name, seq. mode "record": every record is a genome; "file": every genome file below path is one.
 
-    Genomes whose sequence is too short for a window have no minimizers and get no id.
+    Genomes without minimizers (too short, or of other letters) get no id.
     """
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, whole_bytes)
     if mode == "file":
         lines = lines.where(is_genome_file(F.col("path")))
     elif mode != "record":
         raise ValueError(f"unknown mode {mode!r}")
     records = records_of(lines)
     genomes = joined_contigs(records).withColumn("record", F.lit(0)) if mode == "file" else records
-    return numbered_genomes(genomes.where(F.length("seq") >= k), ["path", "record"], limit)
+    k, _, m = kmer_parameters(k)
+    # minimizers need k letters, and m in a row that are bases
+    some = (F.length("seq") >= k) & F.col("seq").rlike(f"[ACGTUacgtu]{{{m}}}")
+    return numbered_genomes(genomes.where(some), ["path", "record"], limit)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from helixmill.sources.fasta import by_size, streamed_lines, whole_files
 
 SEQUENCE_LETTERS = frozenset("ACGTURYSWKMBDHVN.-*")
 LOOK_AHEAD = 100_000
+#: Bases of the reads that are passed on together, about.
+BATCH_BASES = 1 << 24
 
 READS = "path string, read_ord long, read_id string, seq string, qual string, parse_warning string"
 
@@ -78,26 +83,53 @@ def parse_fastq(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str | Non
         line = source.take() if line is None else line
 
 
+def _batch(path: str, first: int, reads: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*((path, first + i, *r) for i, r in enumerate(reads))))
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "read_ord", "read_id", "seq", "qual", "parse_warning"])
+
+
+def _batches(path: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    held, first, size = [], 0, 0
+    for read in parse_fastq(lines):
+        held.append(read)
+        size += len(read[1])
+        if len(held) == 10_000 or size > BATCH_BASES:
+            yield _batch(path, first, held)
+            held, first, size = [], first + len(held), 0
+    if held:
+        yield _batch(path, first, held)
+
+
 def reads_of(files: DataFrame) -> DataFrame:
     """Reads of whole files (path, whole); a file is parsed within one task."""
 
     def run(batches):
         for batch in batches:
             for path, whole in zip(batch.column("path").to_pylist(), batch.column("whole").to_pylist()):
-                rows = [(path, i, *r) for i, r in enumerate(parse_fastq(whole.replace("\r\n", "\n").split("\n")))]
-                for at in range(0, len(rows), 10_000):
-                    columns = list(zip(*rows[at : at + 10_000]))
-                    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "read_ord", "read_id", "seq", "qual", "parse_warning"])
+                yield from _batches(path, whole.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
 
     return files.select("path", "whole").mapInArrow(run, READS)
 
 
+def reads_of_lines(lines: DataFrame) -> DataFrame:
+    """Reads of files of any size as lines (path, line_no, line); a file's lines pass through one task, sorted on its disk, and none holds them all."""
+
+    def run(batches):
+        rows = ((p, x) for batch in batches for p, x in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()))
+        for path, own in groupby(rows, lambda r: r[0]):
+            yield from _batches(path, (x for _, x in own))
+
+    return lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "line").mapInArrow(run, READS)
+
+
 def first_reads(reads: DataFrame, limit: int | None, order: tuple[str, ...] = ("path", "read_ord")) -> DataFrame:
     """The first reads in file order; a negative limit is none, 0 means no reads."""
     return reads if limit is None or limit < 0 else reads.orderBy(*order).limit(limit)
 
 
-def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return first_reads(reads_of(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("whole"))), limit)
+def read_fastq(spark: SparkSession, path: str, limit: int | None = None, whole_bytes: int | None = None) -> DataFrame:
+    """Reads of the files below path: small files whole, larger ones by their lines, with equal results."""
+    small, large = by_size(spark, path, whole_bytes)
+    out = reads_of(whole_files(spark, small))
+    return first_reads(out.unionByName(reads_of_lines(streamed_lines(spark, large))) if large else out, limit)
