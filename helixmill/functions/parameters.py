@@ -111,11 +111,16 @@ def is_prime(n: int) -> bool:
     return True
 
 
+def shard_capacity(fpp: float) -> int:
+    """Elements that a shard of the most bits takes."""
+    return int(MAX_SHARD_BITS * LN2_SQUARED / -math.log(fpp))
+
+
 def bloom_parameters(capacity: int, fpp: float = DEFAULT_FPP) -> tuple[int, int, int, int]:
     """(shards, capacity of a shard, bits of a shard, hashes) of a filter."""
     if capacity < 1:
         raise ValueError("a Bloom filter needs a capacity of 1 at least")
-    most = int(MAX_SHARD_BITS * LN2_SQUARED / -math.log(fpp))
+    most = shard_capacity(fpp)
     shards = 1
     while shards * most < capacity:
         shards *= 2

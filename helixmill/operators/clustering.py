@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from helixmill.functions.hashing import node_seed, unit
 from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import MIN_GENOMES, adaptive_bound, calibration_budget, leader_limit
+from helixmill.operators.similarity import genome_sketches
 
 SMALLEST_CLUSTER = 10
 WANTED_POSITIVES = 32
@@ -24,30 +25,51 @@ SEED = 9001
 
 
 class Similarities:
-    """Scores of pairs, each computed once; `score(a, b)` gives those that aren't known."""
+    """Scores of pairs, each computed once; `score(a, b)` gives those that aren't known, `weak(a, b)` is a second sketch's for zero ones."""
 
-    def __init__(self, score: Callable[[int, int], float], known: dict[tuple[int, int], float] | None = None):
-        self.score, self.known, self.registry = score, dict(known or {}), set(known or {})
+    def __init__(self, score: Callable[[int, int], float], known: dict[tuple[int, int], float] | None = None, weak: Callable[[int, int], float] | None = None):
+        self.score, self.weak, self.known, self.registry = score, weak, dict(known or {}), set(known or {})
+        self.uncertain = {p for p, s in self.known.items() if self._weak(p, s)}
+
+    def _weak(self, pair: tuple[int, int], score: float) -> bool:
+        return score <= 0 and self.weak is not None and self.weak(*pair) > 0
 
     def of(self, a: int, b: int) -> float:
         pair = (a, b) if a < b else (b, a)
         if pair not in self.known:
-            self.known[pair] = self.score(*pair)
+            self.known[pair] = s = self.score(*pair)
+            if self._weak(pair, s):
+                self.uncertain.add(pair)
         return self.known[pair]
 
     def register(self, pairs: Iterable[tuple[int, int]]) -> None:
-        for pair in pairs:
-            self.of(*pair)
-            self.registry.add(pair)
+        for a, b in pairs:
+            self.of(a, b)
+            self.registry.add((a, b) if a < b else (b, a))
+
+    def divided(self, parts: list[list[int]]) -> list[Similarities]:
+        """What is known of the pairs within each part; a pair between two parts is of no further use below."""
+        part_of = {i: k for k, part in enumerate(parts) for i in part}
+        out = [Similarities(self.score, None, self.weak) for _ in parts]
+        for pair, s in self.known.items():
+            k = part_of.get(pair[0])
+            if k is not None and k == part_of.get(pair[1]):
+                out[k].known[pair] = s
+                if pair in self.registry:
+                    out[k].registry.add(pair)
+                if pair in self.uncertain:
+                    out[k].uncertain.add(pair)
+        return out
 
     def within(self, ids: set[int]) -> list[float]:
         """Positive scores known among ids."""
         return [s for (a, b), s in self.known.items() if s > 0 and a in ids and b in ids]
 
     def calibration(self, ids: set[int]) -> tuple[list[float], int]:
-        """Sorted positive scores of the registered pairs among ids, and how many of those pairs are zero."""
-        own = [self.known[p] for p in self.registry if p[0] in ids and p[1] in ids]
-        return sorted(s for s in own if s > 0), sum(s <= 0 for s in own)
+        """Sorted positive scores of the registered pairs among ids, and how many of those pairs are confirmed zeros (uncertain ones are neither)."""
+        own = [p for p in self.registry if p[0] in ids and p[1] in ids]
+        scores = [self.known[p] for p in own]
+        return sorted(s for s in scores if s > 0), sum(s <= 0 for s in scores) - len(self.uncertain.intersection(own))
 
 
 def mean_std(values: list[float], members: int) -> tuple[float, float]:
@@ -192,9 +214,9 @@ def build_tree(ids: Iterable[int], similar: Similarities, overall: tuple[float,
         raise ValueError(f"an index needs {MIN_GENOMES} genomes at least, not {len(ids)}")
     tree = Tree(nodes=1)
     filters = 0
-    waiting: list[tuple[int, list[int]]] = [(0, ids)]
+    waiting: list[tuple[int, list[int], Similarities]] = [(0, ids, similar)]
     while waiting:  # a stack, so that depth isn't bound by Python's
-        node, own = waiting.pop()
+        node, own, similar = waiting.pop()
         clusters = cluster_genomes(own, similar, overall, seed, weak)
         parts = [[i] for i in clusters[0]] if len(clusters) == 1 else [p for c in clusters for p in (split(c) if split else [c])]
         below = []
@@ -206,7 +228,8 @@ def build_tree(ids: Iterable[int], similar: Similarities, overall: tuple[float,
                 below.append((child, part))
             tree.branches.append((node, order, filters, child, part))
             filters += 1
-        waiting += reversed(below)
+        known = similar.divided([part for _, part in below])  # a node looks at its own pairs only
+        waiting += reversed([(child, part, own) for (child, part), own in zip(below, known)])
     return tree
 
 
@@ -253,8 +276,27 @@ def partition_faults(ids: DataFrame, clusters: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("expected").isNull()).alias("foreign"), F.count_if(F.col("times") > 1).alias("duplicate"), F.count_if(F.col("times").isNull()).alias("missing"))
 
 
-def union_cardinalities(members: DataFrame, mz: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct minimizers of each cluster: distinct rows first, so that both steps combine before they shuffle."""
+def within_capacity(sizes: dict[int, int], most: int) -> Callable[[list[int]], list[list[int]]]:
+    """A split of clusters for build_tree: members join, in order, until their sizes exceed what a filter takes; the rest is a sibling, and so on."""
+
+    def split(members: list[int]) -> list[list[int]]:
+        out, held = [[]], 0
+        for i in members:
+            if out[-1] and held + sizes[i] > most:
+                out.append([])
+                held = 0
+            out[-1].append(i)
+            held += sizes[i]
+        return out
+
+    return split
+
+
+def union_cardinalities(members: DataFrame, mz: DataFrame, keys: list[str], sketch: bool = False) -> DataFrame:
+    """Distinct minimizers of each cluster: distinct rows first, so that both steps combine before they shuffle. sketch: estimated by the union of the members' theta sketches."""
+    if sketch:
+        own = members.join(genome_sketches(mz).select("genome_id", "sketch"), "genome_id")
+        return own.groupBy(*keys).agg(F.expr("theta_sketch_estimate(theta_union_agg(sketch))").alias("capacity"))
     return members.join(mz, "genome_id").select(*keys, "mz").distinct().groupBy(*keys).agg(F.count("*").alias("capacity"))
 
 

@@ -80,25 +80,44 @@ def minimizer_set(data: np.ndarray, k: int, step: int, piece: int = PIECE_BASES)
     return out[:-1] if len(out) and out[-1] == INVALID else out
 
 
+#: Minimizers that one Arrow batch holds, at most (a sequence's set is not divided).
+BATCH_MINIMIZERS = 1 << 20
+
+
 def minimizers(sequences: DataFrame, id_column: str = "genome_id", sequence: str = "seq", k: int = 29, piece: int = PIECE_BASES) -> DataFrame:
     """(id, mz): a row for each minimizer of each sequence; rows with null sequences have none."""
+    return _sets(sequences, [id_column], sequence, k, piece, False)
+
+
+def minimizer_sets(sequences: DataFrame, id_columns: list[str], sequence: str = "seq", k: int = 29, piece: int = PIECE_BASES) -> DataFrame:
+    """(ids, mz): a row for each sequence with its minimizers as an array, an empty one for null and short sequences."""
+    return _sets(sequences, id_columns, sequence, k, piece, True)
+
+
+def _sets(sequences: DataFrame, id_columns: list[str], sequence: str, k: int, piece: int, whole: bool) -> DataFrame:
     k, step, _ = kmer_parameters(k)
-    own = sequences.select(id_column, sequence)
-    schema = T.StructType([own.schema[id_column], T.StructField("mz", T.LongType())])
+    own = sequences.select(*id_columns, sequence)
+    schema = T.StructType([*[own.schema[c] for c in id_columns], T.StructField("mz", T.ArrayType(T.LongType()) if whole else T.LongType())])
+
+    def made(batch, rows: list[int], sets: list[np.ndarray]):
+        size = [len(x) for x in sets]
+        at = pa.array(rows if whole else np.repeat(rows, size).astype(np.int64), pa.int64())
+        values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+        mz = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values) if whole else values
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in id_columns], mz], names=schema.names)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(sequence)
-            ids, sets = [], []
-            for i, s in enumerate(column):
+            rows, sets, held = [], [], 0
+            for i, s in enumerate(batch.column(sequence)):
                 text = s.as_py()
-                if text is None or len(text) < k:
-                    continue
-                found = minimizer_set(np.frombuffer(text.encode("ascii", "replace"), np.uint8), k, step, piece)
-                ids.append(np.full(len(found), i, np.int64))
-                sets.append(found)
-            take = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(take)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=[id_column, "mz"])
+                rows.append(i)
+                sets.append(minimizer_set(np.frombuffer((text or "").encode("ascii", "replace"), np.uint8), k, step, piece))
+                held += len(sets[-1])
+                if held >= BATCH_MINIMIZERS:
+                    yield made(batch, rows, sets)
+                    rows, sets, held = [], [], 0
+            yield made(batch, rows, sets)
 
     return own.mapInArrow(run, schema)
 
