@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from helixmill.functions.hashing import FMIX, GOLDEN
 from helixmill.functions.parameters import DEFAULT_FPP
 from helixmill.functions.sequences import LETTERS, NUCLEOTIDES
-from helixmill.plans.queries import FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, READ_STEP, RETAINED, SAMPLED_PAIRS, SEED, THRESHOLD
+from helixmill.plans.queries import DOCUMENT_FILTERS, FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, RETAINED, SEED, THRESHOLD
 
 M32, MURMUR = (1 << 32) - 1, 0x5BD1E995
 
@@ -14,7 +15,7 @@ def dna(text: str) -> str:
 
 
 GENOMES = f"g AS (SELECT doc_id AS genome_id, '>doc_' || doc_id AS name, {dna('text')} AS seq, CAST(substr(source, 4) AS INTEGER) AS filter_id FROM documents)"
-READS = f"""r0 AS (SELECT genome_id, seq, unnest(range(0, length(seq) - {K} + 1, {READ_STEP})) AS p0 FROM g WHERE length(seq) >= {K}),
+READS = f"""r0 AS (SELECT genome_id, seq, unnest(range(0, length(seq) - {K} + 1, {READ_BASES})) AS p0 FROM g WHERE length(seq) >= {K}),
 r AS (SELECT '@' || genome_id || '_' || p0 AS read_id, substr(seq, CAST(p0 + 1 AS BIGINT), {READ_BASES}) AS seq FROM r0)"""
 
 
@@ -51,6 +52,17 @@ def murmur_steps(source: str, columns: str, out: str) -> str:
     return ",\n".join([a, b, c, d, f"{out} AS (SELECT {columns}, xor(x0, x0 >> 15) AS h0, xor(x1, x1 >> 15) AS h1 FROM {out}_d)"])
 
 
+def finalizer_sql(value: str) -> str:
+    """The seeded 64-bit finalizer of a long that isn't negative, as a signed long."""
+    z = f"xor(CAST({value} AS UBIGINT), CAST({GOLDEN} AS UBIGINT))"
+    steps, name = [], "z0"
+    steps.append(f"z0 AS (SELECT {value}, {z} AS z FROM u)")
+    for i, factor in enumerate(FMIX):
+        steps.append(f"z{i + 1} AS (SELECT {value}, CAST((CAST(xor(z, z >> 33) AS UHUGEINT) * CAST({factor} AS UHUGEINT)) % CAST({1 << 64} AS UHUGEINT) AS UBIGINT) AS z FROM {name})")
+        name = f"z{i + 1}"
+    return ", ".join([*steps, f"zz AS (SELECT {value}, CAST(xor(z, z >> 33) AS HUGEINT) AS z FROM {name})"])
+
+
 def using(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -79,13 +91,16 @@ classes AS (SELECT p.a, p.b, CASE WHEN met.a IS NULL THEN 1 ELSE 2 END AS class
 
 
 SIZED = "(SELECT CAST(floor(1000 + count(*) * pow(ln(count(*)), 2)) AS BIGINT) FROM documents)"
-PAIRS, SIZED_PAIRS = pairs_of(SAMPLED_PAIRS, 2 * SAMPLED_PAIRS + 64), pairs_of(SIZED, f"2 * {SIZED} + 64")
-CLASSES, SIZED_CLASSES = classes_of(PAIRS), classes_of(SIZED_PAIRS)
+PAIRS = pairs_of(SIZED, f"2 * {SIZED} + 64")
+CLASSES = classes_of(PAIRS)
 F_MZ = "fm AS (SELECT DISTINCT filter_id, mz FROM gm JOIN g USING (genome_id))"
 CAPS = "caps AS (SELECT filter_id, count(*) AS capacity FROM fm GROUP BY filter_id)"
 FILTERS = f"""want AS (SELECT filter_id, capacity, greatest(2, CAST(ceil(-(capacity * ln({DEFAULT_FPP})) / pow(ln(2), 2)) AS BIGINT)) AS want FROM caps),
 cand AS (SELECT filter_id, capacity, want + unnest(range(0, 500)) AS c FROM want),
-fl AS (SELECT filter_id, capacity, 1 AS shards, min(c) AS bits FROM cand WHERE NOT EXISTS (SELECT 1 FROM range(2, 30000) t(q) WHERE q * q <= c AND c % q = 0) GROUP BY filter_id, capacity),
+few AS (SELECT range AS q FROM range(2, 100) WHERE NOT EXISTS (SELECT 1 FROM range(2, 10) t(x) WHERE x < range AND range % x = 0)),
+primes AS (SELECT range AS q FROM range(2, 30000) WHERE NOT EXISTS (SELECT 1 FROM range(2, 174) t(x) WHERE x < range AND range % x = 0)),
+odd AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM few WHERE q < c AND c % q = 0)),
+fl AS (SELECT filter_id, capacity, 1 AS shards, min(c) AS bits FROM odd WHERE NOT EXISTS (SELECT 1 FROM primes WHERE q < c AND c % q = 0) GROUP BY filter_id, capacity),
 filters AS (SELECT filter_id, capacity, shards, bits, CAST(ceil(bits / CAST(capacity AS DOUBLE) * ln(2)) AS INTEGER) AS hashes FROM fl)"""
 BLOOM = ",\n".join([G_MZ, F_MZ, CAPS, FILTERS, murmur_steps("fm", "filter_id, mz", "hm")])
 PROBES = "probes AS (SELECT filter_id, mz, unnest(range(0, hashes)) AS i, h0 % bits AS p, greatest(h1 % bits, 1) AS st, bits FROM hm JOIN filters USING (filter_id)), bit AS (SELECT filter_id, mz, (p + i * st) % bits AS bit FROM probes)"
@@ -116,6 +131,50 @@ ok AS (SELECT *, hits > 0 AND conf >= CAST({THRESHOLD} AS REAL) AS accepted FROM
 SUMMARY = f"""{LEVEL2},
 own AS (SELECT hit2.genome_id, hit2.mz FROM hit2 JOIN ok ON ok.read_id = hit2.read_id AND ok.genome_id = hit2.genome_id WHERE accepted),
 su AS (SELECT genome_id, count(DISTINCT mz) AS n_distinct, count(*) AS n_hits FROM own GROUP BY genome_id)"""
+STAGED = 5
+
+
+def held_by_filters(pairs: str, out: str) -> str:
+    """CTEs that end in {out}: (mz, filter_id) of the distinct pairs that the filters hold, by ever more of their probes."""
+    steps = [f"{out}_u AS (SELECT DISTINCT mz FROM {pairs})", murmur_steps(f"{out}_u", "mz", f"{out}_h")]
+    steps.append(f"{out}_0 AS (SELECT mz, filter_id, h0 % bits AS p, greatest(h1 % bits, 1) AS st, bits, hashes FROM {pairs} JOIN {out}_h USING (mz) JOIN filters USING (filter_id))")
+    for i in range(STAGED):
+        steps.append(f"{out}_{i + 1} AS (SELECT x.* FROM {out}_{i} x SEMI JOIN db ON db.filter_id = x.filter_id AND db.bit = (x.p + {i} * x.st) % x.bits)")
+    steps.append(f"{out}_r AS (SELECT mz, filter_id, hashes, (p + unnest(range({STAGED}, hashes)) * st) % bits AS bit FROM {out}_{STAGED})")
+    steps.append(f"{out} AS (SELECT mz, filter_id FROM {out}_r SEMI JOIN db USING (filter_id, bit) GROUP BY mz, filter_id, hashes HAVING count(*) = hashes - {STAGED})")
+    return ",\n".join(steps)
+
+
+INDEX = f"""{G_MZ},
+{SIZES},
+gg AS (SELECT genome_id, name, g.filter_id AS src FROM g JOIN n USING (genome_id)),
+el AS (SELECT DISTINCT src AS filter_id, mz FROM gm JOIN gg USING (genome_id) UNION ALL SELECT genome_id + {DOCUMENT_FILTERS}, mz FROM gm),
+caps AS (SELECT filter_id, count(*) AS capacity FROM el GROUP BY filter_id),
+{FILTERS},
+{murmur_steps("el", "filter_id, mz", "hm")},
+{PROBES},
+{SET_BITS},
+{ESTIMATE},
+db AS (SELECT DISTINCT filter_id, bit FROM bit),
+mem AS (SELECT src AS filter_id, count(*) AS n_members FROM gg GROUP BY src),
+sz AS (SELECT filter_id, CASE WHEN coalesce(n_members, 1) = 1 THEN capacity ELSE CAST(floor(CAST((CAST(capacity AS REAL) + CAST(estimate AS REAL)) / CAST(2 AS REAL) AS DOUBLE) + 0.5) AS BIGINT) END AS n_elements FROM est LEFT JOIN mem USING (filter_id)),
+{READS},
+{minimizers('r', 'read_id', 'rm')},
+rn AS (SELECT read_id, count(*) AS n_minimizers FROM rm GROUP BY read_id),
+pairs1 AS (SELECT mz, filter_id FROM (SELECT DISTINCT mz FROM rm) CROSS JOIN mem),
+{held_by_filters("pairs1", "in1")},
+hits1 AS (SELECT read_id, filter_id, count(*) AS hits FROM rm JOIN in1 USING (mz) GROUP BY 1, 2)"""
+BY_FILTERS = f"""{INDEX},
+tot1 AS (SELECT sum(n_elements) AS total FROM sz JOIN mem USING (filter_id)),
+sc1 AS (SELECT read_id, filter_id, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / (SELECT total FROM tot1))) AS REAL) AS score FROM hits1 JOIN rn USING (read_id) JOIN sz USING (filter_id)),
+top1 AS (SELECT read_id, filter_id AS src FROM sc1 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, filter_id) = 1),
+own2 AS (SELECT read_id, src, mz FROM top1 JOIN rm USING (read_id)),
+pairs2 AS (SELECT mz, genome_id + {DOCUMENT_FILTERS} AS filter_id FROM (SELECT DISTINCT src, mz FROM own2) JOIN gg USING (src)),
+{held_by_filters("pairs2", "in2")},
+hits2 AS (SELECT read_id, src, genome_id, count(*) AS hits FROM own2 JOIN in2 USING (mz) JOIN gg USING (src) WHERE filter_id = genome_id + {DOCUMENT_FILTERS} GROUP BY ALL),
+tot2 AS (SELECT src, sum(n_elements) AS total FROM gg JOIN sz ON sz.filter_id = genome_id + {DOCUMENT_FILTERS} GROUP BY src),
+sc2 AS (SELECT read_id, genome_id, hits, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / total)) AS REAL) AS score FROM hits2 JOIN rn USING (read_id) JOIN sz ON sz.filter_id = genome_id + {DOCUMENT_FILTERS} JOIN tot2 USING (src)),
+top2 AS (SELECT *, CAST(CAST(score AS DOUBLE) / CAST(CAST(1 AS REAL) + score AS DOUBLE) AS REAL) AS conf FROM sc2 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, genome_id) = 1)"""
 CLEAN = r"regexp_replace({}, '\s+', '', 'g')"
 RECORDS = f"""rec AS (SELECT source AS path, doc_id, {CLEAN.format("array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(x, '>')), '')")} AS seq FROM documents),
 num AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS record, doc_id, seq FROM rec)"""
@@ -130,13 +189,17 @@ ORACLES = {
     "clean_seq": f"SELECT doc_id, length({CLEAN.format('text')}) AS n_bases, md5({CLEAN.format('text')}) AS seq_md5 FROM documents",
     "chunk_equiv": using(G_MZ) + "SELECT genome_id, count(*) AS n_minimizers, CAST(sum(mz % 1000003) AS BIGINT) AS mz_sum FROM gm GROUP BY genome_id",
     "limit_genomes": using(GENOMES) + f"SELECT genome_id, name, length(seq) AS n_bases FROM g WHERE length(seq) >= {K} ORDER BY genome_id LIMIT {FIRST_GENOMES}",
-    "scan_fastq": using(GENOMES) + f"SELECT 'src' || filter_id AS path, row_number() OVER (PARTITION BY filter_id ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(substr(seq, 1, {READ_BASES})) AS n_bases, md5(substr(seq, 1, {READ_BASES})) AS seq_md5 FROM g WHERE length(seq) >= {K}",
-    "scan_fastq_whole": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
+    "scan_fastq": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
+    "fastq_lenient": using(GENOMES)
+    + f"""SELECT path, read_id, concat_ws('; ', CASE WHEN stray AND NOT coalesce(after_short, false) THEN 'skipped 1 lines' END, CASE WHEN short THEN 'sequence ' || n || ', quality ' || CASE WHEN coalesce(stray_next, false) THEN {1 + len('stray line')} ELSE 1 END END) AS parse_warning
+FROM (SELECT *, lag(short) OVER w AS after_short, lead(stray) OVER w AS stray_next FROM (SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, genome_id, '@' || genome_id AS read_id, length(seq) AS n, genome_id % 5 = 1 AS stray, genome_id % 7 = 3 AS short FROM g WHERE length(seq) >= {K}) WINDOW w AS (PARTITION BY path ORDER BY genome_id))
+WHERE short OR (stray AND NOT coalesce(after_short, false))""",
     "limit_reads": using(GENOMES, READS) + f"SELECT read_id, length(seq) AS n_bases FROM r ORDER BY read_id LIMIT {FIRST_READS}",
     "kmer_params": "SELECT asked, CAST(k AS INTEGER) AS k, CAST(step AS INTEGER) AS step, CAST(k - step AS INTEGER) AS m FROM (SELECT asked, k, CAST(floor(sqrt(k)) AS BIGINT) - CAST(floor(sqrt(k)) AS BIGINT) % 2 AS step FROM (SELECT range AS asked, least(greatest(CASE WHEN range % 2 = 0 THEN range + 1 ELSE range END, 11), 37) AS k FROM range(1, 61)))",
     "canonical_mmers": using(GENOMES, mer_steps("g", "genome_id", "c")) + "SELECT genome_id, count(*) AS n_mmers, CAST(sum(can % 1000003) AS BIGINT) AS mmer_sum, min(can) AS least, max(can) AS greatest FROM c GROUP BY genome_id",
     "minimizers": using(G_MZ) + "SELECT genome_id, mz FROM gm",
     "murmur2_pair": using(I_MZ, "u AS (SELECT DISTINCT mz FROM im)", murmur_steps("u", "mz", "h")) + "SELECT mz, h0, h1 FROM h",
+    "fmix64": using(I_MZ, "u AS (SELECT DISTINCT mz FROM im)", finalizer_sql("mz")) + f"SELECT mz, CAST(CASE WHEN z >= {1 << 63} THEN z - {1 << 64} ELSE z END AS BIGINT) AS mixed FROM zz",
     "pair_key": "SELECT doc_id AS x, doc_id * 7919 % 1009 AS y, (least(doc_id, doc_id * 7919 % 1009) << 32) | greatest(doc_id, doc_id * 7919 % 1009) AS pair_key FROM documents",
     "csv_escape": """SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END) AS field_md5 FROM documents""",
     "genome_card": using(G_MZ, SIZES) + "SELECT genome_id, n_minimizers FROM n",
@@ -145,9 +208,6 @@ ORACLES = {
     "pair_sample": using(PAIRS) + "SELECT a, b FROM pairs",
     "pair_classes": using(CLASSES) + "SELECT a, b, class FROM classes",
     "calibration_counts": using(CLASSES) + "SELECT count(*) FILTER (class = 1) AS zero, count(*) FILTER (class = 2) AS positive, count(*) AS pairs FROM classes",
-    "pair_sample_sized": using(SIZED_PAIRS) + "SELECT a, b FROM pairs",
-    "pair_classes_sized": using(SIZED_CLASSES) + "SELECT a, b, class FROM classes",
-    "calibration_counts_sized": using(SIZED_CLASSES) + "SELECT count(*) FILTER (class = 1) AS zero, count(*) FILTER (class = 2) AS positive, count(*) AS pairs FROM classes",
     "similarity_stats": using(SIMILAR) + "SELECT count(*) AS n, round(CASE WHEN count(*) < 2 THEN -1 ELSE avg(score) END, 9) AS mean, round(CASE WHEN count(*) < 2 THEN -1 ELSE stddev_samp(score) END, 9) AS std FROM sc",
     "positive_percentile": using(SIMILAR) + "SELECT a, b, round(cume_dist() OVER (ORDER BY round(score, 9)), 9) AS percentile FROM sc",
     "cluster_union_card": using(G_MZ, "ff AS (SELECT filter_id, mz, min(genome_id) AS genome_id FROM gm JOIN g USING (genome_id) GROUP BY filter_id, mz), fn AS (SELECT filter_id, genome_id, count(*) AS new FROM ff GROUP BY 1, 2)")
@@ -177,5 +237,8 @@ ORACLES = {
     "accept_reads": using(LEVEL2) + "SELECT read_id, accepted, round(CAST(conf AS DOUBLE), 5) AS confidence, round(CAST(match AS DOUBLE), 5) AS perc_match FROM ok",
     "class_reads": using(LEVEL2) + "SELECT read_id, CASE WHEN accepted THEN name ELSE '?' END AS geno_id, hits || '.0|' || n_minimizers AS matches FROM ok JOIN g USING (genome_id)",
     "class_genomes": using(SUMMARY) + "SELECT genome_id, name, round(least(100.0, 100.0 * n_distinct / CAST(n_minimizers AS DOUBLE)), 6) AS coverage, round(n_hits / CAST(n_distinct AS DOUBLE), 6) AS depth FROM su JOIN n USING (genome_id) JOIN g USING (genome_id)",
+    "index_hits": using(INDEX) + "SELECT read_id, filter_id, hits FROM hits1",
+    "index_classify": using(BY_FILTERS) + f"""SELECT regexp_extract(r.read_id, '^(@[0-9]+)_', 1) AS read_id, CASE WHEN conf >= CAST({THRESHOLD} AS REAL) THEN name ELSE '?' END AS geno_id, coalesce(hits, 0) || '.0|' || coalesce(n_minimizers, 0) AS matches, round(coalesce(CAST(conf AS DOUBLE), 0), 5) AS confidence
+FROM r LEFT JOIN rn USING (read_id) LEFT JOIN top2 USING (read_id) LEFT JOIN gg USING (genome_id)""",
     "genome_coverage": using(SUMMARY) + "SELECT genome_id, n_distinct, n_hits FROM su",
 }

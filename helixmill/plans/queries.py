@@ -14,13 +14,14 @@ from helixmill.functions.parameters import adaptive_bound_column, growth_weight_
 from helixmill.functions.sequences import as_dna, clean_sequence, csv_field, genome_name
 from helixmill.operators import bloom, classification, clustering, similarity as sim
 from helixmill.operators.minimizers import chunk_sequences, minimizers, mmers
+from helixmill.plans.classify import classify_sets, read_sets
 from helixmill.sources.fasta import is_genome_file, joined_contigs, records_of
 from helixmill.sources.fastq import first_reads, reads_of
 
-K, READ_BASES, READ_STEP = 29, 300, 500
+K, READ_BASES = 29, 300
 #: Of the FASTQ examples: bases of a line, and document ids that may share a file.
 LINE_BASES, FILE_IDS = 100, 64
-SAMPLED_PAIRS, SEED = 20_000, 9001
+SEED = 9001
 FIRST_GENOMES, FIRST_READS, RETAINED = 50, 100, 7
 THRESHOLD = 0.5
 #: Endings given to documents' numbers, to make paths of them.
@@ -40,8 +41,8 @@ def genome_mz(s: SparkSession, d: str) -> DataFrame:
 
 
 def reads(s: SparkSession, d: str) -> DataFrame:
-    """(read_id, seq): cuts of every genome, far enough from its end to have minimizers."""
-    starts = F.sequence(F.lit(0), F.length("seq") - K, F.lit(READ_STEP))
+    """(read_id, seq): every genome cut into pieces; a last one too short for a minimizer is left out."""
+    starts = F.sequence(F.lit(0), F.length("seq") - K, F.lit(READ_BASES))
     cut = genomes(s, d).where(F.length("seq") >= K).select("genome_id", "seq", F.explode(starts).alias("at"))
     return cut.select(F.concat(F.lit("@"), F.col("genome_id"), F.lit("_"), F.col("at")).alias("read_id"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(READ_BASES)).alias("seq"))
 
@@ -115,31 +116,20 @@ def limit_genomes(s, d):
     return genomes(s, d).where(F.length("seq") >= K).orderBy("genome_id").limit(FIRST_GENOMES).select("genome_id", "name", F.length("seq").cast("long").alias("n_bases"))
 
 
-def fastq_files(s, d, bases: int | None = None):
-    """Files of wrapped records of whole documents, some files for each source, with a stray line and a short quality here and there.
-
-    With bases, a file for each source, and only the first bases of each document (scan_fastq's SQL is written for that).
-    """
-    path = F.concat(F.lit("src"), F.col("filter_id"), *([] if bases else [F.lit("_"), F.expr(f"genome_id div {FILE_IDS}")]))
-    cut = genomes(s, d).where(F.length("seq") >= K).select(path.alias("path"), "genome_id", (F.substring("seq", 1, bases) if bases else F.col("seq")).alias("seq"))
+def fastq_files(s, d):
+    """Files of wrapped records of whole documents, some files for each source, with a stray line and a short quality here and there."""
+    path = F.concat(F.lit("src"), F.col("filter_id"), F.lit("_"), F.expr(f"genome_id div {FILE_IDS}"))
+    own = genomes(s, d).where(F.length("seq") >= K).select(path.alias("path"), "genome_id", "seq")
     wrapped = lambda x: F.regexp_replace(x, f"(.{{{LINE_BASES}}})(?=.)", "$1\n")
     quality = F.when(F.col("genome_id") % 7 == 3, F.lit("I")).otherwise(wrapped(F.expr("repeat('@', length(seq))")))
     stray = F.when(F.col("genome_id") % 5 == 1, F.lit("stray line\n")).otherwise(F.lit(""))
     record = F.concat(stray, F.lit("@"), F.col("genome_id"), F.lit("\n"), wrapped(F.col("seq")), F.lit("\n+\n"), quality, F.lit("\n"))
     parts = F.array_sort(F.collect_list(F.struct("genome_id", record.alias("r"))))
-    return cut.groupBy("path").agg(parts.alias("p")).select("path", F.array_join(F.transform("p", lambda x: F.when(x["genome_id"].isNotNull(), x["r"])), "").alias("whole"))
-
-
-def scanned(files: DataFrame) -> DataFrame:
-    return reads_of(files).select("path", "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
+    return own.groupBy("path").agg(parts.alias("p")).select("path", F.array_join(F.transform("p", lambda x: F.when(x["genome_id"].isNotNull(), x["r"])), "").alias("whole"))
 
 
 def scan_fastq(s, d):
-    return scanned(fastq_files(s, d, READ_BASES))
-
-
-def scan_fastq_whole(s, d):
-    return scanned(fastq_files(s, d))
+    return reads_of(fastq_files(s, d)).select("path", "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
 
 
 def fastq_lenient(s, d):
@@ -200,7 +190,8 @@ def jaccard(s, d):
 
 
 def pair_sample(s, d):
-    return sim.sample_pairs(s, documents(s, d).count(), SAMPLED_PAIRS, SEED)
+    n = documents(s, d).count()
+    return sim.sample_pairs(s, n, sample_size(n), SEED)
 
 
 def pair_classes(s, d):
@@ -211,20 +202,6 @@ def calibration_counts(s, d):
     return sim.calibration_counts(pair_classes(s, d))
 
 
-def pair_sample_sized(s, d):
-    """pair_sample with as many pairs as the operator's rule takes for the documents' number; likewise the two queries below."""
-    n = documents(s, d).count()
-    return sim.sample_pairs(s, n, sample_size(n), SEED)
-
-
-def pair_classes_sized(s, d):
-    return sim.pair_classes(sim.pair_counts(cut(pair_sample_sized(s, d)), cut(genome_mz(s, d))))
-
-
-def calibration_counts_sized(s, d):
-    return sim.calibration_counts(pair_classes_sized(s, d))
-
-
 def similarity_stats(s, d):
     out = sim.similarity_stats(sim.similarity(cut(genome_mz(s, d))))
     return out.select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
@@ -285,17 +262,20 @@ def partition_check(s, d):
     return clustering.partition_faults(ids, wrong)
 
 
-def example_tree(s, d):
-    """Branches of the root for sources, of their nodes for documents; filters are numbered by sources, then documents."""
-    m = members(s, d)
-    n = F.lit(1000)
+#: Filters of single documents are numbered after those of the sources, of which there are fewer.
+DOCUMENT_FILTERS = 1000
+
+
+def example_tree(m: DataFrame) -> DataFrame:
+    """Branches of the root for the sources of members, of their nodes for documents; filters are numbered by sources, then documents."""
+    n = F.lit(DOCUMENT_FILTERS)
     top = m.groupBy("filter_id").agg(F.array_sort(F.collect_list(F.col("genome_id").cast("int"))).alias("members")).select(F.lit(0).alias("node_id"), F.col("filter_id").alias("child_ord"), "filter_id", (F.col("filter_id") + 1).alias("child_node_id"), "members")
     leaves = m.select((F.col("filter_id") + 1).alias("node_id"), F.col("genome_id").cast("int").alias("child_ord"), (F.col("genome_id") + n).cast("int").alias("filter_id"), F.lit(None).cast("int").alias("child_node_id"), F.array(F.col("genome_id").cast("int")).alias("members"))
     return top.unionByName(leaves)
 
 
 def tree_paths(s, d):
-    return clustering.tree_paths(example_tree(s, d)).select("filter_id", "path", "genome_id")
+    return clustering.tree_paths(example_tree(members(s, d))).select("filter_id", "path", "genome_id")
 
 
 # ---- Bloom filters ----
@@ -423,14 +403,47 @@ def genome_coverage_sketch(s, d):
     return _summary(s, d, 12).select("genome_id", "n_distinct")
 
 
+# ---- the same over Bloom filters ----
+
+
+def stored_index(s, d) -> dict[str, DataFrame]:
+    """The tables of an index whose tree is the example's, for genomes with minimizers, with a filter for each branch."""
+    mz = cut(genome_mz(s, d))
+    sizes = cut(sim.cardinalities(mz))
+    held = members(s, d).join(sizes.select("genome_id"), "genome_id", "left_semi")
+    tree = cut(example_tree(held))
+    below = tree.select("filter_id", F.explode("members").alias("genome_id"))
+    known = cut(bloom.filter_table(s, clustering.union_cardinalities(below, mz, ["filter_id"])))
+    words = cut(bloom.insert(below.join(mz, "genome_id").select("filter_id", "mz").distinct(), known))
+    effective = bloom.effective_sizes(bloom.statistics(known, words), below.groupBy("filter_id").agg(F.count("*").alias("n_members")))
+    named = genomes(s, d).select("genome_id", "name").join(sizes, "genome_id")
+    return {"tree": tree, "filters": known, "filter_words": words, "filter_sizes": cut(effective), "genomes": named}
+
+
+def index_hits(s, d):
+    """Reads' hits at the root, by its branches' filters."""
+    tables, mz = stored_index(s, d), cut(read_mz(s, d))
+    root = tables["tree"].where("node_id = 0").select("node_id", "filter_id")
+    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), root, tables["filters"].join(root, "filter_id", "left_semi"), tables["filter_words"])
+    return mz.join(found, "mz").groupBy("read_id", "filter_id").agg(F.count("*").alias("hits"))
+
+
+def index_classify(s, d):
+    """The per-read output of a descent through the filters; all reads of a genome have one name, and each is a read of its own."""
+    named = reads(s, d).select(F.regexp_extract("read_id", "^(@[0-9]+)_", 1).alias("read_id"), "seq")
+    decided, _ = classify_sets(read_sets(named, K), tables := stored_index(s, d), THRESHOLD)
+    rows = classification.read_rows(decided, tables["genomes"])
+    return rows.select(F.col("readId").alias("read_id"), F.col("genoId").alias("geno_id"), F.col("genoMatches|readMinimizers").alias("matches"), F.round(F.col("confidenceScore").cast("double"), 5).alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, scan_fastq_whole, fastq_lenient, limit_reads,
+        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, limit_reads,
         kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, cosine_log_similarity, jaccard, pair_sample, pair_classes,
-        calibration_counts, pair_sample_sized, pair_classes_sized, calibration_counts_sized, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
+        calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,
         filter_capacity, cluster_elements, read_minimizers, node_hits, match_score, best_child, classify_reads, accept_reads, class_reads,
-        class_genomes, genome_coverage, genome_coverage_sketch,
+        class_genomes, genome_coverage, genome_coverage_sketch, index_hits, index_classify,
     )
 } | {"minimizers": genome_mz, "murmur2_pair": murmur2, "pair_key": pair_keys, "sample_size": sample_sizes}

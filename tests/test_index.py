@@ -1,12 +1,15 @@
 """Sources, index and classification end to end, on small made files."""
 
 import gzip
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import bloom, clustering
+from helixmill.operators import bloom, classification, clustering, similarity as sim
+from helixmill.operators.minimizers import minimizers
 from helixmill.plans.classify import classify, write_csv
 from helixmill.plans.index import build_index, divided, open_index
 from helixmill.sources.fasta import is_genome_file, read_fasta
@@ -61,11 +64,48 @@ def test_fasta_files(spark, tmp_path):
     (tmp_path / "a" / "b" / "y.FASTA").write_text(">y\n" + "ACGU" * 20 + "\n")
     (tmp_path / "a" / "z_protein.faa").write_text(">p\n" + "MKV" * 30 + "\n")
     rows = read_fasta(spark, str(tmp_path / "a"), mode="file").orderBy("genome_id").collect()
-    assert [(r.name, r.seq) for r in rows] == [(">y", "ACGU" * 20)] or len(rows) == 2
+    assert [(r.genome_id, r.name, r.seq) for r in rows] == [(0, ">y", "ACGU" * 20)]  # x.fa has 28 bases, one less than a window takes
+    (tmp_path / "a" / "w.fa").write_text(">one\nACGTACGTACGTACGTACGTACACGT\n>two\nGG GG\nTT\n")
+    rows = read_fasta(spark, str(tmp_path / "a"), mode="file").orderBy("genome_id").collect()
+    assert [(r.genome_id, r.name) for r in rows] == [(0, ">y"), (1, ">one")] and rows[1].seq == "ACGTACGTACGTACGTACGTACACGTGGGGTT"
     names = spark.createDataFrame([(n,) for n in ("g/x.fna", "g\\x.FA.GZ", "x.fas.gz", "x_cds_from_genomic.fna", "x.faa", "x_protein.fa", "x.txt")], "path string")
     assert [r[0] for r in names.where(is_genome_file(F.col("path"))).collect()] == ["g/x.fna", "g\\x.FA.GZ", "x.fas.gz"]
 
 
+def test_ids_need_minimizers(spark, tmp_path):
+    """Records of other letters take no id and don't count for the limit."""
+    good = "ACGTTGCAACGGTCATTGCAACGGTACCAT"
+    (tmp_path / "a.fa").write_text(f">n\n{'N' * 100}\n>a\n{good}\n>mixed\n{(good[:24] + 'N') * 5}\n>b\n{good.lower()}\n>c\n{good}\n")
+    rows = read_fasta(spark, str(tmp_path / "a.fa")).orderBy("genome_id").collect()
+    assert [(r.genome_id, r.name) for r in rows] == [(0, ">a"), (1, ">b"), (2, ">c")]
+    assert [r.name for r in read_fasta(spark, str(tmp_path / "a.fa"), limit=2).orderBy("genome_id").collect()] == [">a", ">b"]
+    every = spark.createDataFrame([(0, "N" * 100), (1, good), (2, (good[:24] + "N") * 5)], "genome_id int, seq string")
+    assert {r.genome_id for r in minimizers(every).collect()} == {1}
+
+
+def test_files_by_lines(spark, tmp_path):
+    """Files beyond the size that is read whole give the same, whatever their line ends, gzipped or in many splits."""
+    rng = random.Random(3)
+    reads = [(f"@r{i}", bases(rng, rng.randint(1, 300))) for i in range(2000)]
+    text = "".join(f"{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in reads)
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.fastq").write_text(text)
+    (tmp_path / "q" / "b.fastq").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "q" / "c.fastq").write_bytes(text.replace("\n", "\r").encode())
+    with gzip.open(tmp_path / "q" / "d.fastq.gz", "wt") as f:
+        f.write(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        whole, lines = (sorted(map(tuple, read_fastq(spark, str(tmp_path / "q"), whole_bytes=n).collect())) for n in (None, 0))
+        assert whole == lines and len(whole) == 8000 and [r[2:4] for r in sorted(whole)[:2000]] == reads
+        (tmp_path / "g.fna").write_text("".join(f">{n}\n{s}\n{s}\n" for n, s in reads))
+        whole, lines = (sorted(map(tuple, read_fasta(spark, str(tmp_path / "g.fna"), whole_bytes=n).collect())) for n in (None, 0))
+        assert whole == lines and len(whole) > 1500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_fastq_parser():
     parse = lambda text: list(parse_fastq(text.split("\n")))
     assert parse("@a\nAC\nGT\n+\nII\nII\n@b\nA\n+\nI") == [("@a", "ACGT", "IIII", None), ("@b", "A", "I", None)]
@@ -124,6 +164,106 @@ def test_classify(spark, made, tmp_path):
     assert all(abs(r.n_distinct - exact[r.genome_id]) <= 0.05 * exact[r.genome_id] + 1 for r in sketched.collect())
 
 
+def twins(made):
+    """Two mates under one name, cut from genomes of different families, and a read that is there twice."""
+    _, _, _, genomes, _ = made
+    return [("@a", genomes[0][100:500]), ("@a", genomes[5][900:1300]), ("@b", genomes[7][50:450]), ("@b", genomes[7][50:450]), ("@tiny", "ACGT"), ("@tiny", "ACGT")]
+
+
+def check_twins(rows):
+    got = sorted((r["readId"], r["genoId"], r["genoMatches|readMinimizers"]) for r in rows)
+    assert [g[0] for g in got] == ["@a", "@a", "@b", "@b", "@tiny", "@tiny"]
+    assert "family 0" in got[0][1] and "family 5" in got[1][1] and "family 1" in got[2][1]
+    assert got[2] == got[3] and got[4][1:] == ("?", "0.0|0")
+    assert all(float(g[2].split("|")[1]) < 200 for g in got)  # no read has the other's minimizers
+
+
+def test_reads_of_one_name(spark, made, tmp_path):
+    _, index, _, _, _ = made
+    alone = [classify(spark, spark.createDataFrame([r], "read_id string, seq string"), index)[0].collect()[0] for r in twins(made)]
+    rows, summary = classify(spark, spark.createDataFrame(twins(made), "read_id string, seq string"), index)
+    got = rows.collect()
+    check_twins(got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, alone))
+    family = {int(r.name.split("family ")[1]): r for r in summary.collect()}
+    assert family[1].depth == 2.0 and family[0].depth == family[5].depth == 1.0
+    arriving = tmp_path / "in"
+    arriving.mkdir()
+    (arriving / "reads.fastq").write_text("".join(f"{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in twins(made)))
+    classify_arriving(spark, str(arriving), index, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    check_twins(spark.read.parquet(str(tmp_path / "out/reads")).collect())
+
+
+def test_filters_by_rows_or_packed(spark, made, monkeypatch):
+    """Filters too large to be packed are asked probe by probe, with equal answers; so are those that aren't broadcast."""
+    _, index, _, genomes, _ = made
+    _, tables = open_index(spark, index)
+    rng = random.Random(1)
+    values = [(i % 12, rng.randrange(1 << 50)) for i in range(3000)]
+    mz = spark.read.parquet(f"{index}/genome_minimizers").limit(500).select((F.col("mz") % 12).cast("int").alias("filter_id"), "mz")
+    asked = spark.createDataFrame(values, "filter_id int, mz long").union(mz).distinct()
+    loose = bloom.filter_table(spark, tables["filters"].select("filter_id", "capacity"), 0.2)  # many false answers
+    own = tables["tree"].select("filter_id", F.explode("members").alias("genome_id")).join(spark.read.parquet(f"{index}/genome_minimizers"), "genome_id").select("filter_id", "mz").distinct()
+    words = bloom.insert(own, loose).persist()
+    probed = bloom.probes(own, loose).select("filter_id", "shard", F.shiftright("bit", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")).alias("v"))
+    want = {(r[0], r[1], r[2]): r[3] for r in probed.groupBy("filter_id", "shard", "word").agg(F.bit_or("v")).collect()}
+    assert {(r[0], r[1], r[2]): r[3] for r in words.collect()} == want
+    answers = [sorted(map(tuple, bloom.contains(asked, loose, words, packed_bits=n).collect())) for n in (1 << 25, 0)]
+    monkeypatch.setattr(bloom, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(bloom, "CHUNK", 100)
+    answers.append(sorted(map(tuple, bloom.contains(asked, loose, words).collect())))
+    assert answers[0] == answers[1] == answers[2] and 500 < len(answers[0]) < asked.count()
+
+
+def test_sharded_filters(spark):
+    """Filters of several shards hold what was put in, and little else."""
+    filters = spark.createDataFrame([(0, 4000, 4, 24_001, 17), (1, 1000, 1, 24_001, 17)], bloom.FILTERS)
+    own = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(1).cast("int").alias("filter_id"), F.shiftrightunsigned(F.xxhash64("id"), 14).alias("mz"))
+    words = bloom.insert(own, filters)
+    assert {r.shard for r in words.where("filter_id = 0").select("shard").distinct().collect()} == {0, 1, 2, 3}
+    both = own.select("mz").crossJoin(filters.select("filter_id"))
+    for n in (1 << 25, 0):
+        found = bloom.contains(both, filters, words, packed_bits=n)
+        assert found.join(own, ["filter_id", "mz"]).count() == 5000 and found.count() < 5005
+
+
+def test_second_sketch_and_capacity(spark, made, tmp_path):
+    folder, _, metadata, genomes, _ = made
+    assert set(metadata["seconds"]) == {"minimizers", "sketches", "similarities", "tree", "capacities", "filters"}
+    mz = spark.createDataFrame([(g, 1_000_003 * v) for g, values in ((0, range(3000)), (1, range(1000, 4000)), (2, range(9000, 9500)), (3, range(3000)), (4, range(5))) for v in values], "genome_id int, mz long")
+    held = {r.genome_id: np.frombuffer(r.signature, np.uint8) for r in sim.signatures(mz).collect()}
+    jaccard = lambda a, b: sim.signature_jaccard(float((held[a] == held[b]).mean()))
+    assert jaccard(0, 3) == 1 and abs(jaccard(0, 1) - 0.5) < 0.06 and jaccard(0, 2) < 0.02 and all(len(x) == sim.SIGNATURE for x in held.values())
+    # genomes that share nothing in their samples are placed by the second sketch
+    zero, weak = lambda a, b: 0.6 if a // 12 == b // 12 and a % 12 < 11 and b % 12 < 11 else 0.0, lambda a, b: 0.4 if a // 12 == b // 12 else 0.0
+    similar = clustering.Similarities(zero, None, weak)
+    similar.register((a, b) for a in range(36) for b in range(a))
+    positives, zeros = similar.calibration(set(range(36)))
+    pairs, uncertain = 36 * 35 // 2, len(similar.uncertain)
+    assert uncertain == 3 * 11 and len(positives) == 3 * 55 and zeros == pairs - uncertain - len(positives)
+    parts = similar.divided([list(range(12)), list(range(12, 36))])
+    assert [len(p.known) for p in parts] == [66, 276] and [len(p.uncertain) for p in parts] == [11, 22] and parts[1].calibration(set(range(12, 36)))[1] == 276 - 22 - 110
+    classes = sim.pair_classes(spark.createDataFrame([(0, 1, 5, 0.0), (0, 2, 0, 0.3), (1, 2, 0, 0.0)], "a long, b long, shared long, weak double"))
+    assert {(r.a, r.b): r["class"] for r in classes.collect()} == {(0, 1): 2, (0, 2): 3, (1, 2): 1}
+    registry = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (1, 3)], "a long, b long")
+    assert sim.calibration_counts(classes, None, registry).first().asDict() == {"zero": 1, "positive": 1, "pairs": 4, "uncertain": 1, "missing": 1}
+    # clusters beyond a filter's capacity become siblings
+    assert clustering.within_capacity({i: 40 for i in range(7)}, 100)(list(range(7))) == [[0, 1], [2, 3], [4, 5], [6]]
+    assert clustering.within_capacity({0: 500, 1: 10}, 100)([0, 1]) == [[0], [1]]
+    few = build_index(spark, read_fasta(spark, str(folder / "all.fna")), str(tmp_path / "small"), max_filter=3500)
+    _, tables = open_index(spark, str(tmp_path / "small"))
+    largest = tables["filters"].join(tables["tree"].where("size(members) > 1"), "filter_id").agg(F.max("capacity")).first()[0]
+    assert few["genomes"] == 30 and (largest is None or largest <= 3500)
+    ends = tables["tree"].where("child_node_id is null").select(F.explode("members").alias("g"))
+    assert sorted(r.g for r in ends.collect()) == list(range(30))
+    exact = {r[0]: r[1] for r in clustering.union_cardinalities(spark.createDataFrame([(0, 0), (0, 1), (1, 2)], "filter_id int, genome_id int"), mz, ["filter_id"], sketch=True).collect()}
+    assert abs(exact[0] - 4000) < 150 and exact[1] == 500
+
+
+def test_counter_sizes(spark):
+    assert [classification.coerced_lg(n) for n in (3, 9, 10, 21, 31, 32)] == [12, 12, 10, 21, 31, 12]
+
+
 def test_streaming(spark, made, tmp_path):
     folder, index, _, _, reads = made
     arriving = tmp_path / "in"
@@ -139,6 +279,15 @@ def test_refusals(spark, made, tmp_path):
         build_index(spark, read_fasta(spark, str(folder / "all.fna"), limit=9), str(tmp_path / "few"))
     with pytest.raises(ValueError, match="no complete index"):
         open_index(spark, str(tmp_path / "few"))
+    with pytest.raises(ValueError, match="genome 1 is there 2 times"):
+        build_index(spark, spark.createDataFrame([(i % 11, "x", genomes[0]) for i in range(1, 13)], "genome_id int, name string, seq string"), str(tmp_path / "twice"))
+    _, index, metadata, _, _ = made
+    for change, match in (({"complete": False}, "isn't complete"), ({"window": "other"}, "has window 'other'"), ({"k": "29"}, "no valid k and step"), ({"step": 29}, "no valid k and step"), ({"step": 0}, "no valid k and step")):
+        path = tmp_path / f"changed{len(list(tmp_path.iterdir()))}"
+        (path / "metadata").mkdir(parents=True)
+        (path / "metadata" / "part.txt").write_text(json.dumps(metadata | change))
+        with pytest.raises(ValueError, match=match):
+            open_index(spark, str(path))
 
 
 def test_divided(spark):
