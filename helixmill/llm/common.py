@@ -7,23 +7,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixmill.functions.lineage import shared_dir
 
 CHUNK_BYTES = 1 << 19  # text bytes that one numpy pass takes (its arrays take some hundred times that); a longer text is a chunk of its own
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, so a lost executor costs only what it ran."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmill-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,14 +42,33 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
 _kept: list[str] = []
 
 
-def drop_kept(spark: SparkSession) -> None:
-    """Deletes the tables that keep() has written in this process; for when the results made from them are stored."""
+def drop_kept(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the tables that keep() has written in this process from the number `since` on, but for the last `but`; for when the results made from them are stored."""
     jvm = spark.sparkContext._jvm
-    while _kept:
-        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
+    gone = _kept[since : len(_kept) - but]
+    del _kept[since : len(_kept) - but]
+    for path in gone:
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def n_kept() -> int:
+    return len(_kept)
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """120 bits of the text's SHA-256 as two numbers, never null."""
+    hexed = F.sha2(text, 256)
+    part = lambda i: F.coalesce(F.conv(F.substring(hexed, i, 15), 16, 10).cast("long"), F.lit(0))
+    return part(1), part(17)
+
+
+def text_number(text: Column) -> Column:
+    """The same 120 bits as one number."""
+    k1, k2 = text_key(text)
+    return (k1.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + k2.cast("decimal(19,0)")
+
+
 # ---- text columns of Arrow batches as bytes ----
 
 
@@ -87,23 +117,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and their inverses, modulo 2**64; kept for the usual chunk length."""
-    if not _powers or len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 16), base, np.uint64)
-            p[0] = 1
-            p = np.multiply.accumulate(p)
-            _powers[i : i + 1] = [p]
-    return _powers[0][:n], _powers[1][:n]
+KEPT_POWERS = 1 << 20
 
 
-def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums h and inverse powers q, so that (h[e] - h[s]) * q[s] is a hash of data[s:e] alone."""
-    p, _ = powers(len(data) + 1)
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * p[:-1], out=h[1:])
-    return h, powers(len(data) + 1)[1]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0..n-1 and their inverses, modulo 2**64; kept up to the usual chunk length, so that one long text doesn't fill a worker for good."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, 1 << 16), base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums h and inverse powers q, so that (h[e] - h[s]) * q[s] is a hash of codes[s:e] alone."""
+    p, q = powers(len(codes) + 1)
+    h = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * p[:-1], out=h[1:])
+    return h, q
 
 
 def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +159,7 @@ def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    h, q = rolling(data)
+    h, q = rolling(BYTE_CODES[data])
     return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -131,7 +167,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def append_columns(docs: DataFrame, text: str, fields, start, drop: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> DataFrame:
-    """docs without `drop`, with the columns `fields` (a StructType) appended.
+    """docs without `drop`, with the columns `fields` (a StructType) appended; they replace columns of their names.
 
     start() runs once in each task and returns work(data, offsets), which takes some rows' text as bytes and returns an
     Arrow array or a list for each field. Rows stay where they are; memory is bound by `most` bytes or the longest text.
@@ -140,8 +176,9 @@ def append_columns(docs: DataFrame, text: str, fields, start, drop: tuple[str, .
     from pyspark.sql.pandas.types import to_arrow_type
 
     names = [f.name for f in fields]
-    kept = [c for c in docs.columns if c not in {*drop, *names}]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    gone = {c.lower() for c in (*drop, *names)}
+    kept = [c for c in docs.columns if c.lower() not in gone]
+    docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
 

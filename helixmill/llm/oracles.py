@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from helixmill.llm.license_scan import COPYRIGHT_LINE, KNOWN, MAYBE_NOTICE, SPELLINGS
-from helixmill.llm.quality_rules import CLASS_REFERENCES, MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_REPEAT_PERCENT, MIN_CHARS_FOR_CLASSES, MIN_WORDS, MIN_WORDS_FOR_COMMON, WORD_REFERENCES
-from helixmill.llm.suffix_dedup import WIDTH
+from helixmill.llm.license_scan import COPYRIGHT_LINE, MAYBE_NOTICE, SPELLINGS, STEMS, known_texts
+from helixmill.llm.pii import BASE_KINDS, CONTEXT, CONTEXT_CHARS, EXTRA_KINDS, IBAN
+from helixmill.llm.quality_rules import CLASS_REFERENCES, MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_REPEAT_PERCENT, MAX_UNCASED_PERCENT, MIN_CHARS_FOR_CLASSES, MIN_WORDS, MIN_WORDS_FOR_COMMON, WORD_REFERENCES
+from helixmill.llm.suffix_dedup import PASSAGE, WIDTH
 from helixmill.llm.url_filter import BASE_RULES, LOWER, PATTERN_RULES, UPPER
 
 quoted = lambda x: "'" + x.replace("'", "''") + "'"
 low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
 
+PLAIN_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(low("coalesce(text, '')"))
 OP1 = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 p AS (SELECT doc_id, unnest(range(0, n - {WIDTH} + 1)) AS p, h FROM d WHERE n >= {WIDTH}),
 w AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), {2 * WIDTH})) AS w FROM p),
@@ -19,11 +21,15 @@ island AS (SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > {WIDTH} THEN 1 E
 run AS (SELECT doc_id, k, min(p) AS a, max(p) + {WIDTH} AS b FROM island GROUP BY doc_id, k),
 gone AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM run GROUP BY doc_id),
 cut AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM run UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN run ON run.doc_id = d.doc_id GROUP BY d.doc_id),
-kept AS (SELECT cut.doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a, b) AS h FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY cut.doc_id)
-SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
-FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+kept AS (SELECT cut.doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a, b) AS h FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY cut.doc_id),
+sw AS (SELECT doc_id, {PLAIN_WORDS} AS words FROM documents),
+sp AS (SELECT doc_id, words, unnest(range(1, len(words) - {PASSAGE} + 2)) AS p FROM sw WHERE len(words) >= {PASSAGE}),
+ss AS (SELECT doc_id, p, md5(array_to_string(list_slice(words, p, p + {PASSAGE} - 1), ' ')) AS w FROM sp),
+common AS (SELECT w FROM ss GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+sn AS (SELECT doc_id, count(DISTINCT x) AS n_shared_words FROM (SELECT doc_id, unnest(range(p, p + {PASSAGE})) AS x FROM ss SEMI JOIN common USING (w)) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, coalesce(n_shared_words, 0) AS n_shared_words
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN sn ON sn.doc_id = d.doc_id"""
 
-PLAIN_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(low("coalesce(text, '')"))
 OP8 = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {PLAIN_WORDS} AS words FROM benchmark),
 iw AS (SELECT item, least(len(words), 10) AS l, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS q FROM i WHERE len(words) > 0),
 windows AS (SELECT item, l, q, array_to_string(list_slice(words, q, q + l - 1), ' ') AS w FROM iw),
@@ -45,9 +51,45 @@ fit AS (SELECT page_id, rule, action FROM u JOIN rules ON (host = rule_host OR e
 SELECT u.page_id, host, path, rule, coalesce(action, CASE WHEN {' OR '.join(f'regexp_matches(host || path, {quoted(r.pattern)})' for r in PATTERN_RULES)} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN fit ON fit.page_id = u.page_id"""
 
 
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(length({DIGITS})), lambda i: (CAST(substr(reverse({DIGITS}), i + 1, 1) AS INTEGER) * (1 + i % 2)) // 10 + (CAST(substr(reverse({DIGITS}), i + 1, 1) AS INTEGER) * (1 + i % 2)) % 10)) % 10 = 0"
+TURNED = "substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4)"
+MOD97 = f"list_reduce(list_transform(string_split({TURNED}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97, 0) = 1"
+#: A kind's leftmost matches (runs of a class are whole, so they need no look around), and what confirms one, x.
+PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 9 AND 15"),
+    "iban": (rf"\b{IBAN}\b", MOD97),
+    "secret": (r"[A-Za-z0-9_/+=-]{20,}", "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')"),
+    "ssn": (r"[0-9-]+", "regexp_full_match(x, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
+}
+
+
+def spans_sql(number: int, kind: str) -> str:
+    pattern, confirmed = PII[kind]
+    near = f"substr(t, greatest(a - {CONTEXT_CHARS}, 0) + 1, least(a, {CONTEXT_CHARS})) || ' ' || substr(t, a + length(x) + 1, {CONTEXT_CHARS})"
+    needs = f" AND regexp_matches({near}, {quoted(CONTEXT[kind])})" if kind in ("secret", "ssn") else ""
+    return f"""m{number} AS (SELECT doc_id, t, regexp_extract_all(t, {quoted(pattern)}) AS f, string_split_regex(t, {quoted(pattern)}) AS s FROM d WHERE regexp_matches(t, {quoted(pattern)})),
+p{number} AS (SELECT doc_id, t, f[k] AS x, CAST(list_sum(list_transform(s[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM m{number})),
+k{number} AS (SELECT doc_id, {number} AS n, '{kind}' AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS b FROM p{number} WHERE {confirmed}{needs})"""
+
+
+KINDS = BASE_KINDS + EXTRA_KINDS
+KIND_STEPS = ",\n".join(spans_sql(i, k) for i, k in enumerate(KINDS))
+OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{KIND_STEPS},
+spans AS ({' UNION ALL '.join(f'SELECT * FROM k{i}' for i in range(len(KINDS)))}),
+own AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)}, count(*) AS n_spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) FILTER (n < {len(BASE_KINDS)}) AS base FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN own ON own.doc_id = d.doc_id"""
+
+
 def canonical_sql(text: str) -> str:
     bare = f"regexp_replace({text}, {quoted(COPYRIGHT_LINE)}, ' ', 'g')"
     out = f"trim(regexp_replace(lower({bare}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for other, kept in STEMS:
+        out = f"replace({out}, '{other}', '{kept}')"
     for other, kept in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{other}\\b', '{kept}', 'g')"
     return out
@@ -57,7 +99,7 @@ def digest_sql(text: str) -> str:
     return f"(SELECT CASE WHEN c <> '' THEN sha256(c) END FROM (SELECT {canonical_sql(text)} AS c))"
 
 
-KNOWN_ROWS = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in KNOWN.items() for text in texts)
+KNOWN_ROWS = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known_texts())
 OP9 = f"""WITH known AS (SELECT sha256(c) AS digest, min(name) AS license FROM (SELECT name, {canonical_sql('text')} AS c FROM (VALUES {KNOWN_ROWS}) v(name, text)) GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS text, {canonical_sql("coalesce(text, '')")} AS c FROM documents),
 whole AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS license_digest FROM d),
@@ -89,7 +131,7 @@ rep AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(
 lw AS (SELECT doc_id, lower(rtrim(unnest(words), '.,;:!?')) AS x FROM w),
 tally AS (SELECT doc_id, {', '.join(f"count(*) FILTER (x = '{c}') AS k_{i}" for i, c in enumerate(COMMON))} FROM lw GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(words) AS n, length(t) AS n_chars, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
-length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup, coalesce(rep.n, 0) AS n_rep,
+length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '[\\p{{Lo}}\\p{{M}}]+', '', 'g')) AS n_uncased, len(lines) - len(list_distinct(lines)) AS n_dup, coalesce(rep.n, 0) AS n_rep,
 (length(t) - length(regexp_replace(t, '\\p{{Ll}}+', '', 'g'))) / greatest(length(t), 1) AS c_a, (length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g'))) / greatest(length(t), 1) AS c_u,
 (length(t) - length(regexp_replace(t, '[0-9]+', '', 'g'))) / greatest(length(t), 1) AS c_g, (length(t) - length(regexp_replace(t, '{SPACE}', '', 'g'))) / greatest(length(t), 1) AS c_s,
 (length(t) - length(regexp_replace(t, '[.,;:!?''"()-]+', '', 'g'))) / greatest(length(t), 1) AS c_m,
@@ -98,6 +140,6 @@ FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN tally ON tally.doc_id =
 q AS (SELECT *, greatest(1 - ({' + '.join(shares)}), 0.0) AS c_r FROM m),
 j AS (SELECT *, least({', '.join(divergence_sql([*shares, 'c_r'], list(ref)) for ref in CLASS_REFERENCES.values())}) AS cd, least({', '.join(divergence_sql(p, q) for p, q in word_refs)}) AS wd, n < {MIN_WORDS} OR 100 * n_rep > {MAX_REPEAT_PERCENT} * n AS failed FROM q)
 SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup AS n_dup_lines, n_rep AS n_repeat_words, failed AS base_failed,
-NOT failed AND NOT (n_chars >= {MIN_CHARS_FOR_CLASSES} AND cd > {MAX_CLASS_DISTANCE}) AND NOT (n >= {MIN_WORDS_FOR_COMMON} AND wd > {MAX_COMMON_DISTANCE}) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j"""
+NOT failed AND (100 * n_uncased > {MAX_UNCASED_PERCENT} * n_chars OR NOT (n_chars >= {MIN_CHARS_FOR_CLASSES} AND cd > {MAX_CLASS_DISTANCE}) AND NOT (n >= {MIN_WORDS_FOR_COMMON} AND wd > {MAX_COMMON_DISTANCE})) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j"""
 
-ORACLES = {"op1_suffix_dedup": OP1, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}
+ORACLES = {"op1_suffix_dedup": OP1, "op6_pii": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}

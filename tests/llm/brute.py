@@ -82,6 +82,16 @@ def plain_words(text):
     return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def shared_words(texts, width):
+    """Of each text, the words in windows that another text has too."""
+    rows = [plain_words(t) for t in texts]
+    held = {}
+    for i, words in enumerate(rows):
+        for j in range(len(words) - width + 1):
+            held.setdefault(tuple(words[j : j + width]), set()).add(i)
+    return [len({x for j in range(len(words) - width + 1) if len(held[tuple(words[j : j + width])]) > 1 for x in range(j, j + width)}) for words in rows]
+
+
 def contamination(texts, items, width=10):
     """items: (id, text) pairs."""
     windows = {}
