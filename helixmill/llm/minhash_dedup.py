@@ -2,15 +2,16 @@
 
 A document is a weighted set of its five-word shingles (a shorter one is one shingle of all its words): a shingle
 weighs its count times the mean inverse document frequency of its words, counted over all documents in a table of
-fixed size. BANDS x ROWS consistent weighted samples are banded; documents that share a band are candidates, and
+fixed size (frequencies of the shingles themselves would tell the copies of a large group from each other by the little
+that one of them has alone, and need a table that grows with the input). BANDS x ROWS consistent weighted samples are banded; documents that share a band are candidates, and
 weighted Jaccard similarity on whole texts decides (SIMILARITY or more). Linked documents form a class.
 
 Texts are the nodes, so exact copies are one node. In each bucket the member with the most bucket mates is the centre,
 and members are verified against it; then classes are taken. Members outside their centre's class go on against all
 members of other classes, after two tests within the join: what a text has in common with any other text in question,
 part by part of the hash, bounds its similarity from above (near copies that each have edits of their own aren't near
-each other), and samples that agree in fewer than MIN_AGREE places aren't worth a comparison (at similarity 0.8 that
-has a chance of two in a million). So a group of near copies costs about one comparison each, no bucket is capped, and no group
+each other), and samples that agree in fewer than MIN_AGREE of 56 places aren't worth a comparison (at similarity 0.8
+that has a chance of one in a hundred million, far below that of sharing no band). So a group of near copies costs about one comparison each, no bucket is capped, and no group
 meets in one task: joins are on texts and buckets and split by the skew-join rules. With SIMILARITY 0.8 a pair shares
 a band with a probability of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, and more above.
 
@@ -27,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from helixmill.llm.common import chunks, keep, mix, text_bytes
+from helixmill.llm.common import chunks, fresh, keep, mix, text_bytes, text_number
 from helixmill.llm.decontaminate import words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
-MIN_AGREE = 30
+MIN_AGREE = 26
 #: Hashed slots of the document-frequency table: its size is fixed, so it can be broadcast.
-SLOTS = 1 << 16
+SLOTS = 1 << 18
+SLOT_SHIFT = np.uint64(64 - 18)
 #: Parts of the hash by which shareable weights are bounded; a power of two.
 PARTS = 64
 BLOCK = 1 << 12
@@ -55,7 +57,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for a, b in chunks(offsets, PASS_BYTES):
                 hashes, first = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), np.diff(first))
-                seen = np.unique(row * SLOTS + (hashes >> np.uint64(48)).astype(np.int64))
+                seen = np.unique(row * SLOTS + (hashes >> SLOT_SHIFT).astype(np.int64))
                 held += np.bincount(seen % SLOTS, minlength=SLOTS)
                 n += int((np.diff(first) > 0).sum())
         if n:
@@ -94,7 +96,7 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) ->
     """Distinct shingles of each row: row, hash, weight; by row, then by hash."""
     hashes, first = words_of(data, offsets)
     per = np.diff(first)
-    of_word = idf[(hashes >> np.uint64(48)).astype(np.int64)] if len(hashes) else np.zeros(0, np.float32)
+    of_word = idf[(hashes >> SLOT_SHIFT).astype(np.int64)] if len(hashes) else np.zeros(0, np.float32)
     n = len(hashes)
     row = np.repeat(np.arange(len(per)), per)
     left = first[1:][row] - np.arange(n)  # words from here to the row's end
@@ -161,7 +163,9 @@ def samples(row: np.ndarray, code: np.ndarray, weight: np.ndarray, n_rows: int)
     return out
 
 
-SIGNATURES = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", T.StringType()), T.StructField("agree", T.ArrayType(T.ByteType())), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+#: A text's number: 120 bits of its digest, so that no two texts of any corpus are taken for one.
+NODE = T.DecimalType(38, 0)
+SIGNATURES = T.StructType([T.StructField("node", NODE), T.StructField("id", T.StringType()), T.StructField("agree", T.ArrayType(T.ByteType())), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -222,7 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
     one = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     other = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
     # the text of y comes last, so that equal centres stand together
-    return pairs.join(one, "x").join(other, "y").select("x", "y", "tx", "ty").mapInArrow(work, "x long, y long")
+    return pairs.join(one, "x").join(other, "y").select("x", "y", "tx", "ty").mapInArrow(work, "x decimal(38,0), y decimal(38,0)")
 
 
 # ---- classes ----
@@ -260,9 +264,8 @@ def shareable_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def spread(batches):
         for batch in batches:
-            node = batch.column("node").to_numpy()
             for a, b, (row, code, weight) in sets(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][row]), pa.array(code.view(np.int64)), pa.array(weight)], names=["node", "shingle", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row + a)), pa.array(code.view(np.int64)), pa.array(weight)], names=["node", "shingle", "weight"])
 
     def gather(batches):
         for batch in batches:
@@ -275,11 +278,11 @@ def shareable_weights(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 free = pa.FixedSizeListArray.from_arrays(pa.array(np.maximum(whole, 0).astype(np.float32).ravel()), PARTS).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), free], names=["node", "free"])
 
-    shingles = texts.select("node", "text").mapInArrow(spread, "node long, shingle long, weight float")
+    shingles = texts.select("node", "text").mapInArrow(spread, "node decimal(38,0), shingle long, weight float")
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.max("weight").alias("weight")).where("n = 1")
     own = alone.groupBy("node", F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     own = own.groupBy("node").agg(F.collect_list(F.struct("part", "weight")).alias("own"))
-    return texts.select("node", "text").join(own.hint("shuffle_hash"), "node", "left").mapInArrow(gather, "node long, free array<float>")
+    return texts.select("node", "text").join(own.hint("shuffle_hash"), "node", "left").mapInArrow(gather, "node decimal(38,0), free array<float>")
 
 
 def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFrame, DataFrame]:
@@ -331,17 +334,18 @@ def near_labels(docs: DataFrame, idf: np.ndarray, least: float) -> tuple[DataFra
 
 def prepared(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id_column).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("node"))
+    return docs.select(F.col(id_column).alias("id"), whole.alias("text"), text_number(whole).alias("node"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """node (xxhash64 of the text), id, class_id (the smallest id of the class), class_size, is_first; a row for each document."""
+    """node (the text's number), id, class_id (the smallest id of the class), class_size, is_first; a row for each document."""
     own = prepared(docs, text, id_column)
     idf = inverse_frequencies(*document_frequencies(own))
     signed, labels = near_labels(own, idf, least)
     rows = signed.select("node", "id", F.col("bands").isNull().alias("alone")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")).alias("first")
-    classes = rows.where("not alone").groupBy("label").agg(first, F.count("*").alias("size"))
+    # kept, so that the join below has an exchange on either side, whose hot classes it can split
+    classes = keep(rows.where("not alone").groupBy("label").agg(first, F.count("*").alias("size")), "class_sizes")
     joined = rows.join(classes, "label", "left")
     return joined.select(
         "node",
@@ -354,10 +358,11 @@ def near_classes(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """One row of docs for each class, that with the smallest id; texts without words stay. Of rows with one id and text one is left."""
-    named = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    chosen = near_classes(docs, text, id_column, least).where("is_first").select(F.col("node").alias("__node"), named.alias("__name")).distinct()
-    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__name", F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    return keyed.join(chosen.hint("shuffle_hash"), ["__node", "__name"]).dropDuplicates(["__node", "__name"]).select(*docs.columns)
+    node, name = fresh(docs.columns, "__node", "__name")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    chosen = near_classes(docs, text, id_column, least).where("is_first").select(F.col("node").alias(node), named("id").alias(name)).distinct()
+    keyed = docs.withColumns({node: text_number(F.coalesce(F.col(text), F.lit(""))), name: named(id_column)})
+    return keyed.join(chosen.hint("shuffle_hash"), [node, name]).dropDuplicates([node, name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_report(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_classes(spark):
     hashes, first = words_of(data, offsets)
     want = np.zeros(near.SLOTS, np.int64)
     for i in range(len(texts)):
-        want[np.unique((hashes[first[i] : first[i + 1]] >> np.uint64(48)).astype(np.int64))] += 1
+        want[np.unique((hashes[first[i] : first[i + 1]] >> near.SLOT_SHIFT).astype(np.int64))] += 1
     assert n == (np.diff(first) > 0).sum() and (counts == want).all()
     force = classes_by_force(texts, near.inverse_frequencies(counts, n))
     got = {r.doc_id: r.class_id for r in near.near_report(df).collect()}
@@ -86,18 +86,46 @@ def test_ids_and_empty(spark):
 
 
 def test_samples_estimate_similarity():
-    random.seed(1)
+    """Over many pairs the share of agreeing samples is the weighted similarity, and what is drawn is drawn by its weight."""
+    rng = random.Random(1)
     idf = np.ones(near.SLOTS, np.float32)
-    words = [f"w{i}" for i in range(1200)]
-    a, b = " ".join(words[:1000]), " ".join(words[200:])
-    data, offsets = text_bytes(pa.array([a, b]))
-    got = near.samples(*near.weighted_shingles(data, offsets, idf), 2)
-    x, y = sets_of([a, b], idf)
-    assert abs((got[0] == got[1]).mean() - near.similarity(x, y)) < 0.2
-    weighted = np.array([1.0, 2.0, 3.0], np.float32)
-    row, code = np.repeat(np.arange(4000), 3), near.mix(np.arange(12000, dtype=np.uint64))
-    hits = near.samples(row, code, np.tile(weighted, 4000), 4000)[:, 0]
-    assert len(np.unique(hits)) > 3900
+    errors = []
+    for i in range(60):
+        words = [f"w{i}x{j}" for j in range(300)]
+        cut = rng.randint(10, 150)
+        a, b = " ".join(words[: 300 - cut]), " ".join(words[cut:])
+        got = near.samples(*near.weighted_shingles(*text_bytes(pa.array([a, b])), idf), 2)
+        x, y = sets_of([a, b], idf)
+        errors.append((got[0] == got[1]).mean() - near.similarity(x, y))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08  # 56 samples have a deviation of 0.067 at most
+    n, weighted = 20_000, np.array([1.0, 2.0, 5.0], np.float32)
+    row, code = np.repeat(np.arange(n), 3), near.mix(np.arange(3 * n, dtype=np.uint64))
+    heavier = np.tile(weighted, n)
+    with_all = near.samples(row, code, heavier, n)[:, 0]
+    for k, share in enumerate(weighted / weighted.sum()):
+        less = np.delete(np.arange(3 * n), np.arange(k, 3 * n, 3))  # the sample changes exactly where the missing one was drawn
+        without = near.samples(row[less], code[less], heavier[less], n)[:, 0]
+        assert abs((with_all != without).mean() - share) < 0.015
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of the table at the threshold and above are found, whatever their similarity."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    idf = near.inverse_frequencies(*near.document_frequencies(near.prepared(df, "text", "doc_id")))
+    sets = sets_of([r.text for r in rows], idf)
+    held = defaultdict(list)
+    for i, (codes, _) in enumerate(sets):
+        for c in codes.tolist():
+            held[c].append(i)
+    pairs = {(a, b) for v in held.values() if len(v) < 60 for a in v for b in v if a < b}
+    label = {r.doc_id: r.class_id for r in near.near_report(df).collect()}
+    bands = defaultdict(list)
+    for a, b in pairs:
+        if (s := near.similarity(sets[a], sets[b])) >= near.SIMILARITY:
+            bands[min(int(s * 20), 19)].append(label[rows[a].doc_id] == label[rows[b].doc_id])
+    print({k / 20: (len(v), sum(v)) for k, v in sorted(bands.items())})
+    assert sum(map(len, bands.values())) > 50 and all(map(all, bands.values()))
 
 
 def test_same_table_twice(spark):
