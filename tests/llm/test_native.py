@@ -47,6 +47,13 @@ def test_pii(docs):
     assert "[EMAIL]" in out.text and "[IP]" in out.text and "[PHONE]" in out.text and "[SECRET]" in out.text and "b907ff" not in out.text and out.text.startswith("é😀 [EMAIL] 😀 [IP] ü ")
 
 
+def test_accounts_before_other_words(spark):
+    numbers = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR1420041010050500013M02606"]
+    rows = [(i, f"IBAN {n} BIC COBADEFF") for i, n in enumerate(numbers)] + [(9, "IBAN DE88 3704 0044 0532 0130 00 BIC X, XDE89370400440532013000, DE89370400440532013000X, ZZ893704004405320130")]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"iban:5:{5 + len(n)}" for i, n in enumerate(numbers)} | {9: ""}
+
+
 def test_secrets_with_punctuation(spark):
     secrets = ["123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "abc+def/ghi=jkl-mno+1", "ab_cd-ef_gh-ij_kl-mn_1"]
     df = spark.createDataFrame([(i, f"api key {s} x") for i, s in enumerate(secrets)], "doc_id long, text string")
@@ -111,3 +118,82 @@ def test_licenses(spark):
     assert [got[i].license for i in range(7)] == [None, None, "MIT", "MIT", None, None, None]
     assert got[5].notice_licenses == "CC-BY-NC-4.0,MIT" and got[5].n_notices == 2 and got[0].n_notices == 0
     assert license_scan.license_report(df.limit(0)).count() == 0
+
+
+def test_full_licence_texts(spark):
+    files = sorted(license_scan.TEXTS.glob("*.txt"))
+    texts = [(f.stem, f.read_text()) for f in files]
+    changed = [(name, "  Copyright 1999 Some One\n" + t.replace("\n", " \n  ").replace("license", "Licence").replace("\"", "'")) for name, t in texts]
+    df = spark.createDataFrame([(n, t) for n, t in texts + changed] + [("none", texts[0][1] + " and more")], "doc_id string, text string")
+    got = license_scan.license_report(df).collect()
+    assert len(files) >= 14 and all(r.license == (None if r.doc_id == "none" else r.doc_id) for r in got)
+
+
+def test_license_list_size_changes_nothing(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    small = sorted(map(tuple, license_scan.license_report(df).collect()))
+    monkeypatch.setattr(license_scan, "BROADCAST_DIGESTS", 0)
+    large = sorted(map(tuple, license_scan.license_report(df).collect()))
+    assert small == large and sum(r[3] for r in small) > 0
+
+
+def test_own_license_list(spark):
+    known = license_scan.known_digests(spark, {"Own": ["Dual MIT/GPL.", "a whole text"], "Also": ["dual mit gpl"]})
+    df = spark.createDataFrame([(1, "x\nDual MIT / GPL\nDual MIT/GPL.\ny"), (2, "A whole text!"), (2, "A whole text!"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.license, [tuple(n) for n in r.notices]) for r in license_scan.scan_licenses(df, known).collect()}
+    assert got == {1: (None, [(1, "Also"), (2, "Also")]), 2: ("Own", [(0, "Own")]), 3: (None, [])}
+
+
+def names_in(module):
+    """Every name that a module's code gives to a column, as far as its strings show."""
+    import inspect
+    import re
+
+    found = set(re.findall(r"[\"'(, ](_{0,2}[a-z][a-z0-9_]*)\"", inspect.getsource(module))) | set(re.findall(r"[(, ](__[a-z0-9_]+)=", inspect.getsource(module)))
+    return sorted({n for n in found if n not in ("doc_id", "text", "page_id", "url", "item_id")})
+
+
+def test_names_of_columns(spark):
+    """Columns under any name that an operator uses change nothing, and are kept where the operator says so."""
+    import corpus_pipeline
+    from helixmill.llm import common, decontaminate, minhash_dedup, packing, quality_classifier, suffix_dedup, token_counts
+
+    rows = [(i, t) for i, t in enumerate(["a b@c.de text of some words " * 3, None, "MIT\nReleased under the MIT License.", "the and of to in is " * 30, "the and of to in is " * 30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None), (3, "http://x.example.com/casino-bonus/1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "text of some words")], "item_id long, text string")
+    calls = {
+        pii: (docs, pii.find_pii, {"pii"}),
+        quality_rules: (docs, quality_rules.apply_rules, {"quality", "base_failed", "kept"}),
+        license_scan: (docs, license_scan.scan_licenses, {"license_digest", "license", "notices"}),
+        url_filter: (pages, lambda d: url_filter.judge_urls(d, url_filter.BASE_RULES + url_filter.PATTERN_RULES), {"judged"}),
+        quality_classifier: (docs, lambda d: quality_classifier.classify(d, labels), {"score", "predicted"}),
+        token_counts: (docs, token_counts.count_tokens, {f.name for f in token_counts.FIELDS}),
+        decontaminate: (docs, lambda d: decontaminate.find_contamination(d, bench), {f.name for f in decontaminate.FIELDS}),
+        packing: (docs, packing.pack_documents, {"piece", "start", "length", "ids_crc32", "sequence_id", "offset"}),
+        minhash_dedup: (docs, minhash_dedup.drop_near_duplicates, set()),
+        suffix_dedup: (docs, suffix_dedup.remove_repeats, None),
+    }
+    for module, (df, operator, replaced) in calls.items():
+        names = sorted({*names_in(module), *names_in(common), *(replaced or ())})
+        more = df.withColumns({n: F.lit(f"mine {n}") for n in names})
+        want, got = operator(df), operator(more)
+        plain = [c for c in want.columns if c not in df.columns and c not in ("sequence_id", "offset")]
+        key = df.columns[0]
+        assert sorted(map(str, want.select(key, *plain).collect())) == sorted(map(str, got.select(key, *plain).collect())), module
+        if replaced is not None:
+            kept = [n for n in names if n not in replaced and n != "text"]
+            assert set(kept) <= set(got.columns) and all(r[n] == f"mine {n}" for r in got.select(*kept).collect() for n in kept), module
+        for name, stage in corpus_pipeline.STAGES[:-1] if df is docs else ():
+            if name.split("_")[0] in module.__name__ or module is pii and name == "pii":
+                assert stage(spark, more, "/root/testdata/sf0.001").columns == more.columns, name
+
+
+def test_texts_without_case(spark):
+    """Scripts that no reference covers are judged by the plain counts."""
+    arabic = " ".join("كتاب مدرسة بيت شمس قمر نهر جبل بحر سماء ارض"[i % 30 :][:9].strip() + "اب"[i % 2] * (i % 7) for i in range(80))
+    chinese = " ".join(chr(0x4E00 + 37 * i % 2000) * 3 for i in range(90))
+    junk = " ".join(f"{i}#{i * 7}$%" for i in range(90))
+    df = spark.createDataFrame([(1, arabic), (2, chinese), (3, junk)], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality_rules.quality_report(df).collect()} == {1: True, 2: True, 3: False}

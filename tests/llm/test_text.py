@@ -72,3 +72,97 @@ def test_classifier_edges(spark):
     assert {r.score for r in quality_classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.classifier_report(docs.limit(0), labels).count() == 0
     assert quality_classifier.classify(docs, labels).where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_training_is_bounded(spark):
+    """Repeated ids don't lift the bounds, equal rows count once, and the bytes of the rows are bounded too."""
+    rows = [(i % 7, f"text {i % 50} of some words") for i in range(2000)] + [(3, "long " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)] * 3 + [(4, 1, 0)], "doc_id long, quality int, toxic int")
+    every = quality_classifier.chosen_rows(docs, labels, "text", "quality", 6000, 1 << 30)
+    usable = [i for i in range(7) if zlib.crc32(str(i).encode()) % 5]
+    want = {(i, t, q) for i, t in rows if i in usable for q in ({i % 2, 1} if i == 4 else {i % 2})}
+    assert len(every) == len(want) == len(set(every))
+    assert quality_classifier.chosen_rows(docs, labels, "text", "quality", 11, 1 << 30) == every[:11]
+    assert len(quality_classifier.chosen_rows(docs, labels, "text", "quality", 6000, 300)) < 20
+    seen = []
+    quality_classifier_ftrl, quality_classifier.ftrl = quality_classifier.ftrl, lambda x: seen.append(x) or np.zeros(quality_classifier.SLOTS + 1, np.float32)
+    try:
+        quality_classifier.train(docs, labels)
+    finally:
+        quality_classifier.ftrl = quality_classifier_ftrl
+    assert [r[2] for r in seen[0]] == [r[2] for r in every]
+
+
+def plain_features(text):
+    """Slots and their counts, token by token."""
+    import re
+    from collections import Counter
+
+    from helixmill.llm.common import BYTE_CODES
+
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    def hashed(token):
+        return mix((sum(int(BYTE_CODES[b]) * pow(base, i, 1 << 64) for i, b in enumerate(token)) + len(token)) & mask)
+
+    data = (text or "").encode()
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", data)
+    hashes, shapes = [], []
+    for token in tokens:
+        h = hashed(token.lower())
+        if re.match(rb"[0-9A-Za-z\x80-\xff]", token):
+            upper, digits = len(re.findall(rb"[A-Z]", token)), len(re.findall(rb"[0-9]", token))
+            kind = 1 if digits == len(token) else 2 if digits else 3 if not upper else 4 if upper == 1 and token[:1].isupper() else 5 if 2 * upper >= len(token) else 6
+            shapes.append(mix(kind * 2 + (bool(hashes) and hashes[-1] == h) + 1))
+        else:
+            shapes.append(h)
+        hashes.append(h)
+    a, b, c, d = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8, 0x629A292A367CD507
+    grams = [h * a & mask | 1 for h in hashes] + [mix((x * b + y) & mask) for x, y in zip(hashes, hashes[1:])]
+    grams += [mix(s ^ c) for s in shapes] + [mix((x * d + y) & mask) for x, y in zip(shapes, shapes[1:])]
+    return Counter(mix(g) >> 46 for g in grams)
+
+
+def test_features_by_force():
+    import pyarrow as pa
+
+    from helixmill.llm.common import text_bytes
+
+    texts = [None, "", " \n", "One two TWO two, two 22 a1 mcD McD ...!", "é Über straße 99% of <b>x</b>", "a" * 300, "x y " * 50, "again again\tagain"]
+    slots, rows = quality_classifier.features_of(*text_bytes(pa.array(texts)))
+    from collections import Counter
+
+    assert [Counter(slots[rows == i].tolist()) for i in range(len(texts))] == [plain_features(t) for t in texts]
+
+
+def test_ftrl_by_force():
+    """The same updates, a weight at a time."""
+    import math
+    import random
+
+    q, rng = quality_classifier, random.Random(4)
+    rows = [(np.array(rng.sample(range(40), 6)), np.array([rng.randint(1, 3) for _ in range(6)]), rng.randint(0, 1)) for _ in range(80)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.EPOCHS):
+        for slots, counts, label in rows:
+            x = {int(s): q.SCALE * int(c) / int(counts.sum()) for s, c in zip(slots, counts)} | {q.SLOTS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, before = (p - label) * v, n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / q.ALPHA * w[i]
+    got = q.ftrl(rows)
+    assert all(math.isclose(got[i], weight(i), rel_tol=1e-4, abs_tol=1e-6) for i in [*range(40), q.SLOTS]) and not got[41:q.SLOTS].any()
