@@ -132,6 +132,10 @@ SUMMARY = f"""{LEVEL2},
 own AS (SELECT hit2.genome_id, hit2.mz FROM hit2 JOIN ok ON ok.read_id = hit2.read_id AND ok.genome_id = hit2.genome_id WHERE accepted),
 su AS (SELECT genome_id, count(DISTINCT mz) AS n_distinct, count(*) AS n_hits FROM own GROUP BY genome_id)"""
 STAGED = 5
+#: Reads as numbers: the genome's, then the place of the cut.
+READ_PLACES = 1 << 24
+NUMBERED_READS = f"""r0 AS (SELECT genome_id, seq, unnest(range(0, length(seq) - {K} + 1, {READ_BASES})) AS p0 FROM g WHERE length(seq) >= {K}),
+r AS (SELECT genome_id * {READ_PLACES} + p0 AS rk, substr(seq, CAST(p0 + 1 AS BIGINT), {READ_BASES}) AS seq FROM r0)"""
 
 
 def held_by_filters(pairs: str, out: str) -> str:
@@ -140,8 +144,9 @@ def held_by_filters(pairs: str, out: str) -> str:
     steps.append(f"{out}_0 AS (SELECT mz, filter_id, h0 % bits AS p, greatest(h1 % bits, 1) AS st, bits, hashes FROM {pairs} JOIN {out}_h USING (mz) JOIN filters USING (filter_id))")
     for i in range(STAGED):
         steps.append(f"{out}_{i + 1} AS (SELECT x.* FROM {out}_{i} x SEMI JOIN db ON db.filter_id = x.filter_id AND db.bit = (x.p + {i} * x.st) % x.bits)")
-    steps.append(f"{out}_r AS (SELECT mz, filter_id, hashes, (p + unnest(range({STAGED}, hashes)) * st) % bits AS bit FROM {out}_{STAGED})")
-    steps.append(f"{out} AS (SELECT mz, filter_id FROM {out}_r SEMI JOIN db USING (filter_id, bit) GROUP BY mz, filter_id, hashes HAVING count(*) = hashes - {STAGED})")
+    steps.append(f"{out}_r AS (SELECT mz, filter_id, (p + unnest(range({STAGED}, hashes)) * st) % bits AS bit FROM {out}_{STAGED})")
+    steps.append(f"{out}_m AS (SELECT DISTINCT mz, filter_id FROM {out}_r ANTI JOIN db USING (filter_id, bit))")
+    steps.append(f"{out} AS (SELECT mz, filter_id FROM {out}_{STAGED} ANTI JOIN {out}_m USING (mz, filter_id))")
     return ",\n".join(steps)
 
 
@@ -158,23 +163,23 @@ caps AS (SELECT filter_id, count(*) AS capacity FROM el GROUP BY filter_id),
 db AS (SELECT DISTINCT filter_id, bit FROM bit),
 mem AS (SELECT src AS filter_id, count(*) AS n_members FROM gg GROUP BY src),
 sz AS (SELECT filter_id, CASE WHEN coalesce(n_members, 1) = 1 THEN capacity ELSE CAST(floor(CAST((CAST(capacity AS REAL) + CAST(estimate AS REAL)) / CAST(2 AS REAL) AS DOUBLE) + 0.5) AS BIGINT) END AS n_elements FROM est LEFT JOIN mem USING (filter_id)),
-{READS},
-{minimizers('r', 'read_id', 'rm')},
-rn AS (SELECT read_id, count(*) AS n_minimizers FROM rm GROUP BY read_id),
+{NUMBERED_READS},
+{minimizers('r', 'rk', 'rm')},
+rn AS (SELECT rk, count(*) AS n_minimizers FROM rm GROUP BY rk),
 pairs1 AS (SELECT mz, filter_id FROM (SELECT DISTINCT mz FROM rm) CROSS JOIN mem),
 {held_by_filters("pairs1", "in1")},
-hits1 AS (SELECT read_id, filter_id, count(*) AS hits FROM rm JOIN in1 USING (mz) GROUP BY 1, 2)"""
+hits1 AS (SELECT rk, filter_id, count(*) AS hits FROM rm JOIN in1 USING (mz) GROUP BY 1, 2)"""
 BY_FILTERS = f"""{INDEX},
 tot1 AS (SELECT sum(n_elements) AS total FROM sz JOIN mem USING (filter_id)),
-sc1 AS (SELECT read_id, filter_id, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / (SELECT total FROM tot1))) AS REAL) AS score FROM hits1 JOIN rn USING (read_id) JOIN sz USING (filter_id)),
-top1 AS (SELECT read_id, filter_id AS src FROM sc1 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, filter_id) = 1),
-own2 AS (SELECT read_id, src, mz FROM top1 JOIN rm USING (read_id)),
+sc1 AS (SELECT rk, filter_id, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / (SELECT total FROM tot1))) AS REAL) AS score FROM hits1 JOIN rn USING (rk) JOIN sz USING (filter_id)),
+top1 AS (SELECT rk, filter_id AS src FROM sc1 QUALIFY row_number() OVER (PARTITION BY rk ORDER BY score DESC, filter_id) = 1),
+own2 AS (SELECT rk, src, mz FROM top1 JOIN rm USING (rk)),
 pairs2 AS (SELECT mz, genome_id + {DOCUMENT_FILTERS} AS filter_id FROM (SELECT DISTINCT src, mz FROM own2) JOIN gg USING (src)),
 {held_by_filters("pairs2", "in2")},
-hits2 AS (SELECT read_id, src, genome_id, count(*) AS hits FROM own2 JOIN in2 USING (mz) JOIN gg USING (src) WHERE filter_id = genome_id + {DOCUMENT_FILTERS} GROUP BY ALL),
+hits2 AS (SELECT rk, src, genome_id, count(*) AS hits FROM own2 JOIN in2 USING (mz) JOIN gg USING (src) WHERE filter_id = genome_id + {DOCUMENT_FILTERS} GROUP BY ALL),
 tot2 AS (SELECT src, sum(n_elements) AS total FROM gg JOIN sz ON sz.filter_id = genome_id + {DOCUMENT_FILTERS} GROUP BY src),
-sc2 AS (SELECT read_id, genome_id, hits, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / total)) AS REAL) AS score FROM hits2 JOIN rn USING (read_id) JOIN sz ON sz.filter_id = genome_id + {DOCUMENT_FILTERS} JOIN tot2 USING (src)),
-top2 AS (SELECT *, CAST(CAST(score AS DOUBLE) / CAST(CAST(1 AS REAL) + score AS DOUBLE) AS REAL) AS conf FROM sc2 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, genome_id) = 1)"""
+sc2 AS (SELECT rk, genome_id, hits, CAST(sqrt(CAST(hits AS DOUBLE)) * (hits / (CAST(n_minimizers AS DOUBLE) * n_elements / total)) AS REAL) AS score FROM hits2 JOIN rn USING (rk) JOIN sz ON sz.filter_id = genome_id + {DOCUMENT_FILTERS} JOIN tot2 USING (src)),
+top2 AS (SELECT *, CAST(CAST(score AS DOUBLE) / CAST(CAST(1 AS REAL) + score AS DOUBLE) AS REAL) AS conf FROM sc2 QUALIFY row_number() OVER (PARTITION BY rk ORDER BY score DESC, genome_id) = 1)"""
 CLEAN = r"regexp_replace({}, '\s+', '', 'g')"
 RECORDS = f"""rec AS (SELECT source AS path, doc_id, {CLEAN.format("array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(x, '>')), '')")} AS seq FROM documents),
 num AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS record, doc_id, seq FROM rec)"""
@@ -237,8 +242,8 @@ WHERE short OR (stray AND NOT coalesce(after_short, false))""",
     "accept_reads": using(LEVEL2) + "SELECT read_id, accepted, round(CAST(conf AS DOUBLE), 5) AS confidence, round(CAST(match AS DOUBLE), 5) AS perc_match FROM ok",
     "class_reads": using(LEVEL2) + "SELECT read_id, CASE WHEN accepted THEN name ELSE '?' END AS geno_id, hits || '.0|' || n_minimizers AS matches FROM ok JOIN g USING (genome_id)",
     "class_genomes": using(SUMMARY) + "SELECT genome_id, name, round(least(100.0, 100.0 * n_distinct / CAST(n_minimizers AS DOUBLE)), 6) AS coverage, round(n_hits / CAST(n_distinct AS DOUBLE), 6) AS depth FROM su JOIN n USING (genome_id) JOIN g USING (genome_id)",
-    "index_hits": using(INDEX) + "SELECT read_id, filter_id, hits FROM hits1",
-    "index_classify": using(BY_FILTERS) + f"""SELECT regexp_extract(r.read_id, '^(@[0-9]+)_', 1) AS read_id, CASE WHEN conf >= CAST({THRESHOLD} AS REAL) THEN name ELSE '?' END AS geno_id, coalesce(hits, 0) || '.0|' || coalesce(n_minimizers, 0) AS matches, round(coalesce(CAST(conf AS DOUBLE), 0), 5) AS confidence
-FROM r LEFT JOIN rn USING (read_id) LEFT JOIN top2 USING (read_id) LEFT JOIN gg USING (genome_id)""",
+    "index_hits": using(INDEX) + f"SELECT '@' || (rk // {READ_PLACES}) || '_' || (rk % {READ_PLACES}) AS read_id, filter_id, hits FROM hits1",
+    "index_classify": using(BY_FILTERS) + f"""SELECT '@' || (r.rk // {READ_PLACES}) AS read_id, CASE WHEN conf >= CAST({THRESHOLD} AS REAL) THEN name ELSE '?' END AS geno_id, coalesce(hits, 0) || '.0|' || coalesce(n_minimizers, 0) AS matches, round(coalesce(CAST(conf AS DOUBLE), 0), 5) AS confidence
+FROM r LEFT JOIN rn USING (rk) LEFT JOIN top2 USING (rk) LEFT JOIN gg USING (genome_id)""",
     "genome_coverage": using(SUMMARY) + "SELECT genome_id, n_distinct, n_hits FROM su",
 }
