@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from helixmill.functions.lineage import cut
+from helixmill.functions.lineage import cut, stored
 from helixmill.functions.parameters import kmer_parameters
 from helixmill.functions.sequences import clean_sequence, genome_name
 
@@ -36,13 +36,24 @@ def _joined(parts: str, order: str, text: str) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda x: F.when(x[order].isNotNull(), x[text])), "")
 
 
-def records_of(lines: DataFrame) -> DataFrame:
-    """(path, record, header, seq) of a line table (path, line_no, line); text before a path's first header is skipped."""
-    by_path = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+def records_of(lines: DataFrame, ranged: bool = False) -> DataFrame:
+    """(path, record, header, seq) of a line table (path, line_no, line); text before a path's first header is skipped.
+
+    Headers are counted up within a path in one task, or, if ranged, within ranges of its lines, to which the counts of the
+    ranges before are added: so that a file of any size is many tasks' work, for a copy of the lines on disk.
+    """
     header = F.col("line").startswith(">")
-    numbered = lines.withColumn("record", F.sum(header.cast("long")).over(by_path)).where("record > 0")
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    if ranged:
+        placed = stored(lines.repartitionByRange("path", "line_no").withColumn("__part", F.spark_partition_id()))
+        counts = placed.groupBy("path", "__part").agg(F.count_if(header).alias("n"))
+        before = counts.select("path", "__part", (F.sum("n").over(Window.partitionBy("path").orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each path and range
+        inner = placed.withColumn("record", F.sum(header.cast("long")).over(upto("path", "__part")))
+        numbered = inner.join(before, ["path", "__part"]).withColumn("record", F.col("record") + F.col("__before"))
+    else:
+        numbered = lines.withColumn("record", F.sum(header.cast("long")).over(upto("path")))
     part = F.when(~header, F.struct("line_no", clean_sequence(F.col("line")).alias("line")))
-    grouped = numbered.groupBy("path", "record").agg(F.max(F.when(header, F.col("line"))).alias("header"), F.collect_list(part).alias("parts"))
+    grouped = numbered.where("record > 0").groupBy("path", "record").agg(F.max(F.when(header, F.col("line"))).alias("header"), F.collect_list(part).alias("parts"))
     return grouped.select("path", "record", "header", _joined("parts", "line_no", "line").alias("seq"))
 
 
@@ -127,12 +138,12 @@ def read_fasta(spark: SparkSession, path: str, mode: str = "record", limit: int
 
     Genomes without minimizers (too short, or of other letters) get no id.
     """
-    lines = read_lines(spark, path, whole_bytes)
+    lines, large = read_lines(spark, path, whole_bytes), by_size(spark, path, whole_bytes)[1]
     if mode == "file":
         lines = lines.where(is_genome_file(F.col("path")))
     elif mode != "record":
         raise ValueError(f"unknown mode {mode!r}")
-    records = records_of(lines)
+    records = records_of(lines, bool(large))
     genomes = joined_contigs(records).withColumn("record", F.lit(0)) if mode == "file" else records
     k, _, m = kmer_parameters(k)
     # minimizers need k letters, and m in a row that are bases
