@@ -17,19 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="helixmill-checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(found)  # for the next call
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and checkpointed: what comes after doesn't depend on what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df computed and kept there as Parquet, which takes a fraction of a checkpoint's space."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df computed and kept there as Parquet: what comes after doesn't depend on what came before, and a lost executor costs what it ran."""
+    path = f"{shared_dir(df.sparkSession)}/helixmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ import time
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from helixmill.functions.lineage import stored
+from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import DEFAULT_FPP, MAX_SHARDS, MIN_GENOMES, kmer_parameters, sample_size, shard_capacity
 from helixmill.operators import bloom
 from helixmill.operators.clustering import SEED, Similarities, build_tree, mean_std, tree_frame, union_cardinalities, within_capacity
@@ -38,7 +38,7 @@ class Sketches:
         # the JVM's hash chooses who is sent; genomes of up to `size` minimizers are sent whole
         share = F.least(F.lit(1.0), F.lit(float(size)) / F.col("n_minimizers"))
         small = (F.shiftrightunsigned(F.xxhash64("mz"), 1) / float(1 << 63)) < share
-        self.rows = stored(mz.join(sizes.select("genome_id", "n_minimizers"), "genome_id").where(small).groupBy("genome_id", "n_minimizers").agg(F.array_sort(F.collect_list("mz")).alias("mz")))
+        self.rows = cut(mz.join(sizes.select("genome_id", "n_minimizers"), "genome_id").where(small).groupBy("genome_id", "n_minimizers").agg(F.array_sort(F.collect_list("mz")).alias("mz")))
         t = self.rows.select("genome_id", "mz").toArrow()
         lists = t.column("mz").combine_chunks() if len(t) else None
         self.share = {g: min(1.0, size / n) for g, n in self.n.items()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from helixmill.functions.lineage import cut, stored
+from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import kmer_parameters
 from helixmill.functions.sequences import clean_sequence, genome_name
 
@@ -45,7 +45,7 @@ def records_of(lines: DataFrame, ranged: bool = False) -> DataFrame:
     header = F.col("line").startswith(">")
     upto = lambda *keys: Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     if ranged:
-        placed = stored(lines.repartitionByRange("path", "line_no").withColumn("__part", F.spark_partition_id()))
+        placed = cut(lines.repartitionByRange("path", "line_no").withColumn("__part", F.spark_partition_id()))
         counts = placed.groupBy("path", "__part").agg(F.count_if(header).alias("n"))
         before = counts.select("path", "__part", (F.sum("n").over(Window.partitionBy("path").orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each path and range
         inner = placed.withColumn("record", F.sum(header.cast("long")).over(upto("path", "__part")))
