@@ -153,6 +153,19 @@ def test_similarity(spark):
     assert (one.n, one["mean"], one["std"]) == (1, -1.0, -1.0)
 
 
+def test_pair_counts_by_frequency(spark, monkeypatch):
+    """Rare and frequent minimizers, counted by either road, give the pairs' shared numbers."""
+    rng = random.Random(2)
+    sets = {g: {rng.randrange(400) for _ in range(60)} | {1000, 1001} for g in range(20)}
+    mz = spark.createDataFrame([(g, v) for g, s in sets.items() for v in s], "genome_id long, mz long")
+    pairs = [(a, b) for a in range(22) for b in range(a + 1, 22) if (a + b) % 3]
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    for rare in (0, 3, 64):
+        monkeypatch.setattr(sim, "RARE", rare)
+        got = {(r.a, r.b): r.shared for r in sim.pair_counts(asked, mz).collect()}
+        assert got == {(a, b): len(sets.get(a, set()) & sets.get(b, set())) for a, b in pairs}
+
+
 @pytest.mark.parametrize(("n", "target"), [(30, 434), (30, 400), (300, 5000), (1000, 1)])
 def test_sample_is_whole(spark, n, target):
     first, i = {}, 0
