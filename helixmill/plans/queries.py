@@ -295,10 +295,11 @@ def bloom_bits(s, d):
 
 
 def bloom_contains(s, d):
+    """The items' minimizers asked of every filter: each distinct one once, whatever items hold it."""
     elements, known = bloom_parts(s, d)
-    asked = item_mz(s, d).crossJoin(F.broadcast(known.select("filter_id")))  # every item asks each of the few filters
-    found = bloom.contains(asked.select("item_id", "filter_id", "mz"), known, bloom.insert(elements, known))
-    return found.groupBy("item_id", "filter_id").agg(F.count("*").alias("hits"))
+    mz = cut(item_mz(s, d))
+    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), known.select(F.lit(0).alias("node_id"), "filter_id"), known, bloom.insert(elements, known))
+    return mz.join(found, "mz").groupBy("item_id", "filter_id").agg(F.count("*").alias("hits"))
 
 
 def _stats(s, d):
