@@ -104,9 +104,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "
     key, at = fresh([*docs.columns, "license_digest", "license", "notices"], "__text", "__key")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.withColumn("license_digest", digest(F.col(f"`{text}`")))
-    named = found.where("license_digest is not null").join(held.select(F.col("digest").alias("license_digest"), "license"), "license_digest", "left")
     columns = [*[F.col(f"`{c}`") for c in docs.columns], "license_digest", "license"]
-    found = named.select(*columns).unionByName(found.where("license_digest is null").withColumn("license", F.lit(None).cast("string")).select(*columns))
+    names = held.select(F.col("digest").alias("license_digest"), "license")
+    if small:
+        found = found.join(names, "license_digest", "left").select(*columns)
+    else:  # rows without a digest stay out of the shuffle
+        named = found.where("license_digest is not null").join(names, "license_digest", "left")
+        found = named.select(*columns).unionByName(found.where("license_digest is null").withColumn("license", F.lit(None).cast("string")).select(*columns))
     possible = whole.rlike(maybe) if maybe else whole != ""
     own = docs.where(possible).select(F.sha2(whole, 256).alias(key), whole.alias("text"))
     lines = own.dropDuplicates([key]).select(key, F.posexplode(F.split("text", "\n")).alias("line", "of_line"))

@@ -240,11 +240,14 @@ def contexts(texts: DataFrame, wanted: DataFrame, n: int, kind: Tokens, most: in
     bitmap = bitmap_of(wanted.select(place(F.col("__copy")).alias("at")), "at", n, most)
     if bitmap is None:
         return None
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    owners = bitmap_of(wanted.select("k1").distinct(), "k1", n, most)
+    sent = texts.sparkSession.sparkContext.broadcast((bitmap, owners))
 
     def work(batches):
         seen: set[int] = set()  # copies of a text give a run once in a task
+        runs_wanted, texts_wanted = sent.value
         for batch in batches:
+            batch = batch.filter(pa.array(inside(texts_wanted, batch.column("k1").to_numpy())))
             data, offsets = text_bytes(batch.column("text"))
             k1, k2, copy = (batch.column(c).to_numpy() for c in ("k1", "k2", "copy"))
             for a, b in chunks(offsets, RUN_BYTES):
@@ -253,7 +256,7 @@ def contexts(texts: DataFrame, wanted: DataFrame, n: int, kind: Tokens, most: in
                 view = kind.view(tokens)
                 u = digest(view, low * kind.size, high * kind.size)
                 at = u.view(np.int64) ^ k1[a:b][row] ^ start ^ copy[a:b][row]
-                ok = np.flatnonzero(inside(sent.value, at))
+                ok = np.flatnonzero(inside(runs_wanted, at))
                 new = [i for i in ok.tolist() if at[i] not in seen and not seen.add(at[i])]
                 column = {"g": g.view(np.int64), "u": u.view(np.int64), "k1": k1[a:b][row], "k2": k2[a:b][row], "first": start, "core": core, "windows": windows}
                 none = pa.nulls(len(new), pa.int64())

@@ -3,7 +3,7 @@
 A task's distinct pre-tokens go into a trie (walked as the sorted list, with the nodes of the current path on a
 stack). A node's forward score, the best unigram score of its prefix, is computed once however many pre-tokens share
 the prefix, and a pre-token's token count is stored at its terminal. Documents then add up the counts of their
-pre-tokens; a task holds on to the counts of a bounded number of them from one trie to the next. At each byte only those
+pre-tokens; a worker holds on to the counts of a bounded number of them from one trie to the next. At each byte only those
 lengths are tried that pieces with these last three bytes have. The vocabulary is a byte-level one with ranks; a piece of rank r scores -ln(r + 2) - ln(ln(size)), a
 Zipf prior, since a rank list carries no probabilities. Equal scores prefer fewer tokens.
 
@@ -14,6 +14,7 @@ whole texts always.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from functools import lru_cache
@@ -26,8 +27,8 @@ from helixmill.llm.common import append_columns
 #: Text bytes whose distinct pre-tokens share one trie; bounds a task's memory.
 TRIE_BYTES = 8 << 20
 
-#: Pre-tokens whose counts a task holds on to, at most.
-HELD_TOKENS = 400_000
+#: Pre-tokens whose counts a worker holds on to, at most (and those of one trie more).
+HELD_TOKENS = 600_000
 
 FIELDS = T.StructType([T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
@@ -110,20 +111,29 @@ def trie_counts(pretokens, scores: dict[bytes, float], lengths: dict[bytes, tupl
     return out
 
 
+_tables: dict[str, tuple] = {}
+
+
+def tables(key: str, ranks: dict[bytes, int], pattern: str) -> tuple:
+    """Scores, lengths, the splitter, and what is held of pre-tokens' counts and scores; one vocabulary's stay in a worker from task to task."""
+    if key not in _tables:
+        import regex
+
+        _tables.clear()
+        scores = piece_scores(ranks)
+        _tables[key] = scores, lengths_by_end(scores), regex.compile(pattern).findall, {}, {}
+    return _tables[key]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_pretokens, n_tokens and log_score, under the vocabulary at `path` (read here, sent to the tasks)."""
     ranks, _ = read_ranks(path or vocabulary_path())
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, split_pattern()))
+    pattern = split_pattern()
+    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast((key, ranks, pattern))
 
     def start():
-        import regex
-
-        ranks, pattern = sent.value
-        scores = piece_scores(ranks)
-        lengths = lengths_by_end(scores)
-        find = regex.compile(pattern).findall
-        tokens: dict[str, int] = {}
-        score: dict[str, float] = {}
+        scores, lengths, find, tokens, score = tables(*sent.value)
 
         def work(data, offsets):
             whole = data.tobytes()
