@@ -5,6 +5,7 @@ from __future__ import annotations
 from helixmill.llm.license_scan import COPYRIGHT_LINE, MAYBE_NOTICE, SPELLINGS, STEMS, known_texts
 from helixmill.llm.pii import BASE_KINDS, CONTEXT, CONTEXT_CHARS, EXTRA_KINDS, IBAN
 from helixmill.llm.quality_rules import CLASS_REFERENCES, MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE, MAX_REPEAT_PERCENT, MAX_UNCASED_PERCENT, MIN_CHARS_FOR_CLASSES, MIN_WORDS, MIN_WORDS_FOR_COMMON, WORD_REFERENCES
+from helixmill.llm.source_divergence import MIN_DOCS, SCALE, SMOOTHING, TOP
 from helixmill.llm.suffix_dedup import PASSAGE, WIDTH
 from helixmill.llm.url_filter import BASE_RULES, LOWER, PATTERN_RULES, UPPER
 
@@ -142,4 +143,17 @@ j AS (SELECT *, least({', '.join(divergence_sql([*shares, 'c_r'], list(ref)) for
 SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup AS n_dup_lines, n_rep AS n_repeat_words, failed AS base_failed,
 NOT failed AND (100 * n_uncased > {MAX_UNCASED_PERCENT} * n_chars OR NOT (n_chars >= {MIN_CHARS_FOR_CLASSES} AND cd > {MAX_CLASS_DISTANCE}) AND NOT (n >= {MIN_WORDS_FOR_COMMON} AND wd > {MAX_COMMON_DISTANCE})) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j"""
 
-ORACLES = {"op1_suffix_dedup": OP1, "op6_pii": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}
+SHARE = f"CAST(1 + CAST({{}} + {SMOOTHING} AS HUGEINT) * {SCALE} // ({{}} + {SMOOTHING} * v) AS BIGINT)"
+OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({low("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {MIN_DOCS}),
+langs AS (SELECT lang, coalesce(sum(lang_n), 0) AS lang_total, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+g AS (SELECT lang, source, v, lang_total, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own SEMI JOIN kept USING (lang, term) GROUP BY ALL) USING (lang, source)),
+cells AS (SELECT g.lang, g.source, term, n, {SHARE.format("coalesce(n, 0)", "total")} AS p, {SHARE.format("lang_n", "lang_total")} AS q FROM g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, CAST(sum(abs(x.p - y.p)) AS BIGINT) AS value FROM cells x JOIN cells y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f ON f.lang = a.lang AND s = a.source AND t = b.source),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+UNION ALL SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(term)) FROM cells WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}"""
+
+ORACLES = {"op11_source_divergence": OP11, "op1_suffix_dedup": OP1, "op6_pii": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}
