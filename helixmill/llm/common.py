@@ -166,6 +166,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 # ---- row-local Python operators ----
 
 
+def map_in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, which Spark itself looks up unquoted."""
+    names = df.columns
+
+    def renamed(batches):
+        return run(pa.RecordBatch.from_arrays(batch.columns, names=names) for batch in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+
+
 def append_columns(docs: DataFrame, text: str, fields, start, drop: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> DataFrame:
     """docs without `drop`, with the columns `fields` (a StructType) appended; they replace columns of their names.
 
@@ -191,7 +201,7 @@ def append_columns(docs: DataFrame, text: str, fields, start, drop: tuple[str, .
                 new = [pa.concat_arrays([pa.array(x[i], kinds[i]) if not isinstance(x[i], pa.Array) else x[i].cast(kinds[i]) for x in made]) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def lists(values, lengths) -> pa.Array:

@@ -156,4 +156,11 @@ ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (
 UNION ALL SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(term)) FROM cells WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}"""
 
-ORACLES = {"op11_source_divergence": OP11, "op1_suffix_dedup": OP1, "op6_pii": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}
+#: Right for pages whose markup inside the article is plain: paragraphs, headings, bold text, line breaks.
+OP12 = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS inside FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(inside, '</?(?:p|h[1-6]|div|ul|li|blockquote)(?: [^>]*)?>'), lambda x: trim(regexp_replace(
+regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+ORACLES = {"op12_html_extract": OP12, "op11_source_divergence": OP11, "op1_suffix_dedup": OP1, "op6_pii": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op9_license_scan": OP9, "op10_url_filter": OP10}

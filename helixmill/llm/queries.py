@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.llm import decontaminate, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, source_divergence, suffix_dedup, token_counts, url_filter
+from helixmill.llm import decontaminate, html_extract, license_scan, minhash_dedup, packing, pii, quality_classifier, quality_rules, source_divergence, suffix_dedup, token_counts, url_filter
 from helixmill.llm.common import table
 from helixmill.llm.oracles import ORACLES
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": lambda s, d: quality_rules.quality_report(table(s, d, "documents")),
         "op9_license_scan": lambda s, d: license_scan.license_report(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: url_filter.url_verdicts(table(s, d, "pages")),
+        "op12_html_extract": lambda s, d: html_extract.extraction_report(table(s, d, "pages")),
         "op11_source_divergence": lambda s, d: source_divergence.divergence_report(table(s, d, "documents")),
     }
 
