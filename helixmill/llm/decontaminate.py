@@ -215,7 +215,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    return find_contamination(docs, items, **options).where(F.size("items") == 0).select(*docs.columns)
+    return find_contamination(docs, items, **options).where(F.size("items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

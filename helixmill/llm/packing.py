@@ -201,12 +201,12 @@ def pack(items: DataFrame, size: int = SIZE, rounds: int = ROUNDS, task_pieces:
 def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text", size: int = SIZE, end_id: int = END_ID, rounds: int = ROUNDS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """A row for each piece: the other columns of docs, piece, start, length, ids_crc32, sequence_id, offset."""
     taken = [c for c in docs.columns if c == text or c.lower() not in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")]
-    own = {c: f"own__{c}" for c in taken if c != text}
-    pieces = tokenized(docs.select(*[F.col(f"`{c}`") for c in taken]).withColumnsRenamed(own), path, text, size, end_id)
+    own = {c: f"own__{i}" for i, c in enumerate(taken)}
+    pieces = tokenized(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), path, own.pop(text), size, end_id)
     pieces = keep(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
     placed = pack(pieces.select("pid", "length"), size, rounds, task_pieces)
     joined = pieces.join(placed.drop("length"), "pid")
-    return joined.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return joined.select(*[F.col(n).alias(c) for c, n in own.items()], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def packing_report(docs: DataFrame, path: str | None = None) -> DataFrame:

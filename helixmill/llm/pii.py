@@ -4,6 +4,7 @@ Patterns propose spans, leftmost and without overlap within a kind. Validators c
 addresses, Luhn for cards, digit counts for phones, mod-97 for bank accounts. Context words near a span raise its
 score; kinds without a checksum (`ssn`, `secret`) need such words. Positions are code points, ends exclusive.
 
+What is kept of a match are its ends, so time follows the text and the number of its spans, not their product.
 Every pattern starts at \\G and skips forward itself, so a text is walked once; quantifiers that can run over long
 stretches are possessive. Texts without the characters that a kind needs are not searched for it.
 
@@ -48,6 +49,8 @@ CONTEXT = {
 }
 BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "secret": 0.2, "ssn": 0.2}
 CONTEXT_BONUS, CONTEXT_CHARS, THRESHOLD = 0.4, 40, 0.5
+#: Elements of an array that a fold gathers at a time, and characters that a text is cut into before many of its parts are taken.
+BLOCK, CUT = 256, 1024
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -98,27 +101,79 @@ def spans_of(kind: str, text: Column) -> Column:
     skip = rf"(?:|.*?(?<!{before}))" if before else ".*?"
     stretch = rf"(?s)\G{skip}({pattern})"
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(stretch), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(stretch), F.lit(1)).alias("found"))
-    none = F.array().cast("array<struct<end:int,found:string>>")
-    placed = F.aggregate(
+    # only the ends of a stretch and its length are needed from here on, so a text's many spans never look at the text again
+    short = F.transform(
         parts,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["all"])).alias("at"),
-            F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["all"])).alias("end"), x["found"].alias("found")))).alias("spans"),
+        lambda x: F.struct(
+            F.length(x["all"]).alias("size"),
+            x["found"].alias("found"),
+            first_chars(x["all"]).alias("head"),
+            last_chars(x["all"]).alias("tail"),
+            last_chars(F.left(x["all"], F.length(x["all"]) - F.length(x["found"]))).alias("skip"),
         ),
-        lambda a: a["spans"],
     )
+    return F.when(text.rlike(need), let(placed(short), lambda spans: scored_spans(kind, spans, text))).otherwise(F.array().cast(SPAN))
 
-    def scored(x: Column) -> Column:
+
+def first_chars(x: Column) -> Column:
+    return F.substring(x, 1, CONTEXT_CHARS)
+
+
+def last_chars(x: Column) -> Column:
+    return F.substr(x, F.lit(-CONTEXT_CHARS))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fold(values: Column, start: Column, kind: str, step) -> Column:
+    """Like an aggregate whose state is a number and an array of `kind` that step(at, x) -> (at, elements) adds to, as that array.
+
+    An array that grows in a fold is copied at each step, so blocks of elements are folded for themselves, and their arrays joined once."""
+
+    def run(values: Column, start: Column, kind: str, step) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            at, more = step(a["at"], x)
+            return F.struct(at.alias("at"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(values, F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), add)
+
+    def whole(values: Column) -> Column:
+        n = F.ceil(F.size(values) / BLOCK).cast("int")
+        numbers = F.slice(F.sequence(F.lit(0), n), 1, n)
+
+        def block(at: Column, b: Column) -> tuple[Column, Column]:
+            own = run(F.slice(values, b * BLOCK + 1, BLOCK), at, kind, step)
+            return own["at"], F.array(own["out"])
+
+        return run(numbers, start, f"array<{kind}>", block)
+
+    return let(values, lambda v: let(whole(v), lambda done: F.struct(done["at"].alias("at"), F.flatten(done["out"]).alias("out"))))
+
+
+def placed(parts: Column) -> Column:
+    """parts (size, more) with `end`, the sum of the sizes up to them."""
+    ends = fold(parts, F.lit(0), "int", lambda at, x: (at + x["size"], F.array(at + x["size"])))["out"]
+    return F.zip_with(parts, ends, lambda x, end: x.withField("end", end))
+
+
+def scored_spans(kind: str, parts: Column, text: Column) -> Column:
+    """The confirmed ones of a kind's stretches as spans. What stands near is put together from the ends of neighbours, which have 2 characters at least."""
+    n = CONTEXT_CHARS // 2
+    least = THRESHOLD if kind in EXTRA_KINDS else 0.0
+    joined_ = lambda some, name: F.array_join(F.transform(some, lambda y: y[name]), "")
+
+    def scored(x: Column, i: Column, rest: Column) -> Column:
+        before = F.when(F.length(x["skip"]) == CONTEXT_CHARS, x["skip"]).otherwise(last_chars(F.concat(joined_(F.slice(parts, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), "tail"), x["skip"])))
+        after = first_chars(F.concat(joined_(F.slice(parts, i + 2, n), "head"), F.when(i + n >= F.size(parts) - 1, rest).otherwise("")))
+        score = F.lit(BASE_SCORE[kind]) + F.when(F.concat(before, F.lit(" "), after).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
         start = x["end"] - F.length(x["found"])
-        near = F.concat(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS)))
-        score = F.lit(BASE_SCORE[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.when(confirmed(kind, x["found"]), F.struct(F.lit(kind).alias("kind"), start.alias("start"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score")))
 
-    spans = F.transform(F.filter(placed, lambda x: confirmed(kind, x["found"])), scored)
-    if kind in EXTRA_KINDS:
-        spans = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
-    return F.when(text.rlike(need), spans).otherwise(F.array().cast(SPAN))
+    rest = first_chars(F.substr(text, F.get(parts, F.size(parts) - 1)["end"] + 1))
+    return F.filter(let(rest, lambda rest: F.transform(parts, lambda x, i: scored(x, i, rest))), lambda x: x["score"] >= least)
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -131,21 +186,26 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of `text` replaced by its kind in brackets; spans that overlap go as one, under the first's kind."""
     found = find_pii(docs, text)
     ordered = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    source = F.col(text)
-    rebuilt = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(a["parts"], F.when(x["start"] >= a["at"], F.array(F.substring(source, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))).alias("parts"),
-            )
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(source, a["at"] + 1, F.length(source))),
-    )
+    source = F.col(f"`{text}`")
+    gap = lambda a, b, kind: F.array(F.struct(a.alias("a"), b.alias("b"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("name")))
+    none = F.array().cast("array<struct<a:int,b:int,name:string>>")
+    step = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, gap(at, x["start"], x["kind"])).otherwise(none))
+    rebuilt = let(fold(ordered, F.lit(0), "struct<a:int,b:int,name:string>", step), lambda done: let(F.regexp_extract_all(source, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), lambda cuts: _rebuilt(done, cuts)))
     return found.withColumn(text, F.when(F.size("pii") > 0, rebuilt).otherwise(source))
 
 
+def _rebuilt(done: Column, cuts: Column) -> Column:
+    """The text, given in cuts, with the gaps (a, b) between the spans, each followed by a name, and what is behind the last span."""
+
+    def part(a: Column, b: Column) -> Column:
+        first = F.floor(a / CUT).cast("int")
+        whole = F.array_join(F.slice(cuts, first + 1, F.floor(b / CUT).cast("int") - first + 1), "")
+        return F.substring(whole, a - first * CUT + 1, b - a)
+
+    end = F.size(cuts) * CUT
+    return F.concat(F.array_join(F.transform(done["out"], lambda x: F.concat(part(x["a"], x["b"]), x["name"])), ""), part(done["at"], end))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

@@ -106,10 +106,12 @@ def remainder(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def chosen_rows(docs: DataFrame, labels: DataFrame, text: str, label: str, most: int, most_bytes: int) -> list[tuple]:
-    """(doc_id, text's hash, label) to learn from, in order: the first of all labelled rows outside the held-out fold by a hash of their id, up to `most` rows and `most_bytes` of text."""
+    """(doc_id, text's hash, label) to learn from, in order: the first of all labelled rows outside the held-out fold by a hash of their id, up to `most` rows and `most_bytes` of text.
+
+    Labels whose document isn't there go before anything is counted, so they take no row's place."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where((remainder(F.col("doc_id")) != 0) & F.col("__label").isin(0, 1))
     turn = F.xxhash64("doc_id", F.lit(17)).alias("__turn")
-    first = usable.distinct().select("*", turn).orderBy("__turn", "doc_id", "__label").limit(most)  # a row of three numbers each
+    first = usable.distinct().join(docs.select("doc_id"), "doc_id", "left_semi").select("*", turn).orderBy("__turn", "doc_id", "__label").limit(most)  # a row of three numbers each
     sized = docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("__bytes"))
     rows = sized.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id", "__hash", "__label"]).orderBy("__turn", "doc_id", "__label", "__hash").limit(most).collect()
     out, held = [], 0

@@ -94,6 +94,14 @@ def test_training_is_bounded(spark):
     assert [r[2] for r in seen[0]] == [r[2] for r in every]
 
 
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10_000)], "doc_id long, quality int, toxic int")
+    got = quality_classifier.chosen_rows(docs, labels, "text", "quality", 60, 1 << 30)
+    alone = quality_classifier.chosen_rows(docs, labels.where("doc_id < 100"), "text", "quality", 60, 1 << 30)
+    assert got == alone and len(got) == 60
+
+
 def plain_features(text):
     """Slots and their counts, token by token."""
     import re
