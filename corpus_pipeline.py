@@ -13,8 +13,8 @@ from helixmill.llm.common import drop_kept, keep, n_kept, table
 
 def aside(docs: DataFrame) -> tuple[DataFrame, list]:
     """docs with all columns but doc_id and text under names that no operator uses, and the expressions that bring them back."""
-    names = {c: f"own__{c}" for c in docs.columns if c not in ("doc_id", "text")}
-    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+    names = {c: c if c in ("doc_id", "text") else f"own__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data; n_chars follows where a text changed."""
     own, back = aside(docs)
     masked = pii.redact_pii(own)
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("own__n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("own__n_chars")))
-    return masked.select(*back)
+    n_chars = F.when(F.size("pii") > 0, F.length("text").cast("long"))
+    return masked.select(*[F.coalesce(n_chars, c).alias("n_chars") if name == "n_chars" else c for name, c in zip(docs.columns, back)])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
