@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/helixmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A cut() for tables that are needed until what is made of them is written; on leaving, they are deleted."""
+    folder = f"{shared_dir(spark)}/helixmill-{uuid.uuid4().hex}"
+    made: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(f"{folder}/{len(made)}")
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    try:
+        yield keep
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
