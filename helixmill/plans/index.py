@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import DEFAULT_FPP, MAX_SHARDS, MIN_GENOMES, kmer_parameters, sample_size, shard_capacity
 from helixmill.operators import bloom
-from helixmill.operators.clustering import SEED, Similarities, build_tree, mean_std, tree_frame, union_cardinalities, within_capacity
+from helixmill.operators.clustering import SEED, Similarities, Tree, build_tree, mean_std, tree_frame, union_cardinalities, within_capacity
 from helixmill.operators.minimizers import minimizers
 from helixmill.operators.similarity import cardinalities, sample_pairs, signature_jaccard, signatures
 
 #: What an index must have been built with (fixed values of this format).
-FORMAT = {"format": "1", "minimizer": "canonical-2bit", "window": "step-adjacent-mmers", "bloom": "prime-bits-64-bit-words", "bloom_hash": "murmur2-32-seeds-0-1", "probe": "double-hash-zero-step-to-one"}
+FORMAT = {"format": "2", "minimizer": "canonical-2bit", "window": "step-adjacent-mmers", "bloom": "prime-bits-segments", "bloom_hash": "murmur2-32-seeds-0-1", "probe": "double-hash-zero-step-to-one"}
 SKETCH = 1024
 #: Minimizers that one genome of an index holds; a larger set is divided, and each part is a genome under the same name.
 MOST_MINIMIZERS = 2_147_483_647 - 64_424_509
@@ -115,6 +115,17 @@ class Phases:
         self.began = now
 
 
+def levels_of(spark: SparkSession, tree: Tree) -> DataFrame:
+    """(filter_id, level): how far below the root a branch is."""
+    level = {0: 0}
+    rows = []
+    for node, _, filter_id, child, _ in tree.branches:  # a node's branches stand before those below it
+        rows.append((filter_id, level[node]))
+        if child is not None:
+            level[child] = level[node] + 1
+    return spark.createDataFrame(rows, "filter_id int, level int")
+
+
 def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29, fpp: float = DEFAULT_FPP, seed: int = SEED, max_set: int = MOST_MINIMIZERS, max_filter: int | None = None) -> dict:
     """Builds an index of genomes (genome_id, name, seq) at path, which must not hold one; returns the metadata, with the seconds of each phase.
 
@@ -155,8 +166,10 @@ def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29,
     filters = _write(bloom.filter_table(spark, capacities, fpp), path, "filters")
     phases.done("capacities")
     inserted = members.join(mz, "genome_id").select("filter_id", "mz").distinct()
-    words = _write(bloom.insert(inserted, filters), path, "filter_words")
-    stats = bloom.statistics(filters, words)
+    segments = bloom.insert_segments(inserted, filters).join(levels_of(spark, tree), "filter_id")
+    # a level's filters in a folder, by number: a descent reads what its level asks, by the folder and the files' statistics
+    segments.repartitionByRange("level", "filter_id", "shard", "segment").sortWithinPartitions("level", "filter_id", "shard", "segment").write.mode("errorifexists").option("parquet.block.size", 16 << 20).partitionBy("level").parquet(f"{path}/filter_segments")
+    stats = bloom.statistics(filters, spark.read.parquet(f"{path}/filter_segments").select("filter_id", "shard", "set_bits"))
     _write(bloom.effective_sizes(stats, members.groupBy("filter_id").agg(F.count("*").alias("n_members"))), path, "filter_sizes")
     phases.done("filters")
     metadata = FORMAT | {"k": k, "step": step, "m": m, "fpp": fpp, "seed": seed, "genomes": len(ids), "nodes": tree.nodes, "filters": len(tree.branches), "tree": tree.text() if len(ids) <= 10_000 else None, "seconds": phases.seconds, "complete": True}
@@ -177,4 +190,4 @@ def open_index(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFram
             raise ValueError(f"the index at {path} has {key} {metadata.get(key)!r}, not {value!r}")
     if not (isinstance(metadata.get("k"), int) and isinstance(metadata.get("step"), int) and 0 < metadata["step"] < metadata["k"]):
         raise ValueError(f"the index at {path} has no valid k and step")
-    return metadata, {t: spark.read.parquet(f"{path}/{t}") for t in ("genomes", "tree", "filters", "filter_words", "filter_sizes")}
+    return metadata, {t: spark.read.parquet(f"{path}/{t}") for t in ("genomes", "tree", "filters", "filter_segments", "filter_sizes")}

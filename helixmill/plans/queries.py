@@ -298,14 +298,14 @@ def bloom_contains(s, d):
     """The items' minimizers asked of every filter: each distinct one once, whatever items hold it."""
     elements, known = bloom_parts(s, d)
     mz = cut(item_mz(s, d))
-    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), known.select(F.lit(0).alias("node_id"), "filter_id"), known, bloom.insert(elements, known))
+    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), known.select(F.lit(0).alias("node_id"), "filter_id"), known, bloom.insert_segments(elements, known))
     return mz.join(found, "mz").groupBy("item_id", "filter_id").agg(F.count("*").alias("hits"))
 
 
 def _stats(s, d):
     elements, known = bloom_parts(s, d)
     inserted = members(s, d).join(genome_mz(s, d), "genome_id").groupBy("filter_id").agg(F.count("*").alias("inserted"))
-    return bloom.statistics(known, bloom.insert(elements, known), inserted)
+    return bloom.statistics(known, bloom.insert_segments(elements, known), inserted)
 
 
 def bloom_estimate(s, d):
@@ -415,17 +415,18 @@ def stored_index(s, d) -> dict[str, DataFrame]:
     tree = cut(example_tree(held))
     below = tree.select("filter_id", F.explode("members").alias("genome_id"))
     known = cut(bloom.filter_table(s, clustering.union_cardinalities(below, mz, ["filter_id"])))
-    words = cut(bloom.insert(below.join(mz, "genome_id").select("filter_id", "mz").distinct(), known))
-    effective = bloom.effective_sizes(bloom.statistics(known, words), below.groupBy("filter_id").agg(F.count("*").alias("n_members")))
+    level = F.when(F.col("filter_id") < DOCUMENT_FILTERS, 0).otherwise(1)
+    segments = cut(bloom.insert_segments(below.join(mz, "genome_id").select("filter_id", "mz").distinct(), known).withColumn("level", level))
+    effective = bloom.effective_sizes(bloom.statistics(known, segments), below.groupBy("filter_id").agg(F.count("*").alias("n_members")))
     named = genomes(s, d).select("genome_id", "name").join(sizes, "genome_id")
-    return {"tree": tree, "filters": known, "filter_words": words, "filter_sizes": cut(effective), "genomes": named}
+    return {"tree": tree, "filters": known, "filter_segments": segments, "filter_sizes": cut(effective), "genomes": named}
 
 
 def index_hits(s, d):
     """Reads' hits at the root, by its branches' filters."""
     tables, mz = stored_index(s, d), cut(read_mz(s, d))
     root = tables["tree"].where("node_id = 0").select("node_id", "filter_id")
-    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), root, tables["filters"].join(root, "filter_id", "left_semi"), tables["filter_words"])
+    found = bloom.ask(mz.select(F.lit(0).alias("node_id"), "mz").distinct(), root, tables["filters"].join(root, "filter_id", "left_semi"), tables["filter_segments"])
     return mz.join(found, "mz").groupBy("read_id", "filter_id").agg(F.count("*").alias("hits"))
 
 

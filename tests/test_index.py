@@ -133,7 +133,7 @@ def test_tree_and_filters(spark, made):
     assert sorted(int(x) for x in metadata["tree"].replace("(", " ").replace(")", " ").replace(",", " ").split()) == list(range(30))
     mz = spark.read.parquet(f"{index}/genome_minimizers")
     asked = tables["tree"].select("filter_id", F.explode("members").alias("genome_id")).join(mz, "genome_id").select("filter_id", "mz").distinct()
-    assert bloom.contains(asked, tables["filters"], tables["filter_words"]).count() == asked.count()  # no false negatives
+    assert bloom.contains(asked, tables["filters"], tables["filter_segments"]).count() == asked.count()  # no false negatives
     sizes = tables["filter_sizes"].join(tables["filters"], "filter_id").collect()
     assert all(abs(r.n_elements - r.capacity) <= 0.02 * r.capacity + 2 for r in sizes)
 
@@ -209,12 +209,57 @@ def test_filters_by_rows_or_packed(spark, made, monkeypatch):
     want = {(r[0], r[1], r[2]): r[3] for r in probed.groupBy("filter_id", "shard", "word").agg(F.bit_or("v")).collect()}
     assert {(r[0], r[1], r[2]): r[3] for r in words.collect()} == want
     answers = [sorted(map(tuple, bloom.contains(asked, loose, words, packed_bits=n).collect())) for n in (1 << 25, 0)]
-    monkeypatch.setattr(bloom, "BROADCAST_BITS", 0)
-    monkeypatch.setattr(bloom, "CHUNK", 100)
-    answers.append(sorted(map(tuple, bloom.contains(asked, loose, words).collect())))
+    monkeypatch.setattr(bloom, "UNIT", 100)  # ranges of elements are groups of their own, and shards are sent to each
+    answers.append(sorted(map(tuple, bloom.contains(asked, loose, bloom.segments_of(words), packed_bits=0).collect())))
     assert answers[0] == answers[1] == answers[2] and 500 < len(answers[0]) < asked.count()
 
 
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_segments_by_force(monkeypatch, held):
+    """Bits of filters of several sizes, gathered in turns, in sparse and dense segments, against sets of bits."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bloom, "SEGMENT_BITS", 128)
+    monkeypatch.setattr(bloom, "HELD", held)
+    rng = np.random.default_rng(3)
+    known = {3: (1, 101, 3), 1: (4, 5003, 7), 9: (2, 1_000_003, 2)}
+    rows = [(f, int(m)) for f in known for m in rng.integers(0, 1 << 50, 300)]
+    rng.shuffle(rows)
+    want, batches = {}, []
+    for at in range(0, len(rows), 70):
+        part = [tuple(map(int, r)) for r in rows[at : at + 70]]
+        own = [known[f] for f, _ in part]
+        batches.append(pa.RecordBatch.from_pydict({"mz": [m for _, m in part], "filter_id": pa.array([f for f, _ in part], pa.int32()), "shards": [o[0] for o in own], "bits": [o[1] for o in own], "hashes": pa.array([o[2] for o in own], pa.int32())}))
+        for (f, m), (shards, bits, hashes) in zip(part, own):
+            shard, first, step = (int(x[0]) for x in bloom.places(np.array([m]), shards, bits))
+            want.setdefault((f, shard), set()).update((first + k * step) % bits for k in range(hashes))
+    parts = sorted((r for b in bloom._gather(iter(batches)) for r in b.to_pylist()), key=lambda r: (r["filter_id"], r["shard"], r["segment"]))
+    assert {r["dense"] for r in parts} == {True, False} and all(len(r["data"]) <= r["n_words"] * 8 for r in parts)
+    if held > 50:
+        assert len({(r["filter_id"], r["shard"], r["segment"]) for r in parts}) == len(parts)
+    got = {}
+    kinds = {"filter_id": pa.int32(), "shard": pa.int32(), "segment": pa.int64(), "n_words": pa.int32(), "dense": pa.bool_(), "data": pa.binary()}
+    for batch in bloom._merge(iter([pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in parts[a : a + 9]], k) for c, k in kinds.items()}) for a in range(0, len(parts), 9)])):
+        for r in batch.to_pylist():
+            bits = np.flatnonzero(np.unpackbits(np.frombuffer(r["words"], np.uint8), bitorder="little"))
+            assert len(bits) == r["set_bits"]
+            got.setdefault((r["filter_id"], r["shard"]), set()).update((bits + r["segment"] * 128).tolist())
+    assert got == want
+
+
+def test_size_of_a_filter_costs_nothing(spark):
+    """What few elements put into a large filter is as little as in a small one, and is found there in streams."""
+    own = spark.range(3000).select(F.lit(1).cast("int").alias("filter_id"), F.shiftrightunsigned(F.xxhash64("id"), 14).alias("mz"))
+    sizes = {}
+    for capacity in (100_000, 400_000_000):
+        filters = bloom.filter_table(spark, spark.createDataFrame([(1, capacity)], "filter_id int, capacity long"), 1e-3)
+        parts = own.join(filters, "filter_id").select("filter_id", "mz", "shards", "bits", "hashes").mapInArrow(bloom._gather, "filter_id int, shard int, segment long, n_words int, dense boolean, data binary")
+        sizes[capacity] = parts.agg(F.sum(F.octet_length("data") + 40)).first()[0]
+    assert all(n < 100 * 3000 for n in sizes.values()), sizes
+    segments = bloom.insert_segments(own, filters).select("*").limit(0)
+    assert bloom.contains(own, filters, segments).count() == 0
+
+
 def test_sharded_filters(spark):
     """Filters of several shards hold what was put in, and little else."""
     filters = spark.createDataFrame([(0, 4000, 4, 24_001, 17), (1, 1000, 1, 24_001, 17)], bloom.FILTERS)
