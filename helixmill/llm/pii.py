@@ -51,6 +51,8 @@ BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "
 CONTEXT_BONUS, CONTEXT_CHARS, THRESHOLD = 0.4, 40, 0.5
 #: Elements of an array that a fold gathers at a time, and characters that a text is cut into before many of its parts are taken.
 BLOCK, CUT = 256, 1024
+#: Spans up to which a text is looked at again for each.
+FEW = 64
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
@@ -101,7 +103,41 @@ def spans_of(kind: str, text: Column) -> Column:
     skip = rf"(?:|.*?(?<!{before}))" if before else ".*?"
     stretch = rf"(?s)\G{skip}({pattern})"
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(stretch), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(stretch), F.lit(1)).alias("found"))
-    # only the ends of a stretch and its length are needed from here on, so a text's many spans never look at the text again
+    spans = let(parts, lambda parts: F.when(F.size(parts) <= FEW, few_spans(kind, parts, text)).otherwise(many_spans(kind, parts, text)))
+    return F.when(text.rlike(need), spans).otherwise(F.array().cast(SPAN))
+
+
+def span(kind: str, start: Column, end: Column, near: Column) -> Column:
+    score = F.lit(BASE_SCORE[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+
+
+def few_spans(kind: str, parts: Column, text: Column) -> Column:
+    """The confirmed ones of a few stretches; each looks at the text for what stands near."""
+    none = F.array().cast("array<struct<end:int,found:string>>")
+    ends = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), none.alias("spans")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["all"])).alias("at"),
+            F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["all"])).alias("end"), x["found"].alias("found")))).alias("spans"),
+        ),
+        lambda a: a["spans"],
+    )
+
+    def scored(x: Column) -> Column:
+        start = x["end"] - F.length(x["found"])
+        return span(kind, start, x["end"], F.concat(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
+
+    return sure(kind, F.transform(F.filter(ends, lambda x: confirmed(kind, x["found"])), scored))
+
+
+def sure(kind: str, spans: Column) -> Column:
+    return F.filter(spans, lambda x: x["score"] >= THRESHOLD) if kind in EXTRA_KINDS else spans
+
+
+def many_spans(kind: str, parts: Column, text: Column) -> Column:
+    """The same of any number of stretches: only their ends and lengths are kept, so none looks at the text again."""
     short = F.transform(
         parts,
         lambda x: F.struct(
@@ -112,7 +148,7 @@ def spans_of(kind: str, text: Column) -> Column:
             last_chars(F.left(x["all"], F.length(x["all"]) - F.length(x["found"]))).alias("skip"),
         ),
     )
-    return F.when(text.rlike(need), let(placed(short), lambda spans: scored_spans(kind, spans, text))).otherwise(F.array().cast(SPAN))
+    return let(short, lambda parts: let(placed(parts), lambda spans: scored_spans(kind, spans, text)))
 
 
 def first_chars(x: Column) -> Column:
@@ -162,18 +198,15 @@ def placed(parts: Column) -> Column:
 def scored_spans(kind: str, parts: Column, text: Column) -> Column:
     """The confirmed ones of a kind's stretches as spans. What stands near is put together from the ends of neighbours, which have 2 characters at least."""
     n = CONTEXT_CHARS // 2
-    least = THRESHOLD if kind in EXTRA_KINDS else 0.0
     joined_ = lambda some, name: F.array_join(F.transform(some, lambda y: y[name]), "")
 
     def scored(x: Column, i: Column, rest: Column) -> Column:
         before = F.when(F.length(x["skip"]) == CONTEXT_CHARS, x["skip"]).otherwise(last_chars(F.concat(joined_(F.slice(parts, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), "tail"), x["skip"])))
         after = first_chars(F.concat(joined_(F.slice(parts, i + 2, n), "head"), F.when(i + n >= F.size(parts) - 1, rest).otherwise("")))
-        score = F.lit(BASE_SCORE[kind]) + F.when(F.concat(before, F.lit(" "), after).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
-        start = x["end"] - F.length(x["found"])
-        return F.when(confirmed(kind, x["found"]), F.struct(F.lit(kind).alias("kind"), start.alias("start"), x["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score")))
+        return F.when(confirmed(kind, x["found"]), span(kind, x["end"] - F.length(x["found"]), x["end"], F.concat(before, F.lit(" "), after)))
 
     rest = first_chars(F.substr(text, F.get(parts, F.size(parts) - 1)["end"] + 1))
-    return F.filter(let(rest, lambda rest: F.transform(parts, lambda x, i: scored(x, i, rest))), lambda x: x["score"] >= least)
+    return sure(kind, F.filter(let(rest, lambda rest: F.transform(parts, lambda x, i: scored(x, i, rest))), lambda x: x.isNotNull()))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -187,11 +220,13 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_pii(docs, text)
     ordered = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     source = F.col(f"`{text}`")
-    gap = lambda a, b, kind: F.array(F.struct(a.alias("a"), b.alias("b"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("name")))
-    none = F.array().cast("array<struct<a:int,b:int,name:string>>")
-    step = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, gap(at, x["start"], x["kind"])).otherwise(none))
-    rebuilt = let(fold(ordered, F.lit(0), "struct<a:int,b:int,name:string>", step), lambda done: let(F.regexp_extract_all(source, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), lambda cuts: _rebuilt(done, cuts)))
-    return found.withColumn(text, F.when(F.size("pii") > 0, rebuilt).otherwise(source))
+    kind = "struct<a:int,b:int,name:string>"
+    gap = lambda a, b, name: F.array(F.struct(a.alias("a"), b.alias("b"), F.concat(F.lit("["), F.upper(name), F.lit("]")).alias("name")))
+    step = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, gap(at, x["start"], x["kind"])).otherwise(F.array().cast(f"array<{kind}>")))
+    cuts = F.regexp_extract_all(source, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    few = let(fold(ordered, F.lit(0), kind, step), lambda done: F.concat(F.array_join(F.transform(done["out"], lambda x: F.concat(F.substring(source, x["a"] + 1, x["b"] - x["a"]), x["name"])), ""), F.substring(source, done["at"] + 1, F.length(source))))
+    many = let(fold(ordered, F.lit(0), kind, step), lambda done: let(cuts, lambda cuts: _rebuilt(done, cuts)))
+    return found.withColumn(text, F.when(F.size("pii") == 0, source).when(F.size("pii") <= FEW, few).otherwise(many))
 
 
 def _rebuilt(done: Column, cuts: Column) -> Column:
