@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from helixmill.functions.hashing import node_seed, unit
 from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import MIN_GENOMES, adaptive_bound, calibration_budget, leader_limit
-from helixmill.operators.similarity import genome_sketches
+from helixmill.operators.sketches import bottom_k, union_estimates
 
 SMALLEST_CLUSTER = 10
 WANTED_POSITIVES = 32
@@ -293,10 +293,9 @@ def within_capacity(sizes: dict[int, int], most: int) -> Callable[[list[int]], l
 
 
 def union_cardinalities(members: DataFrame, mz: DataFrame, keys: list[str], sketch: bool = False) -> DataFrame:
-    """Distinct minimizers of each cluster: distinct rows first, so that both steps combine before they shuffle. sketch: estimated by the union of the members' theta sketches."""
+    """Distinct minimizers of each cluster: distinct rows first, so that both steps combine before they shuffle. sketch: estimated by the union of the members' sketches."""
     if sketch:
-        own = members.join(genome_sketches(mz).select("genome_id", "sketch"), "genome_id")
-        return own.groupBy(*keys).agg(F.expr("theta_sketch_estimate(theta_union_agg(sketch))").alias("capacity"))
+        return union_estimates(members, cut(bottom_k(mz, ["genome_id"])), "genome_id", keys).withColumnRenamed("estimate", "capacity")
     return members.join(mz, "genome_id").select(*keys, "mz").distinct().groupBy(*keys).agg(F.count("*").alias("capacity"))
 
 

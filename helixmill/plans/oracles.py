@@ -5,7 +5,7 @@ from __future__ import annotations
 from helixmill.functions.hashing import FMIX, GOLDEN
 from helixmill.functions.parameters import DEFAULT_FPP
 from helixmill.functions.sequences import LETTERS, NUCLEOTIDES
-from helixmill.plans.queries import DOCUMENT_FILTERS, FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, RETAINED, SEED, THRESHOLD
+from helixmill.plans.queries import COUNTER_LG, DOCUMENT_FILTERS, FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, RETAINED, SEED, SKETCH_K, THRESHOLD
 
 M32, MURMUR = (1 << 32) - 1, 0x5BD1E995
 
@@ -131,6 +131,25 @@ ok AS (SELECT *, hits > 0 AND conf >= CAST({THRESHOLD} AS REAL) AS accepted FROM
 SUMMARY = f"""{LEVEL2},
 own AS (SELECT hit2.genome_id, hit2.mz FROM hit2 JOIN ok ON ok.read_id = hit2.read_id AND ok.genome_id = hit2.genome_id WHERE accepted),
 su AS (SELECT genome_id, count(DISTINCT mz) AS n_distinct, count(*) AS n_hits FROM own GROUP BY genome_id)"""
+estimate = lambda below, theta: f"CAST(CASE WHEN {theta} IS NULL THEN {below} ELSE round(({below}) * 9223372036854775808.0 / CAST({theta} AS DOUBLE)) END AS BIGINT)"
+SKETCHES = ",\n".join([G_MZ, murmur_steps("gm", "genome_id, mz", "hg"), f"sk AS (SELECT genome_id, (h0 << 31) | (h1 >> 1) AS u FROM hg QUALIFY row_number() OVER (PARTITION BY genome_id ORDER BY (h0 << 31) | (h1 >> 1)) <= {SKETCH_K})"])
+THRESHOLDS = f"th AS (SELECT genome_id, count(*) AS n, CASE WHEN count(*) = {SKETCH_K} THEN max(u) END AS theta FROM sk GROUP BY genome_id)"
+UNIONS = f"""un AS (SELECT filter_id, u FROM (SELECT DISTINCT filter_id, u FROM sk JOIN g USING (genome_id)) QUALIFY row_number() OVER (PARTITION BY filter_id ORDER BY u) <= {SKETCH_K}),
+ul AS (SELECT filter_id, min(theta) AS least FROM th JOIN g USING (genome_id) GROUP BY filter_id),
+ut AS (SELECT filter_id, least(any_value(least), CASE WHEN count(*) = {SKETCH_K} THEN max(u) END) AS theta FROM un JOIN ul USING (filter_id) GROUP BY filter_id)"""
+SKETCHED_PAIRS = f"kp AS (SELECT a, b, least(x.theta, y.theta) AS theta, {estimate('x.n - CASE WHEN x.theta IS NULL THEN 0 ELSE 1 END', 'x.theta')} AS n_a, {estimate('y.n - CASE WHEN y.theta IS NULL THEN 0 ELSE 1 END', 'y.theta')} AS n_b FROM pairs JOIN th x ON x.genome_id = a JOIN th y ON y.genome_id = b)"
+
+
+def registers_sql(source: str, key: str) -> str:
+    return f"reg AS (SELECT {key}, h0 & {(1 << COUNTER_LG) - 1} AS bucket, max(CASE WHEN h1 = 0 THEN 33 ELSE 33 - length(bin(h1)) END) AS rank, count(*) AS n FROM {source} GROUP BY 1, 2)"
+
+
+def counter_sql() -> str:
+    m = float(1 << COUNTER_LG)
+    raw = f"({0.7213 / (1 + 1.079 / m) * m * m!r} / (s + ({m} - held)))"
+    return f"CAST(round(CASE WHEN {raw} <= {2.5 * m} AND held < {m} THEN {m} * ln({m} / ({m} - held)) ELSE {raw} END) AS BIGINT)"
+
+
 STAGED = 5
 #: Reads as numbers: the genome's, then the place of the cut.
 READ_PLACES = 1 << 24
@@ -245,5 +264,11 @@ WHERE short OR (stray AND NOT coalesce(after_short, false))""",
     "index_hits": using(INDEX) + f"SELECT '@' || (rk // {READ_PLACES}) || '_' || (rk % {READ_PLACES}) AS read_id, filter_id, hits FROM hits1",
     "index_classify": using(BY_FILTERS) + f"""SELECT '@' || (r.rk // {READ_PLACES}) AS read_id, CASE WHEN conf >= CAST({THRESHOLD} AS REAL) THEN name ELSE '?' END AS geno_id, coalesce(hits, 0) || '.0|' || coalesce(n_minimizers, 0) AS matches, round(coalesce(CAST(conf AS DOUBLE), 0), 5) AS confidence
 FROM r LEFT JOIN rn USING (rk) LEFT JOIN top2 USING (rk) LEFT JOIN gg USING (genome_id)""",
+    "theta_card": using(SKETCHES, THRESHOLDS) + f"SELECT genome_id, {estimate('n - CASE WHEN theta IS NULL THEN 0 ELSE 1 END', 'theta')} AS estimate FROM th",
+    "sketch_rows": using(SKETCHES) + "SELECT genome_id, count(*) AS n, min(u) AS least, max(u) AS greatest, CAST(sum(u % 1000003) AS BIGINT) AS u_sum FROM sk GROUP BY genome_id",
+    "union_sketch": using(SKETCHES, THRESHOLDS, UNIONS) + f"SELECT filter_id, {estimate('count(*)', 'theta')} AS estimate FROM un JOIN ut USING (filter_id) WHERE theta IS NULL OR u < theta GROUP BY filter_id, theta",
+    "sketch_similarity": using(SKETCHES, THRESHOLDS, PAIRS, SKETCHED_PAIRS) + f"SELECT a, b, n_a, n_b, {estimate('count(*)', 'theta')} AS shared FROM kp JOIN sk x ON x.genome_id = a JOIN sk y ON y.genome_id = b AND y.u = x.u WHERE theta IS NULL OR x.u < theta GROUP BY a, b, n_a, n_b, theta",
+    "counter_rows": using(G_MZ, F_MZ, murmur_steps("fm", "filter_id, mz", "hm"), registers_sql("hm", "filter_id")) + "SELECT filter_id, count(*) AS held, CAST(sum(rank) AS BIGINT) AS rank_sum, CAST(sum(bucket * rank) AS BIGINT) AS place_sum, CAST(sum(n) AS BIGINT) AS n FROM reg GROUP BY filter_id",
+    "genome_coverage_sketch": using(SUMMARY, murmur_steps("own", "genome_id, mz", "hm"), registers_sql("hm", "genome_id")) + f"SELECT genome_id, {counter_sql()} AS n_distinct FROM (SELECT genome_id, sum(pow(2.0, -rank)) AS s, count(*) AS held FROM reg GROUP BY genome_id)",
     "genome_coverage": using(SUMMARY) + "SELECT genome_id, n_distinct, n_hits FROM su",
 }

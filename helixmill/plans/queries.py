@@ -12,7 +12,7 @@ from helixmill.functions.hashing import mixed, murmur2_pair, pair_key
 from helixmill.functions.lineage import cut
 from helixmill.functions.parameters import adaptive_bound_column, growth_weight_column, kmer_columns, leader_limit_column, sample_size
 from helixmill.functions.sequences import as_dna, clean_sequence, csv_field, genome_name
-from helixmill.operators import bloom, classification, clustering, similarity as sim
+from helixmill.operators import bloom, classification, clustering, similarity as sim, sketches
 from helixmill.operators.minimizers import chunk_sequences, minimizers, mmers
 from helixmill.plans.classify import classify_sets, read_sets
 from helixmill.sources.fasta import is_genome_file, joined_contigs, records_of
@@ -22,6 +22,8 @@ K, READ_BASES = 29, 300
 #: Of the FASTQ examples: bases of a line, and document ids that may share a file.
 LINE_BASES, FILE_IDS = 100, 64
 SEED = 9001
+#: Hashes of a sketch, and the logarithm of a counter's registers.
+SKETCH_K, COUNTER_LG = 4096, 12
 FIRST_GENOMES, FIRST_READS, RETAINED = 50, 100, 7
 THRESHOLD = 0.5
 #: Endings given to documents' numbers, to make paths of them.
@@ -178,7 +180,28 @@ def genome_card(s, d):
 
 
 def theta_card(s, d):
-    return sim.genome_sketches(genome_mz(s, d)).select("genome_id", "estimate")
+    sketch = sketches.bottom_k(genome_mz(s, d), ["genome_id"], SKETCH_K)
+    return sketches.thresholds(sketch, ["genome_id"], SKETCH_K).select("genome_id", "estimate")
+
+
+def sketch_rows(s, d):
+    """The sketches themselves, as digests."""
+    return sketches.bottom_k(genome_mz(s, d), ["genome_id"], SKETCH_K).groupBy("genome_id").agg(F.count("*").alias("n"), F.min("u").alias("least"), F.max("u").alias("greatest"), F.sum(F.col("u") % 1000003).alias("u_sum"))
+
+
+def union_sketch(s, d):
+    """The sources' unions, estimated from the sketches of their documents."""
+    return sketches.union_estimates(members(s, d), cut(sketches.bottom_k(genome_mz(s, d), ["genome_id"], SKETCH_K)), "genome_id", ["filter_id"], SKETCH_K)
+
+
+def sketch_similarity(s, d):
+    """The sampled pairs' estimates of sizes and of what they share."""
+    return sketches.shared_estimates(pair_sample(s, d), cut(sketches.bottom_k(genome_mz(s, d), ["genome_id"], SKETCH_K)), "genome_id", SKETCH_K)
+
+
+def counter_rows(s, d):
+    """Registers of the sources' minimizers, as digests."""
+    return sketches.registers(filter_mz(s, d), ["filter_id"], COUNTER_LG).groupBy("filter_id").agg(F.count("*").alias("held"), F.sum("rank").alias("rank_sum"), F.sum(F.col("bucket") * F.col("rank")).alias("place_sum"), F.sum("n").cast("long").alias("n"))
 
 
 def cosine_log_similarity(s, d):
@@ -401,7 +424,7 @@ def genome_coverage(s, d):
 
 
 def genome_coverage_sketch(s, d):
-    return _summary(s, d, 12).select("genome_id", "n_distinct")
+    return _summary(s, d, COUNTER_LG).select("genome_id", "n_distinct")
 
 
 # ---- the same over Bloom filters ----
@@ -442,7 +465,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, limit_reads,
-        kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, cosine_log_similarity, jaccard, pair_sample, pair_classes,
+        kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, sketch_rows, union_sketch, sketch_similarity, counter_rows, cosine_log_similarity, jaccard, pair_sample, pair_classes,
         calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,
         filter_capacity, cluster_elements, read_minimizers, node_hits, match_score, best_child, classify_reads, accept_reads, class_reads,
