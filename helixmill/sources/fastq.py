@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixmill.sources.fasta import by_size, streamed_lines, whole_files
 
-SEQUENCE_LETTERS = frozenset("ACGTURYSWKMBDHVN.-*")
+#: A line of nothing but letters of sequences.
+SEQUENCE_LINE = r"^[ACGTURYSWKMBDHVNacgturyswkmbdhvn.*-]+$"
+_sequence_line = re.compile(SEQUENCE_LINE)
 LOOK_AHEAD = 100_000
 #: Bases of the reads that are passed on together, about.
 BATCH_BASES = 1 << 24
@@ -48,7 +51,7 @@ class Lines:
                 return False
             if line.startswith("+"):
                 return some
-            if not line or not SEQUENCE_LETTERS.issuperset(line.upper()):
+            if not _sequence_line.match(line):
                 return False
             some = True
         return False
@@ -129,7 +132,13 @@ def first_reads(reads: DataFrame, limit: int | None, order: tuple[str, ...] = ("
 
 
 def read_fastq(spark: SparkSession, path: str, limit: int | None = None, whole_bytes: int | None = None) -> DataFrame:
-    """Reads of the files below path: small files whole, larger ones by their lines, with equal results."""
+    """Reads of the files below path, with equal results: small files whole, larger ones in ranges, and large gzipped ones, which can't be split, by their lines."""
+    from helixmill.sources.fastq_ranges import range_lines, reads_of_ranges
+
     small, large = by_size(spark, path, whole_bytes)
     out = reads_of(whole_files(spark, small))
-    return first_reads(out.unionByName(reads_of_lines(streamed_lines(spark, large))) if large else out, limit)
+    if zipped := [p for p in large if p.endswith(".gz")]:
+        out = out.unionByName(reads_of_lines(streamed_lines(spark, zipped)))
+    if plain := [p for p in large if not p.endswith(".gz")]:
+        out = out.unionByName(reads_of_ranges(range_lines(spark, plain)))
+    return first_reads(out, limit)
