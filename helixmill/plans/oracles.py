@@ -202,7 +202,7 @@ top2 AS (SELECT *, CAST(CAST(score AS DOUBLE) / CAST(CAST(1 AS REAL) + score AS
 CLEAN = r"regexp_replace({}, '\s+', '', 'g')"
 RECORDS = f"""rec AS (SELECT source AS path, doc_id, {CLEAN.format("array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(x, '>')), '')")} AS seq FROM documents),
 num AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS record, doc_id, seq FROM rec)"""
-GRID = "grid AS (SELECT z.range AS zero, p.range AS positive FROM range(40) z CROSS JOIN range(40) p)"
+GRID = ",\n".join([GENOMES, "grid AS (SELECT genome_id, length(seq) % 40 AS zero, genome_id % 40 AS positive FROM g)"])
 WEIGHT = "CASE WHEN positive <= 0 THEN 0.0 WHEN zero <= 0 THEN 1.0 ELSE 0.5 + 0.5 * ln(positive / zero) / (1 + abs(ln(positive / zero))) END"
 ENDING_LIST = ", ".join(f"'{e}'" for e in PATH_ENDINGS)
 
@@ -214,12 +214,13 @@ ORACLES = {
     "chunk_equiv": using(G_MZ) + "SELECT genome_id, count(*) AS n_minimizers, CAST(sum(mz % 1000003) AS BIGINT) AS mz_sum FROM gm GROUP BY genome_id",
     "limit_genomes": using(GENOMES) + f"SELECT genome_id, name, length(seq) AS n_bases FROM g WHERE length(seq) >= {K} ORDER BY genome_id LIMIT {FIRST_GENOMES}",
     "scan_fastq": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
+    "fastq_ranges": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
     "fastq_lenient": using(GENOMES)
     + f"""SELECT path, read_id, concat_ws('; ', CASE WHEN stray AND NOT coalesce(after_short, false) THEN 'skipped 1 lines' END, CASE WHEN short THEN 'sequence ' || n || ', quality ' || CASE WHEN coalesce(stray_next, false) THEN {1 + len('stray line')} ELSE 1 END END) AS parse_warning
 FROM (SELECT *, lag(short) OVER w AS after_short, lead(stray) OVER w AS stray_next FROM (SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, genome_id, '@' || genome_id AS read_id, length(seq) AS n, genome_id % 5 = 1 AS stray, genome_id % 7 = 3 AS short FROM g WHERE length(seq) >= {K}) WINDOW w AS (PARTITION BY path ORDER BY genome_id))
 WHERE short OR (stray AND NOT coalesce(after_short, false))""",
     "limit_reads": using(GENOMES, READS) + f"SELECT read_id, length(seq) AS n_bases FROM r ORDER BY read_id LIMIT {FIRST_READS}",
-    "kmer_params": "SELECT asked, CAST(k AS INTEGER) AS k, CAST(step AS INTEGER) AS step, CAST(k - step AS INTEGER) AS m FROM (SELECT asked, k, CAST(floor(sqrt(k)) AS BIGINT) - CAST(floor(sqrt(k)) AS BIGINT) % 2 AS step FROM (SELECT range AS asked, least(greatest(CASE WHEN range % 2 = 0 THEN range + 1 ELSE range END, 11), 37) AS k FROM range(1, 61)))",
+    "kmer_params": using(GENOMES) + "SELECT genome_id, asked, CAST(k AS INTEGER) AS k, CAST(step AS INTEGER) AS step, CAST(k - step AS INTEGER) AS m FROM (SELECT genome_id, asked, k, CAST(floor(sqrt(k)) AS BIGINT) - CAST(floor(sqrt(k)) AS BIGINT) % 2 AS step FROM (SELECT genome_id, asked, least(greatest(CASE WHEN asked % 2 = 0 THEN asked + 1 ELSE asked END, 11), 37) AS k FROM (SELECT genome_id, length(seq) % 60 + 1 AS asked FROM g)))",
     "canonical_mmers": using(GENOMES, mer_steps("g", "genome_id", "c")) + "SELECT genome_id, count(*) AS n_mmers, CAST(sum(can % 1000003) AS BIGINT) AS mmer_sum, min(can) AS least, max(can) AS greatest FROM c GROUP BY genome_id",
     "minimizers": using(G_MZ) + "SELECT genome_id, mz FROM gm",
     "murmur2_pair": using(I_MZ, "u AS (SELECT DISTINCT mz FROM im)", murmur_steps("u", "mz", "h")) + "SELECT mz, h0, h1 FROM h",
@@ -236,10 +237,10 @@ WHERE short OR (stray AND NOT coalesce(after_short, false))""",
     "positive_percentile": using(SIMILAR) + "SELECT a, b, round(cume_dist() OVER (ORDER BY round(score, 9)), 9) AS percentile FROM sc",
     "cluster_union_card": using(G_MZ, "ff AS (SELECT filter_id, mz, min(genome_id) AS genome_id FROM gm JOIN g USING (genome_id) GROUP BY filter_id, mz), fn AS (SELECT filter_id, genome_id, count(*) AS new FROM ff GROUP BY 1, 2)")
     + "SELECT g.filter_id, g.genome_id, CAST(sum(coalesce(new, 0)) OVER (PARTITION BY g.filter_id ORDER BY g.genome_id) AS BIGINT) AS running FROM g LEFT JOIN fn ON fn.filter_id = g.filter_id AND fn.genome_id = g.genome_id",
-    "sample_size": "SELECT range AS n, CAST(floor(1000 + range * pow(ln(range), 2)) AS BIGINT) AS pairs FROM range(2, 2000)",
-    "growth_weight": using(GRID) + f"SELECT zero, positive, round({WEIGHT}, 9) AS weight FROM grid",
-    "leader_limit": using(GRID) + f"SELECT zero, positive, CASE WHEN n <= 1 THEN n ELSE greatest(1, least(n, CAST(ceil(sqrt(n) + (n - sqrt(n)) * ({WEIGHT})) AS BIGINT))) END AS leaders FROM (SELECT *, zero * 40 + positive AS n FROM grid)",
-    "adaptive_bound": using(GRID) + "SELECT zero, positive, CASE WHEN n <= 1 THEN n ELSE least(n, greatest(2, CAST(ceil(least((1 + greatest(0.0, (0.375 - positive / 64.0) / 0.125) + greatest(0.0, (zero / 128.0 - 0.125) / 0.125)) * ln(1 + n), sqrt(n))) AS BIGINT))) END AS clusters FROM (SELECT *, zero * 97 + 1 AS n FROM grid)",
+    "sample_size": "SELECT n, CAST(floor(1000 + n * pow(ln(n), 2)) AS BIGINT) AS pairs FROM (SELECT count(*) OVER (PARTITION BY source ORDER BY doc_id) + 1 AS n FROM documents)",
+    "growth_weight": using(GRID) + f"SELECT genome_id, zero, positive, round({WEIGHT}, 9) AS weight FROM grid",
+    "leader_limit": using(GRID) + f"SELECT genome_id, zero, positive, CASE WHEN n <= 1 THEN n ELSE greatest(1, least(n, CAST(ceil(sqrt(n) + (n - sqrt(n)) * ({WEIGHT})) AS BIGINT))) END AS leaders FROM (SELECT *, zero * 40 + positive AS n FROM grid)",
+    "adaptive_bound": using(GRID) + "SELECT genome_id, zero, positive, CASE WHEN n <= 1 THEN n ELSE least(n, greatest(2, CAST(ceil(least((1 + greatest(0.0, (0.375 - positive / 64.0) / 0.125) + greatest(0.0, (zero / 128.0 - 0.125) / 0.125)) * ln(1 + n), sqrt(n))) AS BIGINT))) END AS clusters FROM (SELECT *, zero * 97 + 1 AS n FROM grid)",
     "retain_topk": f"SELECT source AS cluster, count(*) % 5 AS size FROM documents GROUP BY source ORDER BY size DESC, md5('{SEED}:' || source) LIMIT {RETAINED}",
     "best_cluster": using(G_MZ, F_MZ, I_MZ) + "SELECT item, cluster, score FROM (SELECT item_id AS item, filter_id AS cluster, CAST(count(*) AS DOUBLE) AS score FROM im JOIN fm USING (mz) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, cluster) = 1",
     "partition_check": "SELECT (SELECT count(*) FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 23 <> 0 AND doc_id % 29 = 0) AS foreign, (SELECT count(*) FROM documents WHERE doc_id % 17 = 0) AS duplicate, (SELECT count(*) FROM documents WHERE doc_id % 17 <> 0 AND (doc_id % 23 = 0 OR doc_id % 29 = 0)) AS missing",

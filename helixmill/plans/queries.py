@@ -6,21 +6,26 @@ and each source's documents lie below it. Membership is exact here, so SQL can s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixmill.functions.hashing import mixed, murmur2_pair, pair_key
-from helixmill.functions.lineage import cut
+from helixmill.functions.lineage import cut, shared_dir
 from helixmill.functions.parameters import adaptive_bound_column, growth_weight_column, kmer_columns, leader_limit_column, sample_size
 from helixmill.functions.sequences import as_dna, clean_sequence, csv_field, genome_name
 from helixmill.operators import bloom, classification, clustering, similarity as sim, sketches
 from helixmill.operators.minimizers import chunk_sequences, minimizers, mmers
 from helixmill.plans.classify import classify_sets, read_sets
-from helixmill.sources.fasta import is_genome_file, joined_contigs, records_of
+from helixmill.sources.fasta import by_size, is_genome_file, joined_contigs, records_of
 from helixmill.sources.fastq import first_reads, reads_of
+from helixmill.sources.fastq_ranges import range_lines, reads_of_ranges
 
 K, READ_BASES = 29, 300
 #: Of the FASTQ examples: bases of a line, and document ids that may share a file.
 LINE_BASES, FILE_IDS = 100, 64
+#: Lines of a range, where files are parsed in ranges.
+RANGE_LINES = 700
 SEED = 9001
 #: Hashes of a sketch, and the logarithm of a counter's registers.
 SKETCH_K, COUNTER_LG = 4096, 12
@@ -138,6 +143,14 @@ def fastq_lenient(s, d):
     return reads_of(fastq_files(s, d)).where("parse_warning is not null").select("path", "read_id", "parse_warning")
 
 
+def fastq_ranges(s, d):
+    """The same files written as text and read in ranges of RANGE_LINES lines, each parsed for itself."""
+    folder = f"{shared_dir(s)}/helixmill-fastq-{uuid.uuid4().hex}"
+    fastq_files(s, d).write.partitionBy("path").text(folder)
+    out = reads_of_ranges(range_lines(s, by_size(s, folder, 0)[1], RANGE_LINES))
+    return out.select(F.regexp_extract("path", "path=([^/]+)/", 1).alias("path"), "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
+
+
 def limit_reads(s, d):
     return first_reads(reads(s, d), FIRST_READS, ("read_id",)).select("read_id", F.length("seq").cast("long").alias("n_bases"))
 
@@ -146,8 +159,10 @@ def limit_reads(s, d):
 
 
 def kmer_params(s, d):
-    k, step, m = kmer_columns(F.col("id"))
-    return s.range(1, 61).select(F.col("id").alias("asked"), k.alias("k"), step.alias("step"), m.alias("m"))
+    """What each genome's length, taken as the k that is asked for, is made to."""
+    k, step, m = kmer_columns(F.col("asked"))
+    asked = genomes(s, d).select("genome_id", (F.length("seq") % 60 + 1).cast("long").alias("asked"))
+    return asked.select("genome_id", "asked", k.alias("k"), step.alias("step"), m.alias("m"))
 
 
 def canonical_mmers(s, d):
@@ -244,27 +259,30 @@ def cluster_union_card(s, d):
 
 
 def sample_sizes(s, d):
-    n = F.col("id")
-    return s.range(2, 2000).select(n.alias("n"), F.floor(1000 + n * F.pow(F.ln(n), 2)).alias("pairs"))
+    """For the collection of a source's documents up to each, and one more."""
+    n = F.col("n")
+    upto = documents(s, d).select((F.count("*").over(Window.partitionBy("source").orderBy("doc_id")) + 1).alias("n"))
+    return upto.select("n", F.floor(1000 + n * F.pow(F.ln(n), 2)).alias("pairs"))
 
 
-def grid(s):
-    return s.range(0, 40).select(F.col("id").alias("zero")).crossJoin(s.range(0, 40).select(F.col("id").alias("positive")))  # 1,600 parameter rows
+def counted_pairs(s, d):
+    """(genome_id, zero, positive): numbers of zero and positive pairs, made from each genome."""
+    return genomes(s, d).select("genome_id", (F.length("seq") % 40).cast("long").alias("zero"), (F.col("genome_id") % 40).alias("positive"))
 
 
 def growth_weight(s, d):
-    return grid(s).select("zero", "positive", F.round(growth_weight_column(F.col("zero"), F.col("positive")), 9).alias("weight"))
+    return counted_pairs(s, d).select("genome_id", "zero", "positive", F.round(growth_weight_column(F.col("zero"), F.col("positive")), 9).alias("weight"))
 
 
 def leader_limit(s, d):
     n = F.col("zero") * 40 + F.col("positive")
-    return grid(s).select("zero", "positive", leader_limit_column(n, F.col("zero"), F.col("positive")).alias("leaders"))
+    return counted_pairs(s, d).select("genome_id", "zero", "positive", leader_limit_column(n, F.col("zero"), F.col("positive")).alias("leaders"))
 
 
 def adaptive_bound(s, d):
     n = F.col("zero") * 97 + 1
     mean, std = F.col("positive") / 64.0, F.col("zero") / 128.0
-    return grid(s).select("zero", "positive", adaptive_bound_column(n, mean, std, F.lit(0.375), F.lit(0.125)).alias("clusters"))
+    return counted_pairs(s, d).select("genome_id", "zero", "positive", adaptive_bound_column(n, mean, std, F.lit(0.375), F.lit(0.125)).alias("clusters"))
 
 
 def retain_topk(s, d):
@@ -464,7 +482,7 @@ def index_classify(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, limit_reads,
+        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, fastq_ranges, limit_reads,
         kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, sketch_rows, union_sketch, sketch_similarity, counter_rows, cosine_log_similarity, jaccard, pair_sample, pair_classes,
         calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,

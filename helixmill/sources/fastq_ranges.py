@@ -149,8 +149,8 @@ def followed(f: dict, kind: int, value: int) -> tuple[int, int, int, int]:
 
 # ---- the passes ----
 
-def range_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, block, line_no, line) of files that Spark can split: block is the number of a range's first line, numbers go up from the split's first byte on."""
+def range_lines(spark: SparkSession, paths: list[str], most: int = RANGE_LINES) -> DataFrame:
+    """(path, block, line_no, line) of files that Spark can split: block is the number of a range's first line, numbers go up from the split's first byte on; a range has `most` lines at most."""
 
     def number(batches):
         before, at = None, 0
@@ -162,7 +162,7 @@ def range_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if (names[a], starts[a]) != before:
                     before, at = (names[a], starts[a]), 0
                 places = np.arange(at, at + b - a)
-                numbers[a:b], blocks[a:b] = starts[a] + places, starts[a] + places // RANGE_LINES * RANGE_LINES
+                numbers[a:b], blocks[a:b] = starts[a] + places, starts[a] + places // most * most
                 at += b - a
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(blocks), pa.array(numbers), batch.column("value")], names=["path", "block", "line_no", "line"])
 
