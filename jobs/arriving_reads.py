@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from helixmill.functions.lineage import scratch
 from helixmill.operators.classification import accepted, best_by_hits
 from helixmill.operators.minimizers import minimizer_sets, minimizers
-from jobs.common import arguments, log, said, sequences, settings_of, table_at
+from helixmill.streaming import totals
+from helixmill.streaming.totals import table_at
+from jobs.common import arguments, log, said, sequences, settings_of
 
 READS = "read_id string, genome_id long, hits long, n_minimizers long, confidence double, accepted boolean, batch int, source string"
 PANEL = "genome_id long, mz long"
-#: mz is null in a row that counts a genome's reads; both are null in the row that has the batch's number.
+#: mz is null in a row that counts a genome's reads.
 TOTALS = "genome_id long, mz long, n long"
 SUMMARY = "genome_id long, n_reads long, n_distinct long, n_hits long, coverage double, depth double"
 
@@ -65,13 +67,6 @@ def classified(sets: DataFrame, panel: DataFrame, threshold: float, keep) -> tup
     return rows, new.unionByName(counted)
 
 
-def totals_at(spark: SparkSession, output: str, number: int) -> DataFrame | None:
-    """The totals that batch `number` has written, or None."""
-    held = table_at(spark, f"{output}/totals/half={number % 2}", TOTALS)
-    mark = held.where("genome_id is null").first() if held is not None else None
-    return held.where("genome_id is not null") if mark is not None and mark["n"] == number else None
-
-
 def take_batch(batch: DataFrame, number: int, reference: str, output: str, settings: dict) -> None:
     spark = batch.sparkSession
     with scratch(spark) as keep:
@@ -84,24 +79,19 @@ def take_batch(batch: DataFrame, number: int, reference: str, output: str, setti
         sets = keep(minimizer_sets(reads, ["read_key", "read_id", "source"], "seq", settings["k"]))
         rows, new = classified(sets, panel, settings["threshold"], keep)
         rows.repartitionByRange("source", "read_id").write.mode("overwrite").partitionBy("source").parquet(f"{output}/reads/batch={number}")
-        before = totals_at(spark, output, number - 1)
-        if before is None and number > 0:
-            raise RuntimeError(f"{output}/totals has nothing of batch {number - 1}, which the checkpoint says is done")
-        summed = (new if before is None else before.unionByName(new)).groupBy("genome_id", "mz").agg(F.sum("n").alias("n"))
-        mark = spark.range(1).select(F.lit(None).cast("long").alias("genome_id"), F.lit(None).cast("long").alias("mz"), F.lit(number).cast("long").alias("n"))
-        summed.unionByName(mark).write.mode("overwrite").parquet(f"{output}/totals/half={number % 2}")
+        before = totals.before(spark, f"{output}/totals", number, TOTALS)
+        both = new if before is None else before.unionByName(new)
+        totals.put(both.groupBy("genome_id", "mz").agg(F.sum("n").alias("n")), f"{output}/totals", number)
         log.info("batch %d: read %d rows, wrote %d reads", number, batch.count(), sets.count())
 
 
 def summary_of(spark: SparkSession, output: str) -> DataFrame | None:
-    """The summary over all batches so far, from the half of the totals that the last one wrote; None before the first."""
-    halves = [table_at(spark, f"{output}/totals/half={k}", TOTALS) for k in (0, 1)]
-    marks = [(r["n"], k) for k, held in enumerate(halves) if held is not None and (r := held.where("genome_id is null").first()) is not None]
-    if not marks:
+    """The summary over all batches so far, None before the first."""
+    held = totals.latest(spark, f"{output}/totals", TOTALS)
+    if held is None:
         return None
-    totals = totals_at(spark, output, max(marks)[0])
     sizes = spark.read.schema(PANEL).parquet(f"{output}/panel").groupBy("genome_id").agg(F.count("*").alias("n_minimizers"))
-    known = totals.groupBy("genome_id").agg(F.sum(F.when(F.col("mz").isNull(), F.col("n"))).alias("n_reads"), F.count("mz").alias("n_distinct"), F.sum(F.when(F.col("mz").isNotNull(), F.col("n"))).alias("n_hits"))
+    known = held.groupBy("genome_id").agg(F.sum(F.when(F.col("mz").isNull(), F.col("n"))).alias("n_reads"), F.count("mz").alias("n_distinct"), F.sum(F.when(F.col("mz").isNotNull(), F.col("n"))).alias("n_hits"))
     return known.join(sizes, "genome_id").select("genome_id", "n_reads", "n_distinct", "n_hits", (100.0 * F.col("n_distinct") / F.col("n_minimizers")).alias("coverage"), (F.col("n_hits") / F.col("n_distinct")).alias("depth"))
 
 

@@ -7,9 +7,7 @@ import logging
 import os
 import tomllib
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, functions as F
 
 from helixmill.functions.sequences import as_dna, clean_sequence
 
@@ -47,15 +45,5 @@ def sequences(table: DataFrame, settings: dict) -> DataFrame:
     return table.select(F.col(f"`{settings['id']}`").alias("genome_id"), source.alias("source"), (as_dna(text) if settings["alphabet"] == "text" else clean_sequence(text)).alias("seq"))
 
 
-def table_at(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
-    """The Parquet table, or None if nothing is there."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def said(what: str, path: str, rows: int) -> None:
     log.info("%s %d rows: %s", what, rows, path)

@@ -14,7 +14,7 @@ from helixmill.plans.classify import classify, write_csv
 from helixmill.plans.index import build_index, divided, open_index
 from helixmill.sources.fasta import is_genome_file, read_fasta
 from helixmill.sources.fastq import parse_fastq, read_fastq
-from helixmill.streaming.reads import classify_arriving
+from helixmill.streaming.reads import classify_arriving, genome_totals
 
 
 def bases(rng, n):
@@ -318,6 +318,29 @@ def test_streaming(spark, made, tmp_path):
     check_rows(spark.read.parquet(str(tmp_path / "out/reads")).collect(), reads)
 
 
+@pytest.mark.parametrize("lg", [None, 14])
+def test_streamed_totals(spark, made, tmp_path, lg):
+    """Totals over three batches, the last of them run again, are those of one batch with all reads."""
+    folder, index, _, _, _ = made
+    lines = gzip.open(folder / "reads.fastq.gz", "rt").read().split("\n@")
+    records = [lines[0], *["@" + x for x in lines[1:]]]
+    arriving = tmp_path / "in"
+    arriving.mkdir()
+    run = lambda name: classify_arriving(spark, str(arriving), index, str(tmp_path / name), str(tmp_path / f"{name}-marks"), lg=lg, files=1 if name == "many" else 100).awaitTermination()
+    rows = lambda name: sorted(map(tuple, genome_totals(spark, str(tmp_path / name), index, lg).collect()))
+    assert genome_totals(spark, str(tmp_path / "many"), index, lg) is None
+    for k in range(3):
+        (arriving / f"{k}.fastq").write_text("\n".join(records[k::3]) + "\n")
+        run("many")
+    want = rows("many")
+    (tmp_path / "many-marks/commits/2").unlink()
+    (tmp_path / "many-marks/commits/.2.crc").unlink(missing_ok=True)
+    run("many")
+    assert rows("many") == want
+    run("once")
+    assert rows("once") == want and len(want) > 20
+
+
 def test_refusals(spark, made, tmp_path):
     folder, index, _, genomes, _ = made
     with pytest.raises(ValueError, match="10 genomes"):
