@@ -60,14 +60,15 @@ def union_estimates(members: DataFrame, sketch: DataFrame, of: str, keys: list[s
     return below.groupBy(*keys, "theta").agg(F.count("*").alias("n")).select(*keys, estimate(F.col("n"), F.col("theta")).alias("estimate"))
 
 
-def shared_estimates(pairs: DataFrame, sketch: DataFrame, of: str, k: int = BOTTOM_K) -> DataFrame:
-    """(a, b, n_a, n_b, shared): estimates of the sets' sizes and of what they share, for pairs (a, b) of sets."""
+def shared_estimates(pairs: DataFrame, sketch: DataFrame, of: str, k: int = BOTTOM_K, zeros: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, shared): estimates of the sets' sizes and of what they share, for pairs (a, b) of sets. zeros: pairs that share nothing are rows too."""
     sizes = thresholds(sketch, [of], k)
     side = lambda x: sizes.select(F.col(of).alias(x), F.col("theta").alias(f"theta_{x}"), F.col("estimate").alias(f"n_{x}"))
     known = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("theta", F.least("theta_a", "theta_b"))
     rows = known.join(sketch.select(F.col(of).alias("a"), "u"), "a").join(sketch.select(F.col(of).alias("b"), "u"), ["b", "u"]).where("theta is null or u < theta")
     met = rows.groupBy("a", "b").agg(F.count("*").alias("met"))
-    return known.join(met, ["a", "b"]).select("a", "b", "n_a", "n_b", estimate(F.col("met"), F.col("theta")).alias("shared"))
+    both = known.join(met, ["a", "b"], "left" if zeros else "inner").withColumn("met", F.coalesce("met", F.lit(0).cast("long")))
+    return both.select("a", "b", "n_a", "n_b", estimate(F.col("met"), F.col("theta")).alias("shared"))
 
 
 # ---- counters ----
