@@ -126,9 +126,10 @@ def levels_of(spark: SparkSession, tree: Tree) -> DataFrame:
     return spark.createDataFrame(rows, "filter_id int, level int")
 
 
-def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29, fpp: float = DEFAULT_FPP, seed: int = SEED, max_set: int = MOST_MINIMIZERS, max_filter: int | None = None) -> dict:
+def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29, fpp: float = DEFAULT_FPP, seed: int = SEED, max_set: int = MOST_MINIMIZERS, max_filter: int | None = None, sets: DataFrame | None = None) -> dict:
     """Builds an index of genomes (genome_id, name, seq) at path, which must not hold one; returns the metadata, with the seconds of each phase.
 
+    sets: the genomes' distinct minimizers (genome_id, mz) for k, where they are made already, as from files in ranges; no seq is needed then.
     Genomes are told apart by genome_id, which must not repeat. A cluster whose sets have more minimizers together than a
     filter takes (max_filter) is divided into sibling branches.
     """
@@ -137,7 +138,7 @@ def build_index(spark: SparkSession, genomes: DataFrame, path: str, k: int = 29,
     if twice := genomes.groupBy("genome_id").agg(F.count("*").alias("n")).where("n > 1").head():
         raise ValueError(f"genome {twice['genome_id']} is there {twice['n']} times")
     phases = Phases()
-    written = _write(minimizers(genomes, "genome_id", "seq", k), path, "genome_minimizers")
+    written = _write(minimizers(genomes, "genome_id", "seq", k) if sets is None else sets.select("genome_id", "mz"), path, "genome_minimizers")
     mz, genomes = divided(written, genomes, max_set)
     if mz is not written:
         mz = _write(mz, path, "divided_minimizers")
