@@ -6,15 +6,22 @@ k - 1 of all hashes lie. A union's threshold is the least of its members' ones,
 Registers: of each bucket that a set's hashes fall to, the highest rank (HyperLogLog), a row for each bucket that has one. So a
 counter of 2^31 buckets costs what it holds. Merging is the maximum by bucket.
 
+Slots: a set's signature for Jaccard similarity (SuperMinHash). Every element visits all slots in an order of its own, and a
+slot keeps the least (turn, hash) that came to it; two sets agree in a slot as often as they have elements in common. Only the
+first turns can win where elements are many, so few are made: a set's rows are some times its slots, or its elements.
+
 A hash is the pair of 32-bit hashes that filters use: 63 bits of both for thresholds; the first for buckets (up to 2^31) and
 the second for ranks (1 to 33).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from helixmill.functions.hashing import murmur2_pair
+from helixmill.functions.hashing import murmur2, murmur2_pair
+from helixmill.functions.lineage import cut
 
 BOTTOM_K = 4096
 RANGE = float(1 << 63)
@@ -94,3 +101,46 @@ def counter_estimates(held: DataFrame, by: list[str], lg: int) -> DataFrame:
     raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.col("sum") + empty)
     few = F.lit(m) * F.ln(F.lit(m) / empty)
     return own.select(*by, F.round(F.when((raw <= 2.5 * m) & (empty > 0), few).otherwise(raw)).cast("long").alias("n_distinct"), "n")
+
+
+# ---- slots ----
+
+#: Turns beyond those that leave a slot of a set empty once in e^SPARE times.
+SPARE = 3
+#: Where the number of a turn meets an element's bits.
+TURN_BIT = 51
+
+
+def _visits(mz: DataFrame, by: list[str], size: int, turns: Column) -> DataFrame:
+    """(by, slot, least): the least visit of each slot in the given number of turns of each element, combined before it is shuffled."""
+    h0, h1 = murmur2_pair(F.col("mz"))
+    own = mz.select(*by, "mz", h0.alias("h0"), h1.bitwiseOR(F.lit(1)).alias("h1"), F.explode(F.sequence(F.lit(0), turns.cast("int") - 1)).alias("turn"))
+    # an odd step visits each of 2**n slots once
+    slot = (F.col("h0") + F.col("turn") * F.col("h1")).bitwiseAND(F.lit(size - 1)).cast("int")
+    rank = murmur2(F.col("mz").bitwiseXOR(F.shiftleft((F.col("turn") + 1).cast("long"), TURN_BIT)), 0)
+    return own.select(*by, slot.alias("slot"), F.shiftleft(F.col("turn").cast("long"), 32).bitwiseOR(rank).alias("visit")).groupBy(*by, "slot").agg(F.min("visit").alias("least"))
+
+
+def slots(mz: DataFrame, by: list[str], size: int = 1024) -> DataFrame:
+    """(by, slot, least): signatures of sets (by, mz; repeated rows count once), size a power of two; mz is read twice and should be kept.
+
+    A slot that any of the first turns reaches is settled by them, since later turns are larger. Sets with a slot that none
+    of them reaches take all turns, so signatures are exact.
+    """
+    if size < 2 or size & (size - 1):
+        raise ValueError(f"{size} slots, not a power of two")
+    sizes = mz.groupBy(*by).agg(F.count("*").alias("n"))
+    turns = F.least(F.lit(size), F.ceil(F.lit(size * (math.log(size) + SPARE)) / F.col("n")))
+    first = cut(_visits(mz.join(sizes, by), by, size, turns))
+    short = first.groupBy(*by).agg(F.count("*").alias("held")).where(F.col("held") < size).select(*by)
+    rest = _visits(mz.join(short, by, "left_semi"), by, size, F.lit(size))
+    return first.join(short, by, "left_anti").unionByName(rest)
+
+
+def slot_similarity(pairs: DataFrame, signature: DataFrame, of: str, size: int) -> DataFrame:
+    """(a, b, equal, jaccard) of pairs (a, b) by signatures (of, slot, least): the share of slots that agree; 0 too."""
+    side = lambda x: signature.select(F.col(of).alias(x), "slot", "least")
+    own = pairs.select("a", "b")
+    met = own.join(side("a"), "a").join(side("b"), ["b", "slot", "least"]).groupBy("a", "b").agg(F.count("*").alias("equal"))
+    equal = F.coalesce("equal", F.lit(0).cast("long"))
+    return own.join(met, ["a", "b"], "left").select("a", "b", equal.alias("equal"), (equal / size).alias("jaccard"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from helixmill.functions.hashing import FMIX, GOLDEN
 from helixmill.functions.parameters import DEFAULT_FPP
 from helixmill.functions.sequences import LETTERS, NUCLEOTIDES
-from helixmill.plans.queries import COUNTER_LG, DOCUMENT_FILTERS, FILE_IDS, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, RETAINED, SEED, SKETCH_K, THRESHOLD
+from helixmill.plans.queries import COUNTER_LG, DOCUMENT_FILTERS, FILE_IDS, FEW_K, FIRST_GENOMES, FIRST_READS, K, PATH_ENDINGS, READ_BASES, RETAINED, SEED, SKETCH_K, SLOTS, THRESHOLD
 
 M32, MURMUR = (1 << 32) - 1, 0x5BD1E995
 
@@ -139,6 +139,16 @@ ul AS (SELECT filter_id, min(theta) AS least FROM th JOIN g USING (genome_id) GR
 ut AS (SELECT filter_id, least(any_value(least), CASE WHEN count(*) = {SKETCH_K} THEN max(u) END) AS theta FROM un JOIN ul USING (filter_id) GROUP BY filter_id)"""
 SKETCHED_PAIRS = f"kp AS (SELECT a, b, least(x.theta, y.theta) AS theta, {estimate('x.n - CASE WHEN x.theta IS NULL THEN 0 ELSE 1 END', 'x.theta')} AS n_a, {estimate('y.n - CASE WHEN y.theta IS NULL THEN 0 ELSE 1 END', 'y.theta')} AS n_b FROM pairs JOIN th x ON x.genome_id = a JOIN th y ON y.genome_id = b)"
 
+SIGNED = ",\n".join([
+    f"vt AS (SELECT genome_id, t, (h0 + t * (h1 | 1)) & {SLOTS - 1} AS slot, xor(mz, (t + 1) << 51) AS mz FROM hg, range({SLOTS}) turns(t))",
+    murmur_steps("vt", "genome_id, slot, t", "vh"),
+    "sg AS (SELECT genome_id, slot, min((t << 32) | h0) AS least FROM vh GROUP BY 1, 2)",
+    "eq AS (SELECT a, b, count(*) AS equal FROM pairs JOIN sg x ON x.genome_id = a JOIN sg y ON y.genome_id = b AND y.slot = x.slot AND y.least = x.least GROUP BY 1, 2)",
+])
+FEW = f"""fk AS (SELECT genome_id, u FROM sk QUALIFY row_number() OVER (PARTITION BY genome_id ORDER BY u) <= {FEW_K}),
+ft AS (SELECT genome_id, CASE WHEN count(*) = {FEW_K} THEN max(u) END AS theta FROM fk GROUP BY genome_id),
+fs AS (SELECT DISTINCT a, b FROM pairs JOIN ft s ON s.genome_id = a JOIN ft t ON t.genome_id = b JOIN fk x ON x.genome_id = a JOIN fk y ON y.genome_id = b AND y.u = x.u WHERE least(s.theta, t.theta) IS NULL OR x.u < least(s.theta, t.theta))"""
+
 
 def registers_sql(source: str, key: str) -> str:
     return f"reg AS (SELECT {key}, h0 & {(1 << COUNTER_LG) - 1} AS bucket, max(CASE WHEN h1 = 0 THEN 33 ELSE 33 - length(bin(h1)) END) AS rank, count(*) AS n FROM {source} GROUP BY 1, 2)"
@@ -212,6 +222,7 @@ ORACLES = {
     "genome_file_filter": f"SELECT path FROM (SELECT source || '/doc_' || doc_id || list_extract([{ENDING_LIST}], CAST(doc_id % {len(PATH_ENDINGS)} + 1 AS INTEGER)) AS path FROM documents) WHERE regexp_matches(lower(path), '\\.(fna|fa|fasta|fas)(\\.gz)?$') AND NOT regexp_matches(lower(path), '_cds_from_genomic|_rna_from_genomic|_protein|translated_cds|\\.faa')",
     "clean_seq": f"SELECT doc_id, length({CLEAN.format('text')}) AS n_bases, md5({CLEAN.format('text')}) AS seq_md5 FROM documents",
     "chunk_equiv": using(G_MZ) + "SELECT genome_id, count(*) AS n_minimizers, CAST(sum(mz % 1000003) AS BIGINT) AS mz_sum FROM gm GROUP BY genome_id",
+    "fasta_ranges": using(G_MZ, "own AS (SELECT genome_id, count(*) AS n, CAST(sum(mz % 1000003) AS BIGINT) AS s FROM gm GROUP BY genome_id)") + "SELECT name, length(seq) AS n_bases, coalesce(n, 0) AS n_minimizers, coalesce(s, 0) AS mz_sum FROM g LEFT JOIN own USING (genome_id)",
     "limit_genomes": using(GENOMES) + f"SELECT genome_id, name, length(seq) AS n_bases FROM g WHERE length(seq) >= {K} ORDER BY genome_id LIMIT {FIRST_GENOMES}",
     "scan_fastq": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
     "fastq_ranges": using(GENOMES) + f"SELECT 'src' || filter_id || '_' || genome_id // {FILE_IDS} AS path, row_number() OVER (PARTITION BY filter_id, genome_id // {FILE_IDS} ORDER BY genome_id) - 1 AS read_ord, '@' || genome_id AS read_id, length(seq) AS n_bases, md5(seq) AS seq_md5 FROM g WHERE length(seq) >= {K}",
@@ -269,6 +280,9 @@ FROM r LEFT JOIN rn USING (rk) LEFT JOIN top2 USING (rk) LEFT JOIN gg USING (gen
     "sketch_rows": using(SKETCHES) + "SELECT genome_id, count(*) AS n, min(u) AS least, max(u) AS greatest, CAST(sum(u % 1000003) AS BIGINT) AS u_sum FROM sk GROUP BY genome_id",
     "union_sketch": using(SKETCHES, THRESHOLDS, UNIONS) + f"SELECT filter_id, {estimate('count(*)', 'theta')} AS estimate FROM un JOIN ut USING (filter_id) WHERE theta IS NULL OR u < theta GROUP BY filter_id, theta",
     "sketch_similarity": using(SKETCHES, THRESHOLDS, PAIRS, SKETCHED_PAIRS) + f"SELECT a, b, n_a, n_b, {estimate('count(*)', 'theta')} AS shared FROM kp JOIN sk x ON x.genome_id = a JOIN sk y ON y.genome_id = b AND y.u = x.u WHERE theta IS NULL OR x.u < theta GROUP BY a, b, n_a, n_b, theta",
+    "slot_rows": using(SKETCHES, PAIRS, SIGNED) + "SELECT genome_id, count(*) AS n_slots, max(least) AS last, CAST(sum((least % 1000003) * (slot + 1)) AS BIGINT) AS place_sum FROM sg GROUP BY genome_id",
+    "slot_jaccard": using(SKETCHES, PAIRS, SIGNED) + f"SELECT a, b, equal, round(equal / {float(SLOTS)}, 9) AS jaccard FROM eq",
+    "pair_classes_sketch": using(SKETCHES, PAIRS, SIGNED, FEW) + "SELECT p.a, p.b, CASE WHEN fs.a IS NOT NULL THEN 2 WHEN eq.a IS NOT NULL THEN 3 ELSE 1 END AS class FROM pairs p LEFT JOIN fs ON fs.a = p.a AND fs.b = p.b LEFT JOIN eq ON eq.a = p.a AND eq.b = p.b",
     "counter_rows": using(G_MZ, F_MZ, murmur_steps("fm", "filter_id, mz", "hm"), registers_sql("hm", "filter_id")) + "SELECT filter_id, count(*) AS held, CAST(sum(rank) AS BIGINT) AS rank_sum, CAST(sum(bucket * rank) AS BIGINT) AS place_sum, CAST(sum(n) AS BIGINT) AS n FROM reg GROUP BY filter_id",
     "genome_coverage_sketch": using(SUMMARY, murmur_steps("own", "genome_id, mz", "hm"), registers_sql("hm", "genome_id")) + f"SELECT genome_id, {counter_sql()} AS n_distinct FROM (SELECT genome_id, sum(pow(2.0, -rank)) AS s, count(*) AS held FROM reg GROUP BY genome_id)",
     "genome_coverage": using(SUMMARY) + "SELECT genome_id, n_distinct, n_hits FROM su",

@@ -18,17 +18,20 @@ from helixmill.operators import bloom, classification, clustering, similarity as
 from helixmill.operators.minimizers import chunk_sequences, minimizers, mmers
 from helixmill.plans.classify import classify_sets, read_sets
 from helixmill.sources.fasta import by_size, is_genome_file, joined_contigs, records_of
+from helixmill.sources.fasta_blocks import genome_sets
 from helixmill.sources.fastq import first_reads, reads_of
 from helixmill.sources.fastq_ranges import range_lines, reads_of_ranges
 
 K, READ_BASES = 29, 300
 #: Of the FASTQ examples: bases of a line, and document ids that may share a file.
 LINE_BASES, FILE_IDS = 100, 64
-#: Lines of a range, where files are parsed in ranges.
-RANGE_LINES = 700
+#: Lines of a range, where files are parsed in ranges; bases of a piece of one.
+RANGE_LINES, PIECE = 700, 1000
 SEED = 9001
 #: Hashes of a sketch, and the logarithm of a counter's registers.
 SKETCH_K, COUNTER_LG = 4096, 12
+#: Slots of a signature, and hashes of sketches that leave pairs uncertain.
+SLOTS, FEW_K = 64, 16
 FIRST_GENOMES, FIRST_READS, RETAINED = 50, 100, 7
 THRESHOLD = 0.5
 #: Endings given to documents' numbers, to make paths of them.
@@ -151,6 +154,17 @@ def fastq_ranges(s, d):
     return out.select(F.regexp_extract("path", "path=([^/]+)/", 1).alias("path"), "read_ord", "read_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("seq_md5"))
 
 
+def fasta_ranges(s, d):
+    """Genomes written as FASTA files and made to sets in ranges and pieces, none of which holds a genome."""
+    folder = f"{shared_dir(s)}/helixmill-fasta-{uuid.uuid4().hex}"
+    wrapped = F.regexp_replace("seq", f"(.{{{LINE_BASES}}})(?=.)", "$1\n")
+    genomes(s, d).select("filter_id", F.concat("name", F.lit("\n"), wrapped).alias("value")).write.partitionBy("filter_id").text(folder)
+    found, sets = genome_sets(range_lines(s, by_size(s, folder, -1)[1], RANGE_LINES), K, piece=PIECE)
+    held = sets.groupBy("path", "record").agg(F.count("*").alias("n_minimizers"), F.sum(F.col("mz") % 1000003).alias("mz_sum"))
+    none = F.lit(0).cast("long")
+    return found.join(held, ["path", "record"], "left").select(genome_name(F.col("header")).alias("name"), "n_bases", F.coalesce("n_minimizers", none).alias("n_minimizers"), F.coalesce("mz_sum", none).alias("mz_sum"))
+
+
 def limit_reads(s, d):
     return first_reads(reads(s, d), FIRST_READS, ("read_id",)).select("read_id", F.length("seq").cast("long").alias("n_bases"))
 
@@ -214,6 +228,22 @@ def sketch_similarity(s, d):
     return sketches.shared_estimates(pair_sample(s, d), cut(sketches.bottom_k(genome_mz(s, d), ["genome_id"], SKETCH_K)), "genome_id", SKETCH_K)
 
 
+def slot_rows(s, d):
+    """Signatures of slots, as digests."""
+    return sketches.slots(cut(genome_mz(s, d)), ["genome_id"], SLOTS).groupBy("genome_id").agg(F.count("*").alias("n_slots"), F.max("least").alias("last"), F.sum((F.col("least") % 1000003) * (F.col("slot") + 1)).alias("place_sum"))
+
+
+def slot_jaccard(s, d):
+    """The sampled pairs whose signatures agree somewhere, and by how much."""
+    signature = cut(sketches.slots(cut(genome_mz(s, d)), ["genome_id"], SLOTS))
+    return sketches.slot_similarity(pair_sample(s, d), signature, "genome_id", SLOTS).where("equal > 0").select("a", "b", "equal", F.round("jaccard", 9).alias("jaccard"))
+
+
+def pair_classes_sketch(s, d):
+    """Related, confirmed zero and uncertain pairs, by small sketches and signatures."""
+    return sim.sketched_classes(pair_sample(s, d), cut(genome_mz(s, d)), FEW_K, SLOTS)
+
+
 def counter_rows(s, d):
     """Registers of the sources' minimizers, as digests."""
     return sketches.registers(filter_mz(s, d), ["filter_id"], COUNTER_LG).groupBy("filter_id").agg(F.count("*").alias("held"), F.sum("rank").alias("rank_sum"), F.sum(F.col("bucket") * F.col("rank")).alias("place_sum"), F.sum("n").cast("long").alias("n"))
@@ -482,8 +512,8 @@ def index_classify(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, scan_fastq, fastq_lenient, fastq_ranges, limit_reads,
-        kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, sketch_rows, union_sketch, sketch_similarity, counter_rows, cosine_log_similarity, jaccard, pair_sample, pair_classes,
+        scan_fasta, contig_concat, genome_file_filter, clean_seq, chunk_equiv, limit_genomes, fasta_ranges, scan_fastq, fastq_lenient, fastq_ranges, limit_reads,
+        kmer_params, canonical_mmers, fmix64, csv_escape, genome_card, theta_card, sketch_rows, union_sketch, sketch_similarity, slot_rows, slot_jaccard, pair_classes_sketch, counter_rows, cosine_log_similarity, jaccard, pair_sample, pair_classes,
         calibration_counts, similarity_stats, positive_percentile, cluster_union_card, growth_weight, leader_limit, adaptive_bound, retain_topk,
         best_cluster, partition_check, tree_paths, bloom_sizing, bloom_probes, bloom_bits, bloom_contains, bloom_estimate, bloom_fpp,
         filter_capacity, cluster_elements, read_minimizers, node_hits, match_score, best_child, classify_reads, accept_reads, class_reads,
