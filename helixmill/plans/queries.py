@@ -160,9 +160,9 @@ def fasta_ranges(s, d):
     wrapped = F.regexp_replace("seq", f"(.{{{LINE_BASES}}})(?=.)", "$1\n")
     genomes(s, d).select("filter_id", F.concat("name", F.lit("\n"), wrapped).alias("value")).write.partitionBy("filter_id").text(folder)
     found, sets = genome_sets(range_lines(s, by_size(s, folder, -1)[1], RANGE_LINES), K, piece=PIECE)
-    held = sets.groupBy("path", "record").agg(F.count("*").alias("n_minimizers"), F.sum(F.col("mz") % 1000003).alias("mz_sum"))
+    held = sets.groupBy("owner", "local").agg(F.count("*").alias("n_minimizers"), F.sum(F.col("mz") % 1000003).alias("mz_sum"))
     none = F.lit(0).cast("long")
-    return found.join(held, ["path", "record"], "left").select(genome_name(F.col("header")).alias("name"), "n_bases", F.coalesce("n_minimizers", none).alias("n_minimizers"), F.coalesce("mz_sum", none).alias("mz_sum"))
+    return found.join(held, ["owner", "local"], "left").select(genome_name(F.col("header")).alias("name"), "n_bases", F.coalesce("n_minimizers", none).alias("n_minimizers"), F.coalesce("mz_sum", none).alias("mz_sum"))
 
 
 def limit_reads(s, d):

@@ -2,7 +2,7 @@
 
 The k - 1 bases of a window may lie in two ranges, or in more where ranges are short. So a piece carries the k - 2 bases that
 follow it: within a range they are at hand; at its end they come from the heads of the ranges behind it, of which each range
-gives one row. The sets of pieces are then one set by genome. Bases aren't shuffled, and a task holds a piece at a time.
+gives one row. The sets of pieces are then one set by genome. A task holds a piece at a time, and no window is made over bases.
 
 Limits: a line is one string, so it ends at 2 GB. A gzipped file can't be split: one task reads it, in pieces too.
 """
@@ -119,33 +119,51 @@ def pieces_of(lines: DataFrame, k: int, joined: bool = False, piece: int = PIECE
     return lines.select("path", "block", line.alias("line")).mapInArrow(run, PIECES)
 
 
-def with_halos(pieces: DataFrame, k: int, joined: bool = False) -> DataFrame:
-    """(path, record, header, own, seq) of kept pieces: record counts a file's headers (1 for all where contigs are joined), seq has the bases behind it.
+def range_facts(pieces: DataFrame, k: int, joined: bool = False) -> DataFrame:
+    """What each range has to know of the others, a row for each: (path, block, number, before, owner, owned, behind).
 
-    Text before a file's first header is skipped.
+    before: headers in the file's ranges before it; (owner, owned): the key of the genome that its first bases go on with, by the
+    range of its header and the place there; behind: the bases that follow the range, up to k - 2.
     """
-    ranges = pieces.where("head is not null").select("path", "block", "head", "closed", "headers")  # a row for each range
+    ranges = pieces.where("head is not null").select("path", "block", "head", "closed", "headers", F.monotonically_increasing_id().alias("number"))
     order = Window.partitionBy("path").orderBy("block")
-    before = ranges.select("path", "block", (F.sum("headers").over(order) - F.col("headers")).alias("before"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     # ranges that neither go on nor end anything are passed over, so each of the next k - 2 others has a base at least or ends the sequence
-    telling = ranges.where("closed or head <> ''").select("path", "block", F.struct("head", "closed").alias("next"), F.lit(True).alias("told"))
-    asking = ranges.select("path", "block").join(telling, ["path", "block"], "left")
+    told = F.col("closed") | (F.col("head") != "")
+    begun = F.when(F.col("headers") > 0, F.struct("number", F.lit(1).cast("long").alias("local") if joined else F.col("headers").alias("local")))
+    owner = F.first(begun, ignorenulls=True) if joined else F.last(begun, ignorenulls=True)
+    turned = ranges.select(
+        "path", "block", "number", "headers", F.when(told, F.struct("head", "closed")).alias("next"), F.count_if(told).over(order).alias("turn"),
+        F.coalesce(F.sum("headers").over(earlier), F.lit(0).cast("long")).alias("before"), owner.over(earlier).alias("begun"),
+    )
     ahead = F.collect_list("next").over(Window.partitionBy("path").orderBy("turn").rangeBetween(1, max(1, k - 2)))
-    turned = asking.withColumn("turn", F.count("told").over(order))
-    joined_heads = F.aggregate(
+    behind = F.aggregate(
         "ahead",
         F.struct(F.lit("").alias("text"), F.lit(False).alias("closed")),
         lambda acc, x: F.when(acc["closed"], acc).otherwise(F.struct(F.concat(acc["text"], x["head"]).alias("text"), x["closed"].alias("closed"))),
         lambda acc: acc["text"],
     )
-    behind = turned.withColumn("ahead", ahead).select("path", "block", joined_heads.alias("behind"))
-    known = pieces.where("head is null").join(before.join(behind, ["path", "block"]), ["path", "block"]).withColumn("record", F.col("before") + F.col("local")).where("record > 0")
+    return turned.withColumn("ahead", ahead).select("path", "block", "number", "before", F.col("begun.number").alias("owner"), F.col("begun.local").alias("owned"), behind.alias("behind"))
+
+
+def with_halos(pieces: DataFrame, facts: DataFrame, joined: bool = False) -> DataFrame:
+    """(owner, local, path, record, header, own, seq) of pieces: (owner, local) is a genome's key, record counts a file's headers (1 for all where contigs are joined), seq has the bases behind it.
+
+    Text before a file's first header is skipped.
+    """
+    known = pieces.where("head is null").join(facts, ["path", "block"]).withColumn("record", F.col("before") + F.col("local")).where("record > 0")
+    goes_on = (F.col("before") > 0) if joined else F.col("local") == 0
+    one = F.lit(1).cast("long")
     seq = F.when(F.col("need") > 0, F.concat("seq", F.expr("substring(behind, 1, need)"))).otherwise(F.col("seq"))
-    return known.select("path", F.lit(1).cast("long").alias("record") if joined else "record", F.when(F.col("record") == 1, F.col("header")).alias("header") if joined else "header", "own", seq.alias("seq"))
+    return known.select(
+        F.when(goes_on, F.col("owner")).otherwise(F.col("number")).alias("owner"),
+        F.when(goes_on, F.col("owned")).otherwise(one if joined else F.col("local")).alias("local"),
+        "path", (one if joined else F.col("record")).alias("record"), (F.when(F.col("record") == 1, F.col("header")) if joined else F.col("header")).alias("header"), "own", seq.alias("seq"),
+    )
 
 
 def piece_minimizers(pieces: DataFrame, k: int) -> DataFrame:
-    """(path, record, mz) of pieces with halos: those of all windows that begin in a piece."""
+    """(owner, local, mz) of pieces with halos: those of all windows that begin in a piece."""
     k, step, m = kmer_parameters(k)
 
     def run(batches):
@@ -154,7 +172,7 @@ def piece_minimizers(pieces: DataFrame, k: int) -> DataFrame:
 
             def made():
                 rows = pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in sets]))
-                return pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("path", "record")] + [pa.array(np.concatenate(sets))], names=["path", "record", "mz"])
+                return pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("owner", "local")] + [pa.array(np.concatenate(sets))], names=["owner", "local", "mz"])
 
             for i, text in enumerate(batch.column("seq")):
                 found = np.unique(window_minima(canonical_mmers(np.frombuffer(text.as_py().encode("ascii", "replace"), np.uint8), m), step))
@@ -167,16 +185,20 @@ def piece_minimizers(pieces: DataFrame, k: int) -> DataFrame:
             if sets:
                 yield made()
 
-    return pieces.select("path", "record", "seq").where(F.length("seq") >= k - 1).mapInArrow(run, "path string, record long, mz long")
+    return pieces.select("owner", "local", "seq").where(F.length("seq") >= k - 1).mapInArrow(run, "owner long, local long, mz long")
 
 
 def genome_sets(lines: DataFrame, k: int = 29, joined: bool = False, piece: int = PIECE_BASES, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
-    """(path, record, header, n_bases) of all genomes, and (path, record, mz) of their sets, from ranges of lines. A genome of fewer than k bases has no minimizers."""
+    """(owner, local, path, record, header, n_bases) of all genomes, and (owner, local, mz) of their sets, from ranges of lines.
+
+    A genome's key is two numbers, so no path stands beside each minimizer. A genome of fewer than k bases has no minimizers.
+    """
     k, _, _ = kmer_parameters(k)
-    pieces = with_halos(keep(pieces_of(lines, k, joined, piece)), k, joined)
-    genomes = keep(pieces.groupBy("path", "record").agg(F.max("header").alias("header"), F.sum("own").alias("n_bases")))
-    long_enough = genomes.where(F.col("n_bases") >= k).select("path", "record")
-    return genomes, piece_minimizers(pieces, k).join(long_enough, ["path", "record"], "left_semi").distinct()
+    kept = keep(pieces_of(lines, k, joined, piece))
+    pieces = with_halos(kept, keep(range_facts(kept, k, joined)), joined)
+    genomes = keep(pieces.groupBy("owner", "local").agg(F.max("path").alias("path"), F.max("record").alias("record"), F.max("header").alias("header"), F.sum("own").alias("n_bases")))
+    short = genomes.where(F.col("n_bases") == k - 1).select("owner", "local")  # a window has k - 1 bases; shorter ones have none
+    return genomes, piece_minimizers(pieces, k).join(short, ["owner", "local"], "left_anti").distinct()
 
 
 def read_fasta_sets(spark: SparkSession, path: str, mode: str = "record", limit: int | None = None, k: int = 29, range_size: int = RANGE_LINES, piece: int = PIECE_BASES) -> tuple[DataFrame, DataFrame]:
@@ -189,8 +211,8 @@ def read_fasta_sets(spark: SparkSession, path: str, mode: str = "record", limit:
     lines = range_lines(spark, files, range_size)
     genomes, sets = genome_sets(lines.where(is_genome_file(F.col("path"))) if mode == "file" else lines, k, mode == "file", piece)
     sets = cut(sets)
-    some = genomes.join(sets.select("path", "record").distinct(), ["path", "record"], "left_semi")
+    some = genomes.join(sets.select("owner", "local").distinct(), ["owner", "local"], "left_semi")
     # the key travels in the place of the sequence
-    listed = cut(numbered_genomes(some.withColumn("seq", F.struct("path", "record")), ["path", "record"], limit))
-    keys = listed.select("genome_id", "seq.path", "seq.record")
-    return listed.select("genome_id", "name"), sets.join(keys, ["path", "record"]).select("genome_id", "mz")
+    listed = cut(numbered_genomes(some.withColumn("seq", F.struct("owner", "local")), ["path", "record"], limit))
+    keys = listed.select("genome_id", "seq.owner", "seq.local")
+    return listed.select("genome_id", "name"), sets.join(keys, ["owner", "local"]).select("genome_id", "mz")
