@@ -22,14 +22,15 @@ from helixmill.operators.minimizers import BATCH_MINIMIZERS, INVALID, PIECE_BASE
 from helixmill.sources.fasta import by_size, is_genome_file, numbered_genomes
 from helixmill.sources.fastq_ranges import RANGE_LINES, range_lines
 
-PIECES = "path string, block long, local long, header string, own long, need int, seq string, head string, closed boolean, headers long"
+PIECES = "path string, block long, local long, header string, own long, need int, seq string, head string, closed boolean, headers long, whole boolean"
 
 
 class _Range:
     """Cuts one range's lines into rows of PIECES.
 
     local is how many headers of the range stand before a row; need is how many bases are to come from the ranges behind. The
-    last row has the range's head: its first bases that follow on what is before it, and whether a header ends them.
+    last row has the range's head: its first bases that follow on what is before it, and whether a header ends them. whole: the
+    row has all of its sequence, between two headers of the range.
     """
 
     def __init__(self, path: str, block: int, k: int, joined: bool, piece: int):
@@ -39,9 +40,10 @@ class _Range:
         self.held = 0
         self.waiting: str | None = None  # what stood before the first header, where contigs are joined: its halo is behind it
         self.rows: list[tuple] = []
+        self.alone = False  # nothing is given out of the sequence that the last header began
 
-    def _row(self, local: int, header: str | None, seq: str, own: int, need: int) -> None:
-        self.rows.append((*self.key, local, header, own, need, seq, None, None, None))
+    def _row(self, local: int, header: str | None, seq: str, own: int, need: int, whole: bool = False) -> None:
+        self.rows.append((*self.key, local, header, own, need, seq, None, None, None, whole))
 
     def _take(self) -> str:
         out = "".join(self.parts)
@@ -58,7 +60,7 @@ class _Range:
             self._row(0, None, self.waiting + text[: self.halo], len(self.waiting), 0)
             self.waiting, self.parts, self.held = None, [text], len(text)
         if self.held >= 2 * self.piece + self.halo:
-            text, at = self._take(), 0
+            text, at, self.alone = self._take(), 0, False
             while len(text) - at >= self.piece + self.halo:
                 self._row(self.headers, None, text[at : at + self.piece + self.halo], self.piece, 0)
                 at += self.piece
@@ -66,24 +68,24 @@ class _Range:
 
     def header(self, line: str) -> None:
         if not self.joined:
-            self._flush(0)
-            self.closed = True
+            self._flush(0, self.alone)
+            self.closed = self.alone = True
         elif self.headers == 0 and self.held:
             self.waiting = self._take()
         self.headers += 1
         self._row(self.headers, line, "", 0, 0)
 
-    def _flush(self, need: int) -> None:
+    def _flush(self, need: int, whole: bool = False) -> None:
         text = self._take()
         if self.waiting is not None:
             self._row(0, None, self.waiting + text, len(self.waiting), max(0, self.halo - len(text)))
             self.waiting = None
         if text:
-            self._row(self.headers, None, text, len(text), need)
+            self._row(self.headers, None, text, len(text), need, whole)
 
     def end(self) -> None:
         self._flush(self.halo)
-        self.rows.append((*self.key, 0, None, 0, 0, "", self.head, self.closed, self.headers))
+        self.rows.append((*self.key, 0, None, 0, 0, "", self.head, self.closed, self.headers, False))
 
 
 def pieces_of(lines: DataFrame, k: int, joined: bool = False, piece: int = PIECE_BASES) -> DataFrame:
@@ -147,7 +149,7 @@ def range_facts(pieces: DataFrame, k: int, joined: bool = False) -> DataFrame:
 
 
 def with_halos(pieces: DataFrame, facts: DataFrame, joined: bool = False) -> DataFrame:
-    """(owner, local, path, record, header, own, seq) of pieces: (owner, local) is a genome's key, record counts a file's headers (1 for all where contigs are joined), seq has the bases behind it.
+    """(owner, local, path, record, header, own, seq, whole) of pieces: (owner, local) is a genome's key, record counts a file's headers (1 for all where contigs are joined), seq has the bases behind it.
 
     Text before a file's first header is skipped.
     """
@@ -158,7 +160,7 @@ def with_halos(pieces: DataFrame, facts: DataFrame, joined: bool = False) -> Dat
     return known.select(
         F.when(goes_on, F.col("owner")).otherwise(F.col("number")).alias("owner"),
         F.when(goes_on, F.col("owned")).otherwise(one if joined else F.col("local")).alias("local"),
-        "path", (one if joined else F.col("record")).alias("record"), (F.when(F.col("record") == 1, F.col("header")) if joined else F.col("header")).alias("header"), "own", seq.alias("seq"),
+        "path", (one if joined else F.col("record")).alias("record"), (F.when(F.col("record") == 1, F.col("header")) if joined else F.col("header")).alias("header"), "own", seq.alias("seq"), "whole",
     )
 
 
@@ -191,14 +193,17 @@ def piece_minimizers(pieces: DataFrame, k: int) -> DataFrame:
 def genome_sets(lines: DataFrame, k: int = 29, joined: bool = False, piece: int = PIECE_BASES, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(owner, local, path, record, header, n_bases) of all genomes, and (owner, local, mz) of their sets, from ranges of lines.
 
-    A genome's key is two numbers, so no path stands beside each minimizer. A genome of fewer than k bases has no minimizers.
+    A genome's key is two numbers, so no path stands beside each minimizer; only sets that are made from several pieces are
+    shuffled. A genome of fewer than k bases has no minimizers.
     """
     k, _, _ = kmer_parameters(k)
     kept = keep(pieces_of(lines, k, joined, piece))
     pieces = with_halos(kept, keep(range_facts(kept, k, joined)), joined)
     genomes = keep(pieces.groupBy("owner", "local").agg(F.max("path").alias("path"), F.max("record").alias("record"), F.max("header").alias("header"), F.sum("own").alias("n_bases")))
     short = genomes.where(F.col("n_bases") == k - 1).select("owner", "local")  # a window has k - 1 bases; shorter ones have none
-    return genomes, piece_minimizers(pieces, k).join(short, ["owner", "local"], "left_anti").distinct()
+    done = piece_minimizers(pieces.where(F.col("whole") & (F.length("seq") >= k)), k)
+    parts = piece_minimizers(pieces.where(~F.col("whole")), k).join(short, ["owner", "local"], "left_anti").distinct()
+    return genomes, done.unionByName(parts)
 
 
 def read_fasta_sets(spark: SparkSession, path: str, mode: str = "record", limit: int | None = None, k: int = 29, range_size: int = RANGE_LINES, piece: int = PIECE_BASES) -> tuple[DataFrame, DataFrame]:
