@@ -300,8 +300,9 @@ def union_cardinalities(members: DataFrame, mz: DataFrame, keys: list[str], sket
 
 
 def running_unions(members: DataFrame, mz: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, order, running): distinct minimizers of the members up to each, in order: each counts where it first occurs."""
-    first = members.join(mz, "genome_id").groupBy(*keys, "mz").agg(F.min(order).alias(order))
+    """(keys, order, running): distinct minimizers of the members up to each, in order: each counts where it first occurs. mz that carries the keys isn't joined."""
+    own = mz if set(keys) <= set(mz.columns) else members.join(mz, "genome_id")
+    first = own.groupBy(*keys, "mz").agg(F.min(order).alias(order))
     new = first.groupBy(*keys, order).agg(F.count("*").alias("new"))
     whole = members.select(*keys, order).distinct().join(new, [*keys, order], "left")
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
