@@ -141,3 +141,27 @@ def test_command_lines(tmp_path, spark, panel):
         assert "rows: " in done.stderr
     assert reference_catalog.output_of(spark, str(tmp_path / "catalog")).count() > 10
     assert arriving_reads.output_of(spark, str(tmp_path / "out")).count() > 10
+
+
+@pytest.mark.parametrize("parts,most,members,counted", [(256, 1 << 22, 1 << 12, 1 << 22), (2, 100, 3, 1)])
+def test_catalog_shuffles_packed_parts(spark, parts, most, members, counted):
+    """Rows of minimizers were shuffled three times; now none stands for a minimizer, and sources and genomes meet in any chunks."""
+    rng = random.Random(parts)
+    sets = [(i * 3 + i // 9, f"s{rng.randrange(4)}", sorted({rng.randrange(300) for _ in range(rng.randrange(12))})) for i in range(80)]
+    df = spark.createDataFrame(sets, "row long, source string, mz array<long>").repartitionByRange(3, "row").sortWithinPartitions("row")
+    packed = reference_catalog.in_parts(df, parts, most, members)
+    assert packed.count() <= parts * len(sets)
+    out = reference_catalog.held_by(packed, counted).groupBy("row", "source").sum("n_minimizers", "n_own").collect()
+    holders = {}
+    for row, source, mz in sets:
+        for x in mz:
+            holders.setdefault(x, []).append((row, source))
+    own, of_source = {}, {}
+    for held in holders.values():
+        for source in {s for _, s in held}:
+            n = of_source.setdefault(source, [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + (len({s for _, s in held}) == 1)
+        if len(held) == 1:
+            own[held[0][0]] = own.get(held[0][0], 0) + 1
+    assert {r[0]: r[3] for r in out if r[0] is not None} == own
+    assert {r[1]: [r[2], r[3]] for r in out if r[0] is None} == of_source
