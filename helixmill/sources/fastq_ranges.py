@@ -149,25 +149,31 @@ def followed(f: dict, kind: int, value: int) -> tuple[int, int, int, int]:
 
 # ---- the passes ----
 
-def range_lines(spark: SparkSession, paths: list[str], most: int = RANGE_LINES) -> DataFrame:
-    """(path, block, line_no, line) of files that Spark can split: block is the number of a range's first line, numbers go up from the split's first byte on; a range has `most` lines at most."""
+def range_lines(spark: SparkSession, paths: list[str], most: int = RANGE_LINES, named: bool = False) -> DataFrame:
+    """(path, block, line_no, line) of files that Spark can split: block is the number of a range's first line, numbers go up from the split's first byte on; a range has `most` lines at most.
+
+    named: many small files lie one after the other in these, each line behind its file's name and a tab; ranges are of one such file.
+    """
 
     def number(batches):
-        before, at = None, 0
+        before, at, first = None, 0, 0
         for batch in batches:
-            starts, names = batch.column("block").to_numpy(), batch.column("path").to_pylist()
+            starts, names, files = batch.column("block").to_numpy(), batch.column("path").to_pylist(), batch.column("file").to_pylist()
             numbers, blocks = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
-            edge = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1] or starts[i] != starts[i - 1]]
+            edge = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1] or starts[i] != starts[i - 1] or files[i] != files[i - 1]]
             for a, b in zip(edge, [*edge[1:], len(names)]):
-                if (names[a], starts[a]) != before:
-                    before, at = (names[a], starts[a]), 0
+                if (files[a], starts[a], names[a]) != before:
+                    at = at if before and before[:2] == (files[a], starts[a]) else 0
+                    before, first = (files[a], starts[a], names[a]), at
                 places = np.arange(at, at + b - a)
-                numbers[a:b], blocks[a:b] = starts[a] + places, starts[a] + places // most * most
+                numbers[a:b], blocks[a:b] = starts[a] + places, starts[a] + first + (places - first) // most * most
                 at += b - a
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(blocks), pa.array(numbers), batch.column("value")], names=["path", "block", "line_no", "line"])
 
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    return lines.mapInArrow(number, "path string, block long, line_no long, line string")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    cut_at = F.instr("value", "\t")
+    path, value = (F.substring_index("value", "\t", 1), F.substr("value", cut_at + 1)) if named else (F.col("file"), F.col("value"))
+    return lines.select("file", path.alias("path"), "block", value.alias("value")).mapInArrow(number, "path string, block long, line_no long, line string")
 
 
 def _ranges(batches) -> Iterator[tuple[dict, pa.Array]]:

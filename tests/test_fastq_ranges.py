@@ -112,3 +112,35 @@ def test_files_in_many_splits(spark, tmp_path, monkeypatch):
         lines = fr.range_lines(spark, [str(tmp_path / "a.fastq")])
         states = fr.range_states(fr.range_functions(lines)).withColumn("n", F.col("n") + 1)
         fr.range_pieces(lines.join(states, ["path", "block"])).count()
+
+
+def test_many_small_files_in_one(spark, tmp_path):
+    """Files that lie one after the other in few, over splits and in ranges of few lines, against each of them whole."""
+    rng = random.Random(8)
+    files = {f"f{i % 7}_{i}": hostile(rng, rng.randrange(1, 40)) for i in range(60)}
+    want = sorted((name, i, *read) for name, lines in files.items() for i, read in enumerate(parse_fastq(lines)))
+    for k in range(2):
+        own = [f"{name}\t{line}" for name in list(files)[k::2] for line in files[name]]
+        (tmp_path / f"{k}.txt").write_text("\n".join(own) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for most in (5, 1 << 19):
+            lines = fr.range_lines(spark, [str(tmp_path / f"{k}.txt") for k in range(2)], most, named=True)
+            assert lines.rdd.getNumPartitions() > 5
+            assert sorted(map(tuple, fr.reads_of_ranges(lines).collect())) == want and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_the_query_writes_few_files(spark):
+    """A few documents were a file and a folder each, which listing, opening and committing followed."""
+    from pathlib import Path
+
+    from helixmill.functions.lineage import shared_dir
+    from helixmill.plans.queries import fastq_files, fastq_ranges
+
+    parts = lambda: set(Path(shared_dir(spark)).glob("helixmill-fastq-*/**/part-*"))
+    before = parts()
+    assert fastq_ranges(spark, "/root/testdata/sf0.001").select("path").distinct().count() == fastq_files(spark, "/root/testdata/sf0.001").count() > 50
+    assert 0 < len(parts() - before) <= 8
