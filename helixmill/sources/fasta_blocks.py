@@ -22,6 +22,8 @@ from helixmill.operators.minimizers import BATCH_MINIMIZERS, INVALID, PIECE_BASE
 from helixmill.sources.fasta import by_size, is_genome_file, numbered_genomes
 from helixmill.sources.fastq_ranges import RANGE_LINES, range_lines
 
+#: Bases whose minimizers one task makes distinct, about.
+TASK_BASES = 1 << 22
 PIECES = "path string, block long, local long, header string, own long, need int, seq string, head string, closed boolean, headers long, whole boolean"
 
 
@@ -202,7 +204,9 @@ def genome_sets(lines: DataFrame, k: int = 29, joined: bool = False, piece: int
     genomes = keep(pieces.groupBy("owner", "local").agg(F.max("path").alias("path"), F.max("record").alias("record"), F.max("header").alias("header"), F.sum("own").alias("n_bases")))
     short = genomes.where(F.col("n_bases") == k - 1).select("owner", "local")  # a window has k - 1 bases; shorter ones have none
     done = piece_minimizers(pieces.where(F.col("whole") & (F.length("seq") >= k)), k)
-    parts = piece_minimizers(pieces.where(~F.col("whole")), k).join(short, ["owner", "local"], "left_anti").distinct()
+    # as many tasks as the bases need, whatever the session's number, so what one sorts out is bounded
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(genomes.agg(F.sum("n_bases")).first()[0] or 0) // TASK_BASES))
+    parts = piece_minimizers(pieces.where(~F.col("whole")), k).join(short, ["owner", "local"], "left_anti").repartition(tasks, "owner", "local", "mz").distinct()
     return genomes, done.unionByName(parts)
 
 

@@ -87,3 +87,18 @@ def test_nothing(spark, tmp_path):
         assert genomes.count() == 0 and sets.count() == 0
     with pytest.raises(ValueError):
         read_fasta_sets(spark, str(tmp_path), mode="contig")
+
+
+def test_tasks_follow_the_bases(spark, tmp_path, monkeypatch):
+    """Sets of divided sequences were made distinct in the session's number of tasks, whatever the input's size."""
+    from helixmill.sources import fasta_blocks
+    from helixmill.sources.fastq_ranges import range_lines
+
+    rng = random.Random(3)
+    (tmp_path / "a.fa").write_text("".join(f">g{i}\n" + "\n".join("".join(rng.choice("ACGT") for _ in range(50)) for _ in range(20)) + "\n" for i in range(10)))
+    lines = range_lines(spark, [str(tmp_path / "a.fa")], 30)
+    want = {tuple(r) for r in fasta_blocks.genome_sets(lines, 29, piece=100)[1].collect()}
+    few = fasta_blocks.genome_sets(lines, 29, piece=100)[1].rdd.getNumPartitions()
+    monkeypatch.setattr(fasta_blocks, "TASK_BASES", 500)
+    sets = fasta_blocks.genome_sets(lines, 29, piece=100)[1]
+    assert sets.rdd.getNumPartitions() >= few + 16 and {tuple(r) for r in sets.collect()} == want and len(want) > 1000
