@@ -235,3 +235,15 @@ def test_texts_without_case(spark):
     junk = " ".join(f"{i}#{i * 7}$%" for i in range(90))
     df = spark.createDataFrame([(1, arabic), (2, chinese), (3, junk)], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in quality_rules.quality_report(df).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_limit_of_common_words(spark):
+    """A caller's limit lets the distance of common words fail long prose without such words, which the registered limit doesn't."""
+    strange = ["v" + "".join(chr(97 + x % 26) for x in (i // 26, i, 3 * i, 7 * i, 11 * i)) for i in range(90)]
+    common = ["the", "of", "and", "to", "in"]
+    prose = [w for i, x in enumerate(strange) for w in ([x, common[i // 2 % 5]] if i % 2 else [x])]
+    rows = [(1, " ".join(prose)), (2, " ".join(strange)), (3, " ".join(strange[: quality_rules.MIN_WORDS_FOR_COMMON - 1])), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda out: {r.doc_id: r.kept for r in out.collect()}
+    assert kept(quality_rules.quality_report(df)) == kept(quality_rules.apply_rules(df)) == {1: True, 2: True, 3: True, 4: False}
+    assert kept(quality_rules.apply_rules(df, max_common_distance=0.35)) == {1: True, 2: False, 3: True, 4: False}
